@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, host_quality, sharding, sql, warc
+from . import chat, host_quality, language, packing, sentence_spans, sharding, sql, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=1000)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -29,6 +33,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.removals(table(spark, sf_dir, "documents"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = f"{chat.CLOSE}{chat.OPEN} ok {chat.MID}"
@@ -38,8 +50,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_host_quality": op2_host_quality,
+    "op3_language": op3_language,
     "op4_warc": op4_warc,
     "op5_sharding": op5_sharding,
+    "op8_packing": op8_packing,
+    "op9_sentence_spans": op9_sentence_spans,
     "op10_chat": op10_chat,
 }
 ORACLE_SQL: dict[str, str] = {"op2_host_quality": sql.OP2, "op4_warc": sql.OP4, "op10_chat": sql.OP10}
