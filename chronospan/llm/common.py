@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: A word is a run of characters that are none of these.
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Largest table, in bytes of Parquet, that is ever sent to every executor.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 4 << 20
 
 
 def words(text: Column) -> Column:

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PER_LANG = 1500
@@ -58,8 +58,7 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG, top_words: int = TOP_WORD
     ends = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     units = [F.struct(F.lit(0).alias("k"), F.array("word").alias("g"))]
     for k in ORDERS:
-        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(ends) - (k - 1), F.lit(1))), lambda i, k=k: F.substring(ends, i, F.lit(k)))
-        units.append(F.struct(F.lit(k).alias("k"), cut.alias("g")))
+        units.append(F.struct(F.lit(k).alias("k"), _grams(ends, k).alias("g")))
     grams = (
         counts.select("lang", "n", F.explode(F.array(*units)).alias("u"))
         .select("lang", "n", "u.k", F.explode("u.g").alias("gram"))
@@ -88,6 +87,11 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG, top_words: int = TOP_WORD
     }
 
 
+def _grams(text: Column, k: int) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (k - 1), F.lit(1)))
+    return F.transform(starts, lambda i: F.substring(text, i, F.lit(k)))
+
+
 class _Words(dict):
     """Row of a word in a growing table of scores: fixed for known words, worked out once for others."""
 
