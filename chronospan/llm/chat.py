@@ -33,7 +33,7 @@ Turn = tuple[str, str]
 Template = Callable[[list[Turn], bool], str]
 OPEN, MID, CLOSE = "[INST]", "[/INST]", "</s>"
 #: A text that the built-in template shows unchanged and that is in no marker.
-PROBE = ""
+PROBE = "\ue000\ue001"
 SPANS = "conv_id long, block long, n int, role string, formatted string, text_start int, text_end int, rewrites boolean"
 
 
