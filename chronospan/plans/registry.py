@@ -1,5 +1,10 @@
 """All queries of the engine by name, and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from . import joins, metrics, rules, selection, sequences
+
+MODULES = (sequences, joins, metrics, selection, rules)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
 FLAGSHIP = "g1_sessions"
