@@ -14,14 +14,14 @@ least num / den.
    MinHash values instead (see ``BANDS``).
 3. Under each key, all documents are compared exactly with the key's smallest
    one, a number of pairs in proportion to the keys; links found give classes.
-4. *Trees.* Classes that still meet under a key unlinked are compared by dual
-   traversal: every class is a tree of size bands, tiles of about ``TILE``
-   documents and documents, whose nodes hold the OR of their members' token
-   bitmaps, their size range and the most tokens any member loses to bit
-   collisions. A pair of nodes goes on only if the sizes are compatible and the
-   largest overlap the bitmaps allow would be enough; pairs of documents left
-   are compared exactly. Classes already linked are never traversed against
-   themselves, so a group of thousands of near copies is not expanded.
+4. *Trees.* Documents under keys where classes still meet unlinked are compared
+   by dual traversal of trees of size bands, tiles of about ``TILE`` documents
+   and documents. Nodes hold the OR of their members' token bitmaps, their size
+   range, the most tokens any member loses to bit collisions and their range of
+   classes. A pair of nodes goes on only if the sizes are compatible, the largest
+   overlap that the bitmaps allow would be enough and the two are not one class
+   already, so a group of thousands of near copies is not expanded; pairs of
+   documents left are compared exactly.
 5. Components of all links.
 
 Defined results: null text or text without words is an empty set, linked with
@@ -46,7 +46,7 @@ from .common import Stored, components, maybe_broadcast, words
 RATIO = 1.3
 #: 64-bit words of a token bitmap.
 BITMAP = 16
-TILE = 16
+TILE = 64
 #: MinHash bands and values a band when not lossless: a pair at similarity 0.8 is missed once in 60,000, at 0.9 never in practice.
 BANDS, ROWS = 24, 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -190,41 +190,73 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def compatible(num: int, den: int) -> Column:
-    """Whether any members of nodes l and r may be linked: sizes, and the largest overlap that the bitmaps allow."""
+    """Whether any members of nodes l and r may give a new link: sizes, the largest overlap that the bitmaps allow, classes."""
     sizes = (F.col("l.hi") * den >= F.col("r.lo") * num) & (F.col("r.hi") * den >= F.col("l.lo") * num)
     shared = sum((F.bit_count(F.col(f"l.b{i}").bitwiseAND(F.col(f"r.b{i}"))) for i in range(1, BITMAP)), F.bit_count(F.col("l.b0").bitwiseAND(F.col("r.b0"))))
     overlap = F.least(shared + F.col("l.lost"), shared + F.col("r.lost"), F.col("l.hi"), F.col("r.hi"))
-    return sizes & (overlap * (num + den) >= num * (F.col("l.lo") + F.col("r.lo")))
+    one_class = (F.col("l.cls_lo") == F.col("l.cls_hi")) & (F.col("r.cls_lo") == F.col("r.cls_hi")) & (F.col("l.cls_lo") == F.col("r.cls_lo"))
+    return sizes & ~one_class & (overlap * (num + den) >= num * (F.col("l.lo") + F.col("r.lo")))
+
+
+def leaf_pairs(num: int, den: int) -> Column:
+    """Pairs (a, b) of documents of leaf nodes l and r of different classes that sizes and bitmaps allow."""
+
+    def fits(x: Column, y: Column) -> Column:
+        shared = F.aggregate(F.zip_with(x["bits"], y["bits"], lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda acc, c: acc + c)
+        overlap = F.least(shared + x["lost"], shared + y["lost"])
+        sizes = (x["n"] * den >= y["n"] * num) & (y["n"] * den >= x["n"] * num)
+        return (x["cls"] != y["cls"]) & sizes & (overlap * (num + den) >= num * (x["n"] + y["n"]))
+
+    pair = lambda x: F.transform(F.filter("r.docs", lambda y: fits(x, y)), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))
+    return F.flatten(F.transform("l.docs", pair))
 
 
 def node_columns() -> list[Column]:
     return [
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("lost").alias("lost"),
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("lost").alias("lost"), F.min("cls_lo").alias("cls_lo"), F.max("cls_hi").alias("cls_hi"),
         *[F.bit_or(f"b{i}").alias(f"b{i}") for i in range(BITMAP)],
     ]
 
 
-def traverse(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of documents left after dual traversal of the trees of the class pairs (ca, cb)."""
-    leaf = members.select(
-        "cls", "doc_id", F.col("n").alias("lo"), F.col("n").alias("hi"), "lost",
-        F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.05)))).cast("int").alias("band"),
-        *[F.col("bits")[i].alias(f"b{i}") for i in range(BITMAP)],
+def traverse(met: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) left after dual traversal, of members (doc_id, cls, n, lost, bits) that meet as (key, doc_id, pivot).
+
+    A member's tree is that of the smallest pivot it meets. Trees that share a
+    key are traversed against each other and themselves: tree, size band, tile
+    of about ``TILE`` members, and at last members within pairs of tiles, where
+    only pairs that may be linked become rows.
+    """
+    of = met.groupBy("doc_id").agg(F.min("pivot").alias("tree"))
+    leaf = members.join(of, "doc_id").select(
+        "tree", "doc_id", "n", "lost", "cls", "bits", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.05)))).cast("int").alias("band")
+    )
+    leaf = Stored(leaf, "tree_leaves").df
+    counts = leaf.groupBy("tree", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("long").alias("tiles"))
+    dealt = leaf.join(counts, ["tree", "band"]).withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")))
+    single = dealt.select(
+        "tree", "band", "tile", F.col("n").alias("lo"), F.col("n").alias("hi"), "lost", F.col("cls").alias("cls_lo"), F.col("cls").alias("cls_hi"),
+        *[F.col("bits")[i].alias(f"b{i}") for i in range(BITMAP)], F.struct(F.col("doc_id").alias("id"), "n", "lost", "cls", "bits").alias("doc"),
     )
-    counts = leaf.groupBy("cls", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("long").alias("tiles"))
-    leaf = Stored(leaf.join(counts, ["cls", "band"]).withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles"))).drop("tiles"), "tree_leaves").df
-    tiles = Stored(leaf.groupBy("cls", "band", "tile").agg(*node_columns()), "tree_tiles").df
-    bands = Stored(tiles.groupBy("cls", "band").agg(*node_columns()), "tree_bands").df
-    roots = bands.groupBy("cls").agg(*node_columns())
-    now = pairs.select(F.struct(F.col("ca").alias("cls")).alias("x"), F.struct(F.col("cb").alias("cls")).alias("y"))
-    for nodes, up in ((roots, ["cls"]), (bands, ["cls"]), (tiles, ["cls", "band"]), (leaf, ["cls", "band", "tile"])):
-        own = [c for c in ("cls", "band", "tile", "doc_id") if c in nodes.columns]
-        left, right = nodes.alias("l"), nodes.alias("r")
+    tiles = Stored(single.groupBy("tree", "band", "tile").agg(*node_columns(), F.collect_list("doc").alias("docs")), "tree_tiles").df
+    bands = Stored(tiles.groupBy("tree", "band").agg(*node_columns()), "tree_bands").df
+    trees = bands.groupBy("tree").agg(*node_columns())
+    of_key = met.join(of, "doc_id").select("key", "tree").distinct()
+    several = of_key.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    of_key = of_key.join(several, "key")
+    other = of_key.select("key", F.col("tree").alias("other"))
+    pairs = of_key.join(other, "key").where("tree < other").select("tree", "other").distinct()
+    pairs = pairs.unionByName(trees.select("tree", F.col("tree").alias("other")))
+    now = pairs.select(F.struct("tree").alias("x"), F.struct(F.col("other").alias("tree")).alias("y"))
+    for nodes, up in ((trees, ["tree"]), (bands, ["tree"]), (tiles, ["tree", "band"])):
+        own = [c for c in ("tree", "band", "tile") if c in nodes.columns]
         on_left = [F.col(f"x.{c}") == F.col(f"l.{c}") for c in up]
         on_right = [F.col(f"y.{c}") == F.col(f"r.{c}") for c in up]
-        met = now.join(left, on_left).join(right, on_right).where(compatible(num, den))
-        now = met.select(F.struct(*[F.col(f"l.{c}") for c in own]).alias("x"), F.struct(*[F.col(f"r.{c}") for c in own]).alias("y"))
-    return now.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+        once = (F.col("x") != F.col("y")) | (F.struct(*[F.col(f"l.{c}") for c in own]) <= F.struct(*[F.col(f"r.{c}") for c in own]))
+        here = now.join(nodes.alias("l"), on_left).join(nodes.alias("r"), on_right).where(once & compatible(num, den))
+        if nodes is not tiles:
+            now = here.select(F.struct(*[F.col(f"l.{c}") for c in own]).alias("x"), F.struct(*[F.col(f"r.{c}") for c in own]).alias("y"))
+    found = here.select(F.explode(leaf_pairs(num, den)).alias("p")).select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b"))
+    return found.distinct()
 
 
 def link_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, lossless: bool = True) -> DataFrame:
@@ -252,13 +284,11 @@ def link_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     named = big.select("doc_id", "n", "lost", "bits").join(grouped, F.col("doc_id") == F.col("id"), "left")
     named = named.withColumn("cls", F.coalesce("component", "doc_id")).drop("id", "component")
 
-    of_key = member.select("key", "doc_id").join(named.select("doc_id", "cls"), "doc_id").select("key", "cls").distinct()
+    of_key = member.join(named.select("doc_id", "cls"), "doc_id")
     mixed_keys = of_key.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key")
-    unsettled = Stored(of_key.join(mixed_keys, "key"), "jaccard_unsettled").df
-    other = unsettled.select("key", F.col("cls").alias("cb"))
-    class_pairs = Stored(unsettled.withColumnRenamed("cls", "ca").join(other, "key").where("ca < cb").select("ca", "cb").distinct(), "jaccard_class_pairs").df
-    open_classes = class_pairs.select(F.explode(F.array("ca", "cb")).alias("cls")).distinct()
-    more = Stored(verified(traverse(class_pairs, named.join(open_classes, "cls", "left_semi"), num, den), big, num, den), "jaccard_more").df
+    unsettled = Stored(member.join(mixed_keys, "key"), "jaccard_unsettled").df
+    left = traverse(unsettled, named, num, den)
+    more = Stored(verified(left, big, num, den), "jaccard_more").df
 
     final = Stored(components(near.unionByName(more), "jaccard_components"), "jaccard_final").df
     placed = reps.join(final, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")).distinct()
