@@ -180,13 +180,9 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     """Those of the pairs (a, b) whose sets' similarity is at least num / den."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("sh").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("sh").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return (
-        pairs.join(left, "a").join(right, "b")
-        .withColumn("common", common)
-        .where(den * F.col("common") >= num * (F.size("sa") + F.size("sb") - F.col("common")))
-        .select("a", "b")
-    )
+    sizes = F.size("sa") + F.size("sb")
+    enough = F.transform(F.array(F.size(F.array_intersect("sa", "sb")).cast("long")), lambda c: den * c >= num * (sizes - c))[0]
+    return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
 
 
 def compatible(num: int, den: int) -> Column:
