@@ -83,7 +83,7 @@ def best_pattern(sizes: np.ndarray, values: np.ndarray, room: int) -> tuple[floa
     return float(best[room]), counts
 
 
-def relaxed(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP, max_columns: int = 1500) -> tuple[np.ndarray, np.ndarray]:
+def relaxed(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP, max_columns: int = 6000) -> tuple[np.ndarray, np.ndarray]:
     """Column generation: basic patterns (rows) and how often each is used, fractional.
 
     Rounding errors of the basis only make the solution less good: whoever rounds
