@@ -121,3 +121,46 @@ def namespaced_union(parts: dict[str, DataFrame], id_: str, same: list[str]) ->
         if n > 1:
             raise ValueError(f"{c} differs between parts")
     return out
+
+
+def spaced_choice(df: DataFrame, key: list[str], t: str, score: str, label: str, group: str, most: int, per_group: int, gap: float) -> DataFrame:
+    """By falling score (earlier first): at most ``most`` a key and ``per_group`` a group, no label twice, all at least ``gap`` apart."""
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept: list = []
+        for i, r in pdf.sort_values([score, t], ascending=[False, True]).iterrows():
+            full = len(kept) >= most or sum(r[group] == o[group] for _, o in kept) >= per_group
+            if not full and all(abs(r[t] - o[t]) >= gap and r[label] != o[label] for _, o in kept):
+                kept.append((i, r))
+        return pdf.loc[[i for i, _ in kept]]
+
+    return df.groupBy(*key).applyInPandas(choose, df.schema)
+
+
+def expand_over(spans: DataFrame, parts: DataFrame, key: list[str], span_id: str, start: str = "start", end: str = "end") -> DataFrame:
+    """Each span grown over the parts it overlaps, taken in order, growth included: (key, span_id, start, end, n)."""
+    listed = parts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(start).alias("s"), F.col(end).alias("e")))).alias("_parts"))
+    grown = F.aggregate(
+        F.coalesce("_parts", F.array().cast(listed.schema["_parts"].dataType)),
+        F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.lit(0).alias("n")),
+        lambda acc, p: F.when(
+            F.greatest(acc["s"], p["s"]) < F.least(acc["e"], p["e"]),
+            F.struct(F.least(acc["s"], p["s"]).alias("s"), F.greatest(acc["e"], p["e"]).alias("e"), (acc["n"] + 1).alias("n")),
+        ).otherwise(acc),
+    )
+    met = spans.join(listed, key, "left").withColumn("_g", grown)
+    return met.select(*key, span_id, F.col("_g.s").alias(start), F.col("_g.e").alias(end), F.col("_g.n").alias("n"))
+
+
+def first_passing(cues: DataFrame, frames: DataFrame, key: list[str], cue_id: str, t: str, frame_t: str, within: float, ok: Column) -> DataFrame:
+    """(cue_id, at): the first frame of the key from the cue's time to ``within`` later that passes; null without any."""
+    near = cues.join(frames, key).where((F.col(frame_t) >= F.col(t)) & (F.col(frame_t) <= F.col(t) + within) & ok)
+    first = near.groupBy(cue_id).agg(F.min(frame_t).alias("at"))
+    return cues.select(cue_id).join(first, cue_id, "left")
+
+
+def best_unless_open(df: DataFrame, key: list[str], order: list[str], settled: str) -> DataFrame:
+    """The best settled row of each key by the columns of ``order``; none where an unsettled row could still beat it."""
+    rank = F.struct(*order)
+    a = df.groupBy(*key).agg(F.max(F.when(F.col(settled), rank)).alias("best"), F.max(F.when(~F.col(settled), rank)).alias("open"))
+    return a.where(F.col("best").isNotNull() & (F.col("open").isNull() | (F.col("open") <= F.col("best")))).select(*key, "best.*")
