@@ -15,8 +15,8 @@ are small, else joined by shuffle.
 Defined results: null text and items of fewer than ``WINDOW`` tokens match
 nothing; windows with more placeholders than ``MOST_SLOTS`` identify no item;
 equal rows are one document or item; empty tables give no rows; other columns
-are ignored, whatever their names; the private-use characters U+E001 to U+E003
-in a text are taken for placeholders.
+are ignored, whatever their names; the private-use characters U+E000 to U+E003
+in a text are taken for signs of placeholders.
 """
 
 from __future__ import annotations
@@ -35,22 +35,28 @@ UNITS = (
     "seconds?|minutes?|hours?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|%|°C|°F|mph|kmh|USD|EUR"
 )
 _NUMBER, _QUANTITY, _NAME = "\ue001", "\ue002", "\ue003"
+#: Ends the digits of a number until its unit, if any, is known.
+_UNIT = "\ue000"
 #: What a placeholder token begins with.
 _SLOT = f"^[{_NUMBER}-{_NAME}]"
 _DIGITS = rf"(?<![\p{{L}}\p{{N}}{_NUMBER}{_QUANTITY}])[$€£]?(\d[\d.,:/]*)"
-_PUNCTUATION = "!\"#&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’…¿¡"
+_PUNCTUATION = "!\"#&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’…¿¡" + _UNIT
 
 
-def canonical(text: Column, values: bool = False) -> Column:
-    """Template tokens of a text; with ``values``, each placeholder is followed by what it stands for."""
-    keep = (lambda g: g) if values else (lambda g: "")
-    quantities = F.regexp_replace(text, rf"{_DIGITS}\s?({UNITS})(?![\p{{L}}\p{{N}}])", f" {_QUANTITY}{keep('$1_$2')} ")
-    numbers = F.regexp_replace(quantities, _DIGITS, f" {_NUMBER}{keep('$1')} ")
+def canonical(text: Column) -> Column:
+    """Tokens of a text; a placeholder's token is its sign and what it stands for."""
+    found = F.regexp_replace(text, rf"{_DIGITS}(?:\s?({UNITS})(?![\p{{L}}\p{{N}}]))?", f" {_NUMBER}$1{_UNIT}$2 ")
+    numbers = F.regexp_replace(found, rf"{_NUMBER}(\d[\d.,:/]*){_UNIT}(?! )", f"{_QUANTITY}$1_")
     digits = F.when(text.rlike(r"\d"), numbers).otherwise(text)
-    names = F.regexp_replace(digits, r"(?<=\p{Ll} |\p{Ll}, )(\p{Lu}[\p{L}\p{M}]*)", f"{_NAME}{keep('$1')}")
+    names = F.regexp_replace(digits, r"(?<=\p{Ll} |\p{Ll}, )(\p{Lu}[\p{L}\p{M}]*)", f"{_NAME}$1")
     return words(F.lower(F.translate(names, _PUNCTUATION, "")))
 
 
+def template(tokens: Column) -> Column:
+    """The tokens with placeholders cut to their signs; positions are those of ``tokens``."""
+    return F.transform(tokens, lambda t: F.when(t.rlike(_SLOT), F.substring(t, 1, 1)).otherwise(t))
+
+
 def windows(tokens: Column, k: int = WINDOW) -> Column:
     """Hash of the ``k`` tokens from each position on."""
 
@@ -62,7 +68,7 @@ def windows(tokens: Column, k: int = WINDOW) -> Column:
 
 def item_windows(items: DataFrame) -> DataFrame:
     """Rows (item_id, item_pos, item_windows, h) of the windows that can identify an item."""
-    tokens = items.where("text is not null").select("item_id", canonical(F.col("text")).alias("t")).distinct()
+    tokens = items.where("text is not null").select("item_id", template(canonical(F.col("text"))).alias("t")).distinct()
     slots = lambda i: F.size(F.filter(F.slice("t", i + 1, F.lit(WINDOW)), lambda x: x.rlike(_SLOT)))
     rows = tokens.select("item_id", "t", F.posexplode(windows(F.col("t"))).alias("item_pos", "h"))
     good = rows.where(slots(F.col("item_pos")) <= MOST_SLOTS)
@@ -72,7 +78,7 @@ def item_windows(items: DataFrame) -> DataFrame:
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows (doc_id, item_id, shift, item_windows, n_windows): diagonals that cover enough of an item."""
     known = Stored(item_windows(items), "item_windows")
-    seen = docs.where("text is not null").select(F.col("doc_id").cast("long"), F.posexplode(windows(canonical(F.col("text")))).alias("pos", "h"))
+    seen = docs.where("text is not null").select(F.col("doc_id").cast("long"), F.posexplode(windows(template(canonical(F.col("text"))))).alias("pos", "h"))
     met = seen.join(maybe_broadcast(known), "h")
     diagonal = met.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.max("item_windows").alias("item_windows"), F.countDistinct("item_pos").alias("n_windows"), F.min("item_pos").alias("from_pos"), F.max("item_pos").alias("to_pos")
@@ -84,8 +90,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows (doc_id, item_id, n_windows, item_windows, n_slots, kind), one a document and item found in it."""
     found = Stored(matches(docs, items), "leak_matches")
     hit = docs.join(maybe_broadcast(Stored(found.df.select("doc_id").distinct(), "leak_docs")), "doc_id", "left_semi")
-    doc_tokens = hit.where("text is not null").select(F.col("doc_id").cast("long"), canonical(F.col("text"), True).alias("dt"))
-    item_tokens = items.where("text is not null").select("item_id", canonical(F.col("text"), True).alias("it")).distinct()
+    doc_tokens = hit.where("text is not null").select(F.col("doc_id").cast("long"), canonical(F.col("text")).alias("dt"))
+    item_tokens = items.where("text is not null").select("item_id", canonical(F.col("text")).alias("it")).distinct()
     both = found.df.join(doc_tokens, "doc_id").join(maybe_broadcast(Stored(item_tokens, "item_tokens")), "item_id")
     spot = F.transform(
         F.sequence(F.col("from_pos"), F.col("to_pos") + F.lit(WINDOW - 1)),
