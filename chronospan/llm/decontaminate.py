@@ -1,21 +1,30 @@
 """Benchmark decontamination by template canonicalisation (operator 1), with DataFrame functions only.
 
 Numbers, quantities with a unit, and names become typed placeholders; what is
-left is lower-cased and freed of punctuation. Windows of ``WINDOW`` template
-tokens of all documents are hash-joined with those of the benchmark items.
-Matches on one diagonal (same document, item and distance) are one finding; it
-counts if it covers enough of the item and its slots are consistent: each
-value of the item stands for one value of the document and the other way
-round. Equal slots make a ``verbatim`` copy, others a ``reparameterised`` one.
-
-A name is a word with a capital right after a lower-case one; the units
-are ``UNITS``. The benchmark's windows are sent to every executor while they
-are small, else joined by shuffle.
-
-Defined results: null text and items of fewer than ``WINDOW`` tokens match
-nothing; windows with more placeholders than ``MOST_SLOTS`` identify no item;
+left is lower-cased and freed of punctuation. A text has three forms with the
+same positions: ``FIRM`` takes capitalised words right after a lower-case one
+for names, ``LOOSE`` every capitalised word (names also start sentences and
+follow brackets, quotes and numbers), and the exact form has no placeholder.
+Windows of ``WINDOW`` tokens of each form of all documents are hash-joined with
+those of the benchmark items. Windows with more placeholders than
+``MOST_SLOTS`` are hashed in the exact form alone, and an item of fewer than
+``WINDOW`` tokens is one exact window of its own length.
+
+Matches on one diagonal (same document, item and distance) are a candidate. Its
+tokens are then compared in full, for both forms, so windows that were too full
+of placeholders to be hashed count as well. It is a finding if it covers enough
+of the item and its slots are consistent: each value of the item stands for
+one value of the document. (Two values may become the same one.) Equal slots
+make a ``verbatim`` copy, others a ``reparameterised`` one.
+
+The units are ``UNITS``. The benchmark's windows are sent to every executor
+while they are small, else joined by shuffle.
+
+Defined results: null text and items without a token match nothing; items of
+fewer than ``WINDOW`` tokens match exactly only, however short; items whose
+windows all have more than ``MOST_SLOTS`` placeholders match exactly only;
 equal rows are one document or item; empty tables give no rows; other columns
-are ignored, whatever their names; the private-use characters U+E000 to U+E003
+are ignored, whatever their names; the private-use characters U+E000 to U+E004
 in a text are taken for signs of placeholders.
 """
 
@@ -34,11 +43,13 @@ UNITS = (
     "kg|mg|g|lbs?|oz|tons?|km|cm|mm|m|miles?|feet|ft|inch(?:es)?|yards?|l|ml|lit(?:er|re)s?|gallons?|ms|s|min|h|"
     "seconds?|minutes?|hours?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|%|°C|°F|mph|kmh|USD|EUR"
 )
-_NUMBER, _QUANTITY, _NAME = "\ue001", "\ue002", "\ue003"
+_NUMBER, _QUANTITY, _NAME, _CAPITAL = "\ue001", "\ue002", "\ue003", "\ue004"
 #: Ends the digits of a number until its unit, if any, is known.
 _UNIT = "\ue000"
-#: What a placeholder token begins with.
-_SLOT = f"^[{_NUMBER}-{_NAME}]"
+#: Forms of a text by what they take for a name, and what their placeholder tokens begin with.
+FIRM, LOOSE = "firm", "loose"
+_SLOT = {FIRM: f"^[{_NUMBER}-{_NAME}]", LOOSE: f"^[{_NUMBER}-{_CAPITAL}]"}
+_SIGNS = f"[{_NUMBER}-{_CAPITAL}]"
 _DIGITS = rf"(?<![\p{{L}}\p{{N}}{_NUMBER}{_QUANTITY}])[$€£]?(\d[\d.,:/]*)"
 _PUNCTUATION = "!\"#&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’…¿¡" + _UNIT
 
@@ -49,12 +60,28 @@ def canonical(text: Column) -> Column:
     numbers = F.regexp_replace(found, rf"{_NUMBER}(\d[\d.,:/]*){_UNIT}(?! )", f"{_QUANTITY}$1_")
     digits = F.when(text.rlike(r"\d"), numbers).otherwise(text)
     names = F.regexp_replace(digits, r"(?<=\p{Ll} |\p{Ll}, )(\p{Lu}[\p{L}\p{M}]*)", f"{_NAME}$1")
-    return words(F.lower(F.translate(names, _PUNCTUATION, "")))
+    capitals = F.regexp_replace(names, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}\p{{N}}{_NAME}])(\p{{Lu}}[\p{{L}}\p{{M}}]*)", f"{_CAPITAL}$1")
+    return words(F.lower(F.translate(capitals, _PUNCTUATION, "")))
 
 
-def template(tokens: Column) -> Column:
+def bare(token: Column) -> Column:
+    return F.translate(token, _NUMBER + _QUANTITY + _NAME + _CAPITAL, "")
+
+
+def templated(token: Column, form: str = FIRM) -> Column:
+    """The token; a placeholder is cut to its sign, which is one for all names."""
+    sign = F.translate(F.substring(token, 1, 1), _CAPITAL, _NAME)
+    return F.when(~token.rlike(_SIGNS), token).when(token.rlike(_SLOT[form]), sign).otherwise(bare(token))
+
+
+def template(tokens: Column, form: str = FIRM) -> Column:
     """The tokens with placeholders cut to their signs; positions are those of ``tokens``."""
-    return F.transform(tokens, lambda t: F.when(t.rlike(_SLOT), F.substring(t, 1, 1)).otherwise(t))
+    return F.transform(tokens, lambda t: templated(t, form))
+
+
+def exact(tokens: Column) -> Column:
+    """The tokens without signs of placeholders."""
+    return F.transform(tokens, bare)
 
 
 def windows(tokens: Column, k: int = WINDOW) -> Column:
@@ -66,24 +93,54 @@ def windows(tokens: Column, k: int = WINDOW) -> Column:
     return F.transform(F.array(F.transform(tokens, lambda t: F.xxhash64(t))), of)[0]
 
 
+def every_window(tokens: Column) -> Column:
+    """For each position, the distinct hashes of its windows in the three forms."""
+    forms = F.arrays_zip(windows(exact(tokens)).alias("x"), windows(template(tokens)).alias("f"), windows(template(tokens, LOOSE)).alias("l"))
+    return F.transform(forms, lambda w: F.array_distinct(F.array(w["x"], w["f"], w["l"])))
+
+
 def item_windows(items: DataFrame) -> DataFrame:
-    """Rows (item_id, item_pos, item_windows, h) of the windows that can identify an item."""
-    tokens = items.where("text is not null").select("item_id", template(canonical(F.col("text"))).alias("t")).distinct()
-    slots = lambda i: F.size(F.filter(F.slice("t", i + 1, F.lit(WINDOW)), lambda x: x.rlike(_SLOT)))
-    rows = tokens.select("item_id", "t", F.posexplode(windows(F.col("t"))).alias("item_pos", "h"))
-    good = rows.where(slots(F.col("item_pos")) <= MOST_SLOTS)
-    return good.select("item_id", "item_pos", (F.size("t") - (WINDOW - 1)).alias("item_windows"), "h")
+    """Rows (item_id, item_pos, item_windows, coded, k, h) of the windows, of ``k`` tokens, that can identify an item.
+
+    ``coded`` of the ``item_windows`` windows have a template among their hashes.
+    """
+    tokens = items.where("text is not null").select("item_id", canonical(F.col("text")).alias("t")).distinct()
+    few = lambda i, form: F.size(F.filter(F.slice("t", i + 1, F.lit(WINDOW)), lambda x: x.rlike(_SLOT[form]))) <= MOST_SLOTS
+    full = tokens.where(F.size("t") >= WINDOW)
+    hashed = F.arrays_zip(windows(exact(F.col("t"))).alias("x"), windows(template(F.col("t"))).alias("f"), windows(template(F.col("t"), LOOSE)).alias("l"))
+    kept = F.transform(hashed, lambda w, i: F.array_distinct(F.array_compact(F.array(w["x"], F.when(few(i, FIRM), w["f"]), F.when(few(i, LOOSE), w["l"])))))
+    coded = F.size(F.filter(F.sequence(F.lit(0), F.size("t") - WINDOW), lambda i: few(i, FIRM) | few(i, LOOSE)))
+    rows = full.select("item_id", (F.size("t") - (WINDOW - 1)).alias("item_windows"), coded.alias("coded"), F.posexplode(kept).alias("item_pos", "hs"))
+    long = rows.select("item_id", "item_pos", "item_windows", "coded", F.lit(WINDOW).alias("k"), F.explode("hs").alias("h"))
+    short = tokens.where((F.size("t") > 0) & (F.size("t") < WINDOW)).select(
+        "item_id", F.lit(0).alias("item_pos"), F.lit(1).alias("item_windows"), F.lit(1).alias("coded"), F.size("t").alias("k"), _whole(exact(F.col("t"))).alias("h")
+    )
+    return long.unionByName(short)
+
+
+def _whole(tokens: Column) -> Column:
+    """The hash that ``windows`` has for the only window of fewer than ``WINDOW`` tokens."""
+    return F.coalesce(*[F.when(F.size(tokens) == k, windows(tokens, k)[0]) for k in range(1, WINDOW)])
+
+
+def doc_windows(docs: DataFrame, short: list[int]) -> DataFrame:
+    """Rows (doc_id, pos, h) of the windows of all forms, and of exact windows of the lengths ``short``."""
+    tokens = docs.where("text is not null").select(F.col("doc_id").cast("long"), canonical(F.col("text")).alias("t"))
+    seen = tokens.select("doc_id", F.posexplode(every_window(F.col("t"))).alias("pos", "hs")).select("doc_id", "pos", F.explode("hs").alias("h"))
+    for k in short:
+        seen = seen.unionByName(tokens.select("doc_id", F.posexplode(windows(exact(F.col("t")), k)).alias("pos", "h")))
+    return seen
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Rows (doc_id, item_id, shift, item_windows, n_windows): diagonals that cover enough of an item."""
+    """Rows (doc_id, item_id, shift, item_windows): diagonals that may cover enough of an item."""
     known = Stored(item_windows(items), "item_windows")
-    seen = docs.where("text is not null").select(F.col("doc_id").cast("long"), F.posexplode(windows(template(canonical(F.col("text"))))).alias("pos", "h"))
-    met = seen.join(maybe_broadcast(known), "h")
+    short = sorted(r.k for r in known.df.where(F.col("k") < WINDOW).select("k").distinct().collect())
+    met = doc_windows(docs, short).join(maybe_broadcast(known), "h")
     diagonal = met.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-        F.max("item_windows").alias("item_windows"), F.countDistinct("item_pos").alias("n_windows"), F.min("item_pos").alias("from_pos"), F.max("item_pos").alias("to_pos")
+        F.max("item_windows").alias("item_windows"), F.max("coded").alias("coded"), F.countDistinct("item_pos").alias("n")
     )
-    return diagonal.where((F.col("n_windows") >= ENOUGH) | (F.col("n_windows") >= SHARE * F.col("item_windows")))
+    return diagonal.where((F.col("n") >= ENOUGH) | (F.col("n") >= SHARE * F.col("coded"))).drop("coded", "n")
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -93,22 +150,35 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     doc_tokens = hit.where("text is not null").select(F.col("doc_id").cast("long"), canonical(F.col("text")).alias("dt"))
     item_tokens = items.where("text is not null").select("item_id", canonical(F.col("text")).alias("it")).distinct()
     both = found.df.join(doc_tokens, "doc_id").join(maybe_broadcast(Stored(item_tokens, "item_tokens")), "item_id")
-    spot = F.transform(
-        F.sequence(F.col("from_pos"), F.col("to_pos") + F.lit(WINDOW - 1)),
-        lambda i: F.struct(F.get("it", i).alias("i"), F.get("dt", i + F.col("shift")).alias("d")),
-    )
-    slots = F.filter(spot, lambda s: s["i"].rlike(_SLOT) & (F.substring(s["i"], 1, 1) == F.substring(s["d"], 1, 1)))
-    pairs = F.array_distinct(slots)
-    ways = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda s: s[side])))
-    checked = both.withColumn("n_slots", F.size(slots)).withColumn("pairs", pairs)
-    consistent = checked.where((ways("i") == F.size("pairs")) & (ways("d") == F.size("pairs")))
-    same = F.forall("pairs", lambda s: s["i"] == s["d"])
-    best = F.max(F.struct("n_windows", same.alias("same"), "n_slots", "item_windows")).alias("best")
-    return consistent.groupBy("doc_id", "item_id").agg(best).select(
+    spot = F.transform("it", lambda t, i: F.struct(t.alias("i"), F.when(i + F.col("shift") >= 0, F.get("dt", i + F.col("shift"))).alias("d")))
+    # An item of fewer tokens than a window identifies itself by all its values alone.
+    short = F.size("it") < WINDOW
+    aligned = both.select("doc_id", "item_id", "item_windows", F.least(F.size("it"), F.lit(WINDOW)).alias("k"), short.alias("short"), spot.alias("spot"))
+    forms = [_judged(aligned, form, rank) for rank, form in ((1, FIRM), (0, LOOSE))]
+    checked = forms[0].unionByName(forms[1])
+    enough = checked.where((F.col("n_windows") >= ENOUGH) | (F.col("n_windows") >= SHARE * F.col("item_windows")))
+    ways = F.size(F.array_distinct(F.transform("pairs", lambda s: s["i"])))
+    best = F.max(F.struct("n_windows", "same", "rank", "n_slots", "item_windows")).alias("best")
+    return enough.where(ways == F.size("pairs")).groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", "best.n_windows", "best.item_windows", "best.n_slots", F.when(F.col("best.same"), "verbatim").otherwise("reparameterised").alias("kind")
     )
 
 
+def _judged(aligned: DataFrame, form: str, rank: int) -> DataFrame:
+    """Windows, slots and pairs of values of aligned tokens (i, d) in one form."""
+    same = lambda s: F.coalesce(bare(s["i"]) == bare(s["d"]), F.lit(False))
+    alike = lambda s: same(s) | (~F.col("short") & F.coalesce(templated(s["i"], form) == templated(s["d"], form), F.lit(False)))
+    told = aligned.withColumn("ok", F.transform("spot", alike))
+    starts = F.filter(F.sequence(F.lit(0), F.size("ok") - F.col("k")), lambda i: F.forall(F.slice("ok", i + 1, F.col("k")), lambda x: x))
+    ranged = told.withColumn("starts", starts).where(F.size("starts") > 0)
+    first, last = F.array_min("starts"), F.array_max("starts") + F.col("k")
+    spots = F.slice("spot", first + 1, last - first)
+    slots = F.filter(spots, lambda s: s["i"].rlike(_SLOT[form]) & F.coalesce(templated(s["i"], form) == templated(s["d"], form), F.lit(False)))
+    values = F.transform(slots, lambda s: F.struct(bare(s["i"]).alias("i"), bare(s["d"]).alias("d")))
+    held = ranged.select("doc_id", "item_id", "item_windows", F.size("starts").alias("n_windows"), F.size(slots).alias("n_slots"), F.array_distinct(values).alias("pairs"))
+    return held.withColumn("same", F.forall("pairs", lambda s: s["i"] == s["d"])).withColumn("rank", F.lit(rank))
+
+
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no item is found."""
     lost = Stored(leaks(docs, items).select("doc_id").distinct(), "leaky_docs")

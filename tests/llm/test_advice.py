@@ -27,3 +27,27 @@ def test_template_has_the_positions_of_the_tokens(spark):
     rows = d.select("doc_id", "v", decontaminate.template(F.col("v")).alias("t")).orderBy("doc_id").collect()
     assert all(len(r.v) == len(r.t) for r in rows)
     assert rows[0].t == ["ran", "\ue002", "and", "\ue002"] and rows[0].v == ["ran", "\ue00235km", "and", "\ue0021200kg"]
+
+
+def test_items_full_of_slots_and_short_items_are_found(spark):
+    series, short = "What comes next: 2 4 8 16 32 64 128", "Name the 3 rivers"
+    docs = [(1, f"so, {series.lower()}?"), (2, f"x y. {short} z"), (3, "name the 4 rivers"), (4, "What comes next: 1 3 9 27 81 243 729"), (5, "name the 3"), (6, series.upper())]
+    assert found(spark, docs, [(1, series), (2, short), (3, " ")]) == {(1, 1): "verbatim", (2, 2): "verbatim", (6, 1): "verbatim"}
+
+
+def test_names_at_sentence_starts_are_slots(spark):
+    item = "Tom has 5 apples in his bag. Tom buys 3 (Tom likes them).\nTom eats 2 of all those apples. How many remain?"
+    other = item.replace("Tom", "Anna").replace("5", "7").replace("3", "4")
+    mixed = item.replace("Tom", "Anna", 1).replace("Tom", "Eva")
+    assert found(spark, [(1, other), (2, f"well {item}"), (3, mixed)], [(1, item)]) == {(1, 1): "reparameterised", (2, 1): "verbatim"}
+
+
+def test_two_values_may_become_one(spark):
+    item = "a farmer sold 5 apples and then 8 pears to the baker who lives next door in town"
+    assert found(spark, [(1, item.replace("5", "6").replace("8", "6"))], [(1, item)]) == {(1, 1): "reparameterised"}
+
+
+def test_windows_full_of_slots_count_beside_others(spark):
+    item = "please add up all of the numbers 4 7 9 12 15 18 21 24"
+    docs = [(1, item.replace("4 7 9", "5 6 8")), (2, "please add up all of the numbers 1 but not those that are odd or small")]
+    assert found(spark, docs, [(1, item)]) == {(1, 1): "reparameterised"}
