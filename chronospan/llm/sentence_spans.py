@@ -2,9 +2,12 @@
 
 A text is cut into sentences: after ``.``, ``!`` or ``?`` and at line ends, and
 also before an upper-case word that follows a lower-case one, where pasted
-text tends to start within a sentence. From every sentence on, the shortest
-run of consecutive sentences of at least ``min_words`` words (several
-sentences, unless one has that many by itself) is hashed. Runs meet across the
+text tends to start within a sentence; the full stops of unspaced scripts
+(``STOPS``) need no blank after them. From every sentence on, and up to every
+sentence, the shortest run of consecutive sentences of at least ``min_words``
+words (several sentences, unless one has that many by itself) is hashed, so any
+repeated stretch of that many words is covered by repeated runs to its last
+sentence. A letter of an unspaced script counts as a word. Runs meet across the
 corpus by hash; the first of equal runs, by (doc_id, sentence), stays, and
 sentences that any other of them covers are removed.
 
@@ -33,7 +36,11 @@ from pyspark.sql import functions as F
 from .common import Stored, maybe_broadcast
 
 MIN_WORDS = 25
-_CUT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*|(?<=[^\W\d_A-Z]) (?=[^\W\d_a-z])")
+#: Ends of sentences in scripts that put no blank after them.
+STOPS = "。！？｡"
+_CUT = re.compile(rf"(?<=[.!?])\s+|\s*\n\s*|(?<=[^\W\d_A-Z]) (?=[^\W\d_a-z])|(?<=[{STOPS}])(?![{STOPS}」』”’）\s])\s*|(?<=[{STOPS}][」』”’）])(?![{STOPS}」』”’）\s])\s*|(?<=[{STOPS}」』”’）])\s+")
+#: Letters that are written without blanks between words: Thai, Lao, Burmese, Khmer, kana and Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
@@ -51,18 +58,25 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
+def count_words(part: str) -> int:
+    """Words between blanks, where each letter of an unspaced script is a word of its own."""
+    return len(part.split()) if part.isascii() else len(_UNSPACED.sub(" x ", part).split())
+
+
 def runs(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
-    """(hash, first sentence, last sentence) of the run from each sentence on that reaches ``min_words`` words."""
+    """(hash, first sentence, last sentence) of the shortest runs of ``min_words`` words from each sentence on and up to each sentence."""
     if not text:
         return []
     parts = [text[a:b].strip() for a, b in sentences(text)]
-    total = np.cumsum([0, *(len(p.split()) for p in parts)])
+    total = np.cumsum([0, *map(count_words, parts)])
     if total[-1] < min_words:
         return []
     ends = np.searchsorted(total, total[:-1] + min_words)
-    marks = [xxhash.xxh3_64_digest(p) for p in parts]
-    packed = b"".join(marks)
-    return [(xxhash.xxh3_64_intdigest(packed[8 * i : 8 * j]) - (1 << 63), i, j - 1) for i, j in enumerate(ends.tolist()) if j < len(total)]
+    found = {(i, j) for i, j in enumerate(ends.tolist()) if j < len(total)}
+    starts = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+    found |= {(i, j) for j, i in enumerate(starts.tolist(), 1) if i >= 0}
+    packed = b"".join(xxhash.xxh3_64_digest(p) for p in parts)
+    return [(xxhash.xxh3_64_intdigest(packed[8 * i : 8 * j]) - (1 << 63), i, j - 1) for i, j in sorted(found)]
 
 
 def hashed_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

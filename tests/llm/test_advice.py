@@ -2,9 +2,11 @@
 
 import random
 
+import random
+
 from pyspark.sql import functions as F
 
-from chronospan.llm import decontaminate
+from chronospan.llm import decontaminate, sentence_spans
 
 DOCS = "doc_id long, text string"
 ITEMS = "item_id long, text string"
@@ -51,3 +53,51 @@ def test_windows_full_of_slots_count_beside_others(spark):
     item = "please add up all of the numbers 4 7 9 12 15 18 21 24"
     docs = [(1, item.replace("4 7 9", "5 6 8")), (2, "please add up all of the numbers 1 but not those that are odd or small")]
     assert found(spark, docs, [(1, item)]) == {(1, 1): "reparameterised"}
+
+
+def numbered(name, sizes):
+    return " ".join(" ".join(f"{name}{i}x{j}" for j in range(n)).capitalize() + "." for i, n in enumerate(sizes))
+
+
+def cleaned(spark, rows):
+    return {r.doc_id: r.text for r in sentence_spans.clean_documents(spark.createDataFrame(rows, DOCS)).collect()}
+
+
+def test_tails_of_repeated_passages_go(spark):
+    passage = numbered("p", [9, 8, 6, 19, 9, 3, 7])
+    rows = [(1, f"{passage} {numbered('a', [5, 30])}"), (2, f"{numbered('b', [5, 30])} {passage} {numbered('c', [4, 12])}")]
+    assert cleaned(spark, rows) == {1: rows[0][1], 2: f"{numbered('b', [5, 30])} {numbered('c', [4, 12])}"}
+
+
+def test_every_sentence_of_a_long_repeat_is_covered():
+    rng = random.Random(3)
+    for _ in range(200):
+        sizes = [rng.randint(1, 20) for _ in range(rng.randint(1, 15))]
+        found = sentence_spans.runs(numbered("w", sizes))
+        assert (sum(sizes) >= 25) == (bool(found) and min(i for _, i, _ in found) == 0 and {n for _, i, j in found for n in range(i, j + 1)} == set(range(len(sizes))))
+
+
+def test_unspaced_scripts_have_sentences_and_words(spark):
+    passage = "昨日は雨が降っていましたので家にいました。今日は天気がとても良いです。明日は友達と山へ行きます！「はい。」と言った。"
+    assert [passage[a:b] for a, b in sentence_spans.sentences(passage)] == ["昨日は雨が降っていましたので家にいました。", "今日は天気がとても良いです。", "明日は友達と山へ行きます！", "「はい。」", "と言った。"]
+    rows = [(1, passage + "これは最初の文書です。"), (2, "別の文書はここから始まります。" + passage)]
+    assert cleaned(spark, rows) == {1: rows[0][1], 2: "別の文書はここから始まります。"}
+
+
+def test_span_dedup_equals_all_runs_of_any_length(spark):
+    rng = random.Random(4)
+    sentence = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(rng.randint(1, 14))).capitalize() + "."
+    shared = [sentence() for _ in range(14)]
+    rows = [(i, " ".join(sentence() for _ in range(8))) for i in range(12)]
+    rows += [(30 + i, f"Lead{i}. {' '.join(shared[rng.randint(0, 3) : rng.randint(9, 14)])} Rest{i} of it.") for i in range(8)] + [(50, rows[3][1]), (51, rows[3][1] + "\n" + rows[3][1])]
+    first, runs, want = {}, [], {}
+    for d, t in rows:
+        s = [t[a:b].strip() for a, b in sentence_spans.sentences(t)]
+        runs += [(tuple(s[a : b + 1]), d, a, b) for a in range(len(s)) for b in range(a, len(s)) if sum(len(x.split()) for x in s[a : b + 1]) >= 25]
+    for key, d, a, _ in runs:
+        first[key] = min(first.get(key, (d, a)), (d, a))
+    for key, d, a, b in runs:
+        if (d, a) != first[key]:
+            want.setdefault(d, set()).update(range(a, b + 1))
+    got = sentence_spans.removals(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(want) >= 8 and {r.doc_id: {n for a, b in r.spans for n in range(a, b + 1)} for r in got} == want
