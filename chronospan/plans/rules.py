@@ -119,7 +119,7 @@ C27 = "WITH s AS (SELECT event_id, greatest(0.0, least(value - 10, 80.0)) AS a F
 
 
 def c21_lines(spark, sf_dir):
-    p = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 60).alias("t"))
+    p = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("t"))
     return p.select("conv_id", "turn", F.array_join(C.wrapped_lines(F.col("t"), 16), "/").alias("lines"))
 
 
