@@ -1,8 +1,10 @@
 """Byte-level BPE ids of whole texts, from a public vocabulary file.
 
-The vocabulary is the JSON file that the ``tokenizers`` library reads; ids equal
-that library's with ``encode_special_tokens`` on (so a special token's string
-in a text is ordinary text). Words between single blanks never merge with each
+The vocabulary is the JSON file that the ``tokenizers`` library reads.
+``Bpe.ids`` equals that library's ids with ``add_special_tokens=False``: an added
+token of the file, such as ``<|endoftext|>``, is one id wherever a text holds its
+string. ``Bpe.encode`` takes such a string for ordinary text, as the library does
+with ``encode_special_tokens`` on. Words between single blanks never merge with each
 other under this pattern, so ids of words are remembered, in a bounded cache,
 and a text is mostly a join of remembered pieces.
 """
@@ -10,6 +12,7 @@ and a text is mostly a join of remembered pieces.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from functools import lru_cache
 
@@ -68,7 +71,13 @@ class Bpe:
 
         with open(vocabulary, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{vocabulary}: added tokens that match more or less than their own string")
+        special = {t["content"] for t in added}
+        self._added = {t["content"]: packed([t["id"]]) for t in added}
+        longest_first = sorted(map(re.escape, self._added), key=len, reverse=True)
+        self._split = re.compile(f"({'|'.join(longest_first)})").split if added else lambda text: [text]
         byte_of = printable_bytes()
         ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self._encoding = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -79,8 +88,15 @@ class Bpe:
     def _whole(self, text: str) -> bytes:
         return packed(self._encoding.encode_ordinary(text))
 
+    def ids(self, text: str) -> bytes:
+        """Ids of a text, each added token in it being one id."""
+        if not any(token in text for token in self._added):
+            return self.encode(text)
+        parts = self._split(text)
+        return b"".join(self._added[x] if i % 2 else self.encode(x) for i, x in enumerate(parts))
+
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+        """Ids of ordinary text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         first, later = self._first, self._later.__getitem__

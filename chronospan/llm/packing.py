@@ -43,7 +43,7 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
     end = bpe.packed([end_id])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = bpe.load(vocabulary).encode
+        encode = bpe.load(vocabulary).ids
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -2,13 +2,15 @@
 
 import random
 import textwrap
+import zlib
 
 import random
 import textwrap
+import zlib
 
 from pyspark.sql import functions as F
 
-from chronospan.llm import decontaminate, sentence_spans
+from chronospan.llm import bpe, decontaminate, packing, sentence_spans
 from chronospan.plans import rules
 
 DOCS = "doc_id long, text string"
@@ -111,3 +113,16 @@ def test_lines_wrap_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.turn: r.lines for r in rules.c21_lines(spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None else "/".join(textwrap.wrap(" ".join(t.split()), 16, break_long_words=False, break_on_hyphens=False)) for i, t in enumerate(texts)}
+
+
+def test_added_tokens_in_a_text_are_one_id(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [end, f"a {end} b", f"{end}{end}", f"x \n {end}\n  y  {end} ", f"1{end}2", "<|endoftext|", f"<{end}>", "plain text", ""]
+    want = {i: t.encode(x, add_special_tokens=False).ids for i, x in enumerate(texts)}
+    got = {r.doc_id: r for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert want[0] == [50256]
+    assert {i: (r.doc_tokens, r.ids_crc32) for i, r in got.items()} == {i: (len(ids) + 1, zlib.crc32(bpe.packed([*ids, packing.END_ID]))) for i, ids in want.items()}
