@@ -10,7 +10,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from chronospan.llm import bpe, decontaminate, packing, sentence_spans
+from chronospan.llm import bpe, decontaminate, line_dedup, packing, sentence_spans
 from chronospan.plans import rules
 
 DOCS = "doc_id long, text string"
@@ -126,3 +126,17 @@ def test_added_tokens_in_a_text_are_one_id(spark):
     got = {r.doc_id: r for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
     assert want[0] == [50256]
     assert {i: (r.doc_tokens, r.ids_crc32) for i, r in got.items()} == {i: (len(ids) + 1, zlib.crc32(bpe.packed([*ids, packing.END_ID]))) for i, ids in want.items()}
+
+
+def test_unspaced_lines_are_compared_as_brute_force_does(spark):
+    rng = random.Random(11)
+    line = lambda n: "".join(chr(rng.randint(0x4E00, 0x5E00)) for _ in range(n))
+    base = [line(rng.randint(90, 140)) for _ in range(60)]
+    early = [x[:3] + line(1) + x[4:] for x in base]
+    late = [x[:60] + line(1) + x[61:] for x in base]
+    lines = [*base, *early, *late, *(line(100) for _ in range(20))]
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    assert all(100 * len(a & b) >= 80 * len(a | b) for a, b in zip(sets[:60], sets[60:120], strict=True))
+    got = {r.doc_id: r.kept_doc_id for r in line_dedup.removed_lines(spark.createDataFrame(list(enumerate(lines)), DOCS)).collect()}
+    want = {60 * k + i: i for i in range(60) for k in (1, 2)}
+    assert got.items() <= want.items() and len(got) >= 0.99 * len(want)
