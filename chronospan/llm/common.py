@@ -47,13 +47,22 @@ def _hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+#: Has Spark delete a query's shuffle files when it ends; what is stored is read from its files from then on.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Stored:
     """A DataFrame written once to the shared folder and read back from there."""
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = scratch_path(self.spark, name)
-        df.write.parquet(self.path)
+        was = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(self.path)
+        finally:
+            self.spark.conf.unset(_CLEANUP) if was is None else self.spark.conf.set(_CLEANUP, was)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def bytes(self) -> int:
@@ -99,7 +108,7 @@ def gapless_rank(df: DataFrame, group: list[str], order: list[str], spread: Colu
 
 
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges`` (a, b: long) as (id, component), component being the smallest id.
+    """Connected components of ``edges`` (a, b: of one type with an order) as (id, component), component being the smallest id.
 
     Alternating large-star and small-star rounds, each a map-side combined
     minimum and a join back, until the edges stop changing. Each round's edges

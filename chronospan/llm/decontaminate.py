@@ -54,14 +54,19 @@ _DIGITS = rf"(?<![\p{{L}}\p{{N}}{_NUMBER}{_QUANTITY}])[$€£]?(\d[\d.,:/]*)"
 _PUNCTUATION = "!\"#&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’…¿¡" + _UNIT
 
 
-def canonical(text: Column) -> Column:
-    """Tokens of a text; a placeholder's token is its sign and what it stands for."""
+def signed(text: Column) -> Column:
+    """A text whose placeholders are their sign and what they stand for, lower-cased and freed of punctuation."""
     found = F.regexp_replace(text, rf"{_DIGITS}(?:\s?({UNITS})(?![\p{{L}}\p{{N}}]))?", f" {_NUMBER}$1{_UNIT}$2 ")
     numbers = F.regexp_replace(found, rf"{_NUMBER}(\d[\d.,:/]*){_UNIT}(?! )", f"{_QUANTITY}$1_")
     digits = F.when(text.rlike(r"\d"), numbers).otherwise(text)
     names = F.regexp_replace(digits, r"(?<=\p{Ll} |\p{Ll}, )(\p{Lu}[\p{L}\p{M}]*)", f"{_NAME}$1")
     capitals = F.regexp_replace(names, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}\p{{N}}{_NAME}])(\p{{Lu}}[\p{{L}}\p{{M}}]*)", f"{_CAPITAL}$1")
-    return words(F.lower(F.translate(capitals, _PUNCTUATION, "")))
+    return F.lower(F.translate(capitals, _PUNCTUATION, ""))
+
+
+def canonical(text: Column) -> Column:
+    """Tokens of a text; a placeholder's token is its sign and what it stands for."""
+    return words(signed(text))
 
 
 def bare(token: Column) -> Column:
@@ -79,24 +84,25 @@ def template(tokens: Column, form: str = FIRM) -> Column:
     return F.transform(tokens, lambda t: templated(t, form))
 
 
-def exact(tokens: Column) -> Column:
-    """The tokens without signs of placeholders."""
-    return F.transform(tokens, bare)
-
+def hashed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, sign, x, f, l), one a text: each token's first code point and its hash in the exact, firm and loose form.
 
-def windows(tokens: Column, k: int = WINDOW) -> Column:
-    """Hash of the ``k`` tokens from each position on."""
-
-    def of(h: Column) -> Column:
-        return F.when(F.size(h) >= k, F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
-
-    return F.transform(F.array(F.transform(tokens, lambda t: F.xxhash64(t))), of)[0]
+    Tokens without signs are split from the text once more, as many and in the
+    same places; so only plain hashes and numbers are handled token by token.
+    """
+    texts = rows.where("text is not null").select(*keys, signed(F.col("text")).alias("signed"))
+    tokens = texts.select(
+        *keys, F.transform(words(F.col("signed")), lambda t: F.ascii(t)).alias("sign"), F.transform(words(bare(F.col("signed"))), lambda t: F.xxhash64(t)).alias("x")
+    )
+    number, name, capital = ord(_NUMBER), ord(_NAME), ord(_CAPITAL)
+    firm = F.zip_with("sign", "x", lambda s, h: F.when(s.between(number, name), s.cast("long")).otherwise(h))
+    loose = F.zip_with("sign", "x", lambda s, h: F.when(s.between(number, capital), F.least(s, F.lit(name)).cast("long")).otherwise(h))
+    return tokens.select(*keys, "sign", "x", firm.alias("f"), loose.alias("l"))
 
 
-def every_window(tokens: Column) -> Column:
-    """For each position, the distinct hashes of its windows in the three forms."""
-    forms = F.arrays_zip(windows(exact(tokens)).alias("x"), windows(template(tokens)).alias("f"), windows(template(tokens, LOOSE)).alias("l"))
-    return F.transform(forms, lambda w: F.array_distinct(F.array(w["x"], w["f"], w["l"])))
+def window(form: str, k: int = WINDOW) -> Column:
+    """Hash of the ``k`` tokens from position ``pos`` on; null where the text ends before."""
+    return F.when(F.col("pos") <= F.size(form) - k, F.xxhash64(*[F.get(F.col(form), F.col("pos") + j) for j in range(k)]))
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -104,32 +110,29 @@ def item_windows(items: DataFrame) -> DataFrame:
 
     ``coded`` of the ``item_windows`` windows have a template among their hashes.
     """
-    tokens = items.where("text is not null").select("item_id", canonical(F.col("text")).alias("t")).distinct()
-    few = lambda i, form: F.size(F.filter(F.slice("t", i + 1, F.lit(WINDOW)), lambda x: x.rlike(_SLOT[form]))) <= MOST_SLOTS
-    full = tokens.where(F.size("t") >= WINDOW)
-    hashed = F.arrays_zip(windows(exact(F.col("t"))).alias("x"), windows(template(F.col("t"))).alias("f"), windows(template(F.col("t"), LOOSE)).alias("l"))
-    kept = F.transform(hashed, lambda w, i: F.array_distinct(F.array_compact(F.array(w["x"], F.when(few(i, FIRM), w["f"]), F.when(few(i, LOOSE), w["l"])))))
-    coded = F.size(F.filter(F.sequence(F.lit(0), F.size("t") - WINDOW), lambda i: few(i, FIRM) | few(i, LOOSE)))
-    rows = full.select("item_id", (F.size("t") - (WINDOW - 1)).alias("item_windows"), coded.alias("coded"), F.posexplode(kept).alias("item_pos", "hs"))
-    long = rows.select("item_id", "item_pos", "item_windows", "coded", F.lit(WINDOW).alias("k"), F.explode("hs").alias("h"))
-    short = tokens.where((F.size("t") > 0) & (F.size("t") < WINDOW)).select(
-        "item_id", F.lit(0).alias("item_pos"), F.lit(1).alias("item_windows"), F.lit(1).alias("coded"), F.size("t").alias("k"), _whole(exact(F.col("t"))).alias("h")
+    tokens = hashed(items, ["item_id"]).distinct()
+    slots = lambda last: lambda i: F.size(F.filter(F.slice("sign", i + 1, F.lit(WINDOW)), lambda s: s.between(ord(_NUMBER), ord(last))))
+    few = {"f": lambda i: slots(_NAME)(i) <= MOST_SLOTS, "l": lambda i: slots(_CAPITAL)(i) <= MOST_SLOTS}
+    at = F.sequence(F.lit(0), F.size("x") - WINDOW)
+    full = tokens.where(F.size("x") >= WINDOW).withColumn("coded", F.size(F.filter(at, lambda i: few["f"](i) | few["l"](i))))
+    placed = full.select("*", F.explode(at).alias("pos"))
+    kept = F.array_distinct(F.array_compact(F.array(window("x"), *[F.when(few[form](F.col("pos")), window(form)) for form in few])))
+    long = placed.select("item_id", F.col("pos").alias("item_pos"), (F.size("x") - (WINDOW - 1)).alias("item_windows"), "coded", F.lit(WINDOW).alias("k"), F.explode(kept).alias("h"))
+    whole = F.coalesce(*[F.when(F.size("x") == k, window("x", k)) for k in range(1, WINDOW)])
+    short = tokens.where((F.size("x") > 0) & (F.size("x") < WINDOW)).withColumn("pos", F.lit(0)).select(
+        "item_id", F.col("pos").alias("item_pos"), F.lit(1).alias("item_windows"), F.lit(1).alias("coded"), F.size("x").alias("k"), whole.alias("h")
     )
     return long.unionByName(short)
 
 
-def _whole(tokens: Column) -> Column:
-    """The hash that ``windows`` has for the only window of fewer than ``WINDOW`` tokens."""
-    return F.coalesce(*[F.when(F.size(tokens) == k, windows(tokens, k)[0]) for k in range(1, WINDOW)])
-
-
 def doc_windows(docs: DataFrame, short: list[int]) -> DataFrame:
     """Rows (doc_id, pos, h) of the windows of all forms, and of exact windows of the lengths ``short``."""
-    tokens = docs.where("text is not null").select(F.col("doc_id").cast("long"), canonical(F.col("text")).alias("t"))
-    seen = tokens.select("doc_id", F.posexplode(every_window(F.col("t"))).alias("pos", "hs")).select("doc_id", "pos", F.explode("hs").alias("h"))
-    for k in short:
-        seen = seen.unionByName(tokens.select("doc_id", F.posexplode(windows(exact(F.col("t")), k)).alias("pos", "h")))
-    return seen
+    texts = hashed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
+    least = min([WINDOW, *short])
+    placed = texts.where(F.size("x") >= least).select("doc_id", "x", "f", "l", F.explode(F.sequence(F.lit(0), F.size("x") - least)).alias("pos"))
+    w = placed.select("doc_id", "pos", *[window(form).alias(form) for form in "xfl"], *[window("x", k).alias(f"x{k}") for k in short])
+    firm, loose = F.when(F.col("f") != F.col("x"), F.col("f")), F.when((F.col("l") != F.col("f")) & (F.col("l") != F.col("x")), F.col("l"))
+    return w.select("doc_id", "pos", F.explode(F.array("x", firm, loose, *[f"x{k}" for k in short])).alias("h")).where("h is not null")
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:

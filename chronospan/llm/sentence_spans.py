@@ -11,15 +11,18 @@ sentence. A letter of an unspaced script counts as a word. Runs meet across the
 corpus by hash; the first of equal runs, by (doc_id, sentence), stays, and
 sentences that any other of them covers are removed.
 
-Hashes are 64 bits of XXH3 over the run's sentences, each with its blanks at
-the ends cut off. Equal runs are counted map-side first; only runs that occur
-twice or more are joined back, so a run that is in a third of all documents is
-one row on the counted side.
+Hashes are 128 bits of XXH3 over the run's sentences, each with its blanks at
+the ends cut off. Runs are counted by half of their hash, map-side first, which
+leaves those that may repeat; they then meet by the whole hash. Both joins
+are shuffle joins at every size, as repeated runs grow with the corpus; Spark
+splits the rows of a passage that is in a third of all documents.
 
 Defined results: null, blank or short text has no run and loses nothing; runs
 repeated within one document count like others; rows of equal doc_id and text
-are one document and leave each other alone; empty input gives no rows; other
-columns are ignored, whatever their names.
+are one document and leave each other alone; rows of one doc_id with different
+texts are documents of their own, told apart by ``mark``; null doc_ids come
+first; empty input gives no rows; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -63,7 +67,7 @@ def count_words(part: str) -> int:
     return len(part.split()) if part.isascii() else len(_UNSPACED.sub(" x ", part).split())
 
 
-def runs(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
+def runs(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[bytes, int, int]]:
     """(hash, first sentence, last sentence) of the shortest runs of ``min_words`` words from each sentence on and up to each sentence."""
     if not text:
         return []
@@ -75,34 +79,47 @@ def runs(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, i
     found = {(i, j) for i, j in enumerate(ends.tolist()) if j < len(total)}
     starts = np.searchsorted(total, total[1:] - min_words, side="right") - 1
     found |= {(i, j) for j, i in enumerate(starts.tolist(), 1) if i >= 0}
-    packed = b"".join(xxhash.xxh3_64_digest(p) for p in parts)
-    return [(xxhash.xxh3_64_intdigest(packed[8 * i : 8 * j]) - (1 << 63), i, j - 1) for i, j in sorted(found)]
+    packed = b"".join(xxhash.xxh3_64_digest(p.encode("utf-8", "surrogatepass")) for p in parts)
+    return [(xxhash.xxh3_128_digest(packed[8 * i : 8 * j]), i, j - 1) for i, j in sorted(found)]
 
 
 def hashed_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Rows (h, h2, doc_id, mark, first, last) of all runs."""
+    names = ["h", "h2", "doc_id", "mark", "first", "last"]
+
+    def packed(found: list[tuple[bytes, int, int]], docs: list[tuple], sizes: list[int]) -> pa.RecordBatch:
+        hashes, first, last = zip(*found, strict=True)
+        halves = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+        ids, marks = (pa.array(x, pa.int64()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))) for x in zip(*docs, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), ids, marks, pa.array(first, pa.int32()), pa.array(last, pa.int32())], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, names = (pa.int64(), pa.int64(), pa.int32(), pa.int32()), ["h", "doc_id", "first", "last"]
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(h, doc, i, j) for h, i, j in runs(text, min_words)]
-                if len(rows) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            found, docs, sizes = [], [], []
+            for doc, mark, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if own := runs(text, min_words):
+                    found += own
+                    docs.append((doc, mark))
+                    sizes.append(len(own))
+                if len(found) > 50_000:
+                    yield packed(found, docs, sizes)
+                    found, docs, sizes = [], [], []
+            if found:
+                yield packed(found, docs, sizes)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "h long, doc_id long, first int, last int")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "h long, h2 long, doc_id long, mark long, first int, last int")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (doc_id, first, last, kept_in): runs of sentences to remove, and the document that keeps each."""
+    """Rows (doc_id, mark, first, last, kept_in): runs of sentences to remove, and the document that keeps each."""
     every = Stored(hashed_runs(docs, min_words), "sentence_runs")
-    keeper = F.min(F.struct("doc_id", "first"))
-    counted = every.df.groupBy("h").agg(keeper.alias("keeper"), F.max(F.struct("doc_id", "first")).alias("other"))
-    repeated = Stored(counted.where("keeper <> other").select("h", F.col("keeper.doc_id").alias("kept_in"), F.col("keeper.first").alias("kept_at")), "sentence_runs_repeated")
-    met = every.df.join(maybe_broadcast(repeated), "h")
-    return met.where("doc_id <> kept_in or first <> kept_at").select("doc_id", "first", "last", "kept_in")
+    several = Stored(every.df.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "sentence_runs_several")
+    met = Stored(every.df.join(several.df.hint("merge"), "h", "left_semi"), "sentence_runs_met")
+    every.drop()
+    place = F.struct("doc_id", "mark", "first")
+    keepers = met.df.groupBy("h", "h2").agg(F.min(place).alias("keeper"), F.max(place).alias("other")).where("keeper <> other").select("h", "h2", "keeper")
+    found = met.df.join(keepers.hint("merge"), ["h", "h2"]).where(place != F.col("keeper"))
+    return found.select("doc_id", "mark", "first", "last", F.col("keeper.doc_id").alias("kept_in"))
 
 
 def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -112,7 +129,12 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     and in order; ``kept_in`` are the documents that keep them. Lists are as
     long as one document's own spans at most.
     """
-    found = repeated_spans(docs, min_words).groupBy("doc_id").agg(
+    return marked_removals(docs, min_words).drop("mark")
+
+
+def marked_removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """:func:`removals` with the document's ``mark``."""
+    found = repeated_spans(docs, min_words).groupBy("doc_id", "mark").agg(
         F.array_sort(F.collect_set(F.struct("first", "last"))).alias("s"), F.array_sort(F.collect_set("kept_in")).alias("kept_in")
     )
     start = F.array(F.element_at("s", 1))
@@ -123,9 +145,9 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["last"], x["last"]).alias("last"))),
         ),
     ).otherwise(F.concat(acc, F.array(x)))
-    merged = found.select("doc_id", F.aggregate("s", start, grown).alias("spans"), "kept_in")
+    merged = found.select("doc_id", "mark", F.aggregate("s", start, grown).alias("spans"), "kept_in")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
-    return merged.select("doc_id", removed.alias("n_removed"), "spans", "kept_in")
+    return merged.select("doc_id", "mark", removed.alias("n_removed"), "spans", "kept_in")
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -135,16 +157,16 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     for first, last in spans:
         out.append(text[at : cut[first][0]])
         at = cut[last + 1][0] if last + 1 < len(cut) else len(text)
-    return ("".join(out) + text[at:]).rstrip() if spans else text
+    return ("".join(out) + text[at:]).rstrip() if len(spans) else text
 
 
 def clean_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` less their repeated sentences; texts that lose nothing stay as they are."""
-    lost = Stored(removals(docs, min_words).select("doc_id", "spans"), "sentence_removals")
+    lost = Stored(marked_removals(docs, min_words).select(F.col("doc_id").alias("_of"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans")), "sentence_removals")
 
-    @F.udf("string")
-    def cut(text, spans):
-        return text if text is None or not spans else without(text, [tuple(s) for s in spans])
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else without(t, [(x["first"], x["last"]) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    joined = docs.join(maybe_broadcast(lost), "doc_id", "left")
-    return joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans"))).select(*docs.columns)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_of")) & (F.xxhash64("text") == F.col("_mark"))
+    return docs.join(maybe_broadcast(lost), same, "left").withColumn("text", cut("text", "_spans")).select(*docs.columns)

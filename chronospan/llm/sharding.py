@@ -1,10 +1,10 @@
 """Rendezvous sharding (operator 5).
 
 Every record key gets one score per shard from a hash of (key, shard) and goes
-to the highest. A new shard only adds one more score, so the rows that move
-are those the new shard wins. With weights, a shard's score is
-``-weight / ln(u)`` with u the hash in (0, 1), which makes its share of keys
-proportional to its weight.
+to the highest. A shard's score is ``-weight / ln(u)`` with u the hash in
+(0, 1), which makes its share of keys proportional to its weight. A new shard
+of any weight only adds one more score, so the rows that move are those the new
+shard wins.
 
 Defined results: a null key hashes as such, so all null keys share one shard;
 equal keys share a shard; empty input gives no rows; a null text has size
@@ -27,22 +27,19 @@ OVERHEAD = 16
 RANK_PARTS = 256
 
 
-def score(key: Column, shard: int, weight: float) -> Column:
-    """The shard's score for a key. Equal weights compare raw hashes: same order, no logarithm."""
-    return F.xxhash64(key, F.lit(shard))
-
-
-def weighted_score(key: Column, shard: int, weight: float) -> Column:
-    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 11).cast("double") + 0.5) / float(1 << 53)
-    return -F.lit(float(weight)) / F.ln(u)
+def _score(key: Column, shard: int, weight: float) -> Column:
+    """The shard's score for a key, in one order for all weights: by ``-weight / ln(u)``, then by the hash itself."""
+    h = F.xxhash64(key, F.lit(shard))
+    u = (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / float(1 << 53)
+    unsigned = h.bitwiseXOR(F.lit(-(1 << 63)))
+    return F.struct((-F.lit(float(weight)) / F.ln(u)).alias("score"), unsigned.alias("hash"), F.lit(shard).alias("shard"))
 
 
 def assign(key: Column, weights: list[float]) -> Column:
     """Shard (int) of a key among ``len(weights)`` shards; ties go to the larger shard number."""
     if not weights or any(not (w > 0 and math.isfinite(w)) for w in weights):
         raise ValueError("weights must be positive and finite")
-    of = score if len(set(weights)) == 1 else weighted_score
-    best = [F.struct(of(key, i, w).alias("score"), F.lit(i).alias("shard")) for i, w in enumerate(weights)]
+    best = [_score(key, i, w) for i, w in enumerate(weights)]
     return (F.greatest(*best) if len(best) > 1 else best[0])["shard"]
 
 

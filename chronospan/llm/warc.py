@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -37,32 +38,43 @@ CHUNK = 1 << 20
 INDEX = "archive string, ordinal long, offset long, bytes long, record_id string, record_type string"
 
 
+def linked_by(html: Column, min_bytes: int) -> Column:
+    """Digest of a payload that may be revisited; null if it is too short."""
+    payload = F.coalesce(html, F.lit(""))
+    return F.when(F.octet_length(payload) >= min_bytes, F.sha2(payload, 256))
+
+
+def safe_url(url: Column) -> Column:
+    """The URL with control characters and blanks percent-encoded."""
+    code = lambda c: F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))
+    each = F.transform(F.split(url, ""), lambda c: F.when((c != "") & ((F.ascii(c) <= 32) | (F.ascii(c) == 127)), code(c)).otherwise(c))
+    return F.when(url.rlike(r"[\x00-\x20\x7f]"), F.array_join(each, "")).otherwise(F.coalesce(url, F.lit("about:blank")))
+
+
 def revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
-    """Rows (page_id, refers_to) for every record that repeats a later page's payload.
+    """Rows (page_id, digest, refers_to) for every record that repeats a later page's payload.
 
     Payloads meet by digest and length; sums are combined map-side, and only
     digests of two or more pages are joined back.
     """
-    payload = F.coalesce(F.col("html"), F.lit(""))
-    keys = pages.where(F.octet_length(payload) >= min_bytes).select("page_id", F.sha2(payload, 256).alias("digest"))
+    keys = pages.select("page_id", linked_by(F.col("html"), min_bytes).alias("digest")).where("digest is not null")
     keyed = Stored(keys, "payload_keys")
     groups = keyed.df.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
     repeated = Stored(groups.where("n > 1").select("digest", "refers_to"), "payload_groups")
-    return keyed.df.join(maybe_broadcast(repeated), "digest").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return keyed.df.join(maybe_broadcast(repeated), "digest").where("not (page_id <=> refers_to)").select("page_id", "digest", "refers_to").distinct()
 
 
 def record_text(page_id: Column, url: Column, html: Column, refers_to: Column) -> Column:
-    """A WARC record without its closing blank lines, as text. Control characters in the URL are percent-encoded."""
+    """A WARC record without its closing blank lines, as text."""
     payload = F.coalesce(html, F.lit(""))
     digest = F.sha1(payload)
     body = F.when(refers_to.isNull(), payload).otherwise(F.lit(""))
-    safe = F.regexp_replace(F.coalesce(url, F.lit("about:blank")), r"[\x00-\x20\x7f]", "%20")
     uid = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     return F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "),
         F.when(refers_to.isNull(), "response").otherwise("revisit"),
         F.lit("\r\nWARC-Record-ID: "), uid(page_id),
-        F.lit("\r\nWARC-Target-URI: "), safe,
+        F.lit("\r\nWARC-Target-URI: "), safe_url(url),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), digest,
         F.lit("\r\nX-Payload-Bytes: "), F.octet_length(payload).cast("string"),
         F.when(refers_to.isNull(), "").otherwise(F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), uid(refers_to))),
@@ -74,7 +86,7 @@ def record_text(page_id: Column, url: Column, html: Column, refers_to: Column) -
 def write_monolithic(pages: DataFrame, path: str, min_bytes: int = 1000) -> None:
     """Write all pages below ``path``: one gzip stream a partition, records in it not addressable."""
     links = Stored(revisits(pages, min_bytes), "revisits")
-    rows = pages.select("page_id", "url", "html").join(maybe_broadcast(links), "page_id", "left")
+    rows = pages.select("page_id", "url", "html", linked_by(F.col("html"), min_bytes).alias("digest")).join(maybe_broadcast(links), ["page_id", "digest"], "left")
     record = record_text(F.col("page_id"), F.col("url"), F.col("html"), F.col("refers_to"))
     rows.select(record.alias("value")).write.option("compression", "gzip").option("lineSep", END.decode()).text(path)
 
@@ -134,7 +146,7 @@ def normalise_one(source: str, target: str, level: int) -> list[tuple]:
     """Rewrite one archive; the index rows, also written beside it as ``<target>.idx`` (JSON lines)."""
     fs, src = _open(source)
     fs2, dst = _open(target)
-    part = f"{dst}.{hashlib.sha1(repr(id(fs)).encode()).hexdigest()[:8]}.tmp"
+    part = f"{dst}.{uuid.uuid4().hex}.tmp"
     rows, at = [], 0
     with fs.open_input_stream(src, compression=None) as stream, fs2.open_output_stream(part, compression=None) as out:
         for n, record in enumerate(split_records(inflate(stream))):
@@ -223,7 +235,11 @@ def read_records(index: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
-    """Write ``pages`` as monolithic archives, normalise them and read every record back by the index."""
+    """Write ``pages`` as monolithic archives, normalise them and read every record back by the index.
+
+    The monolithic archives are deleted at once; the normalised ones stay in the
+    shared folder, as the rows are read from them whenever the result is used.
+    """
     spark = pages.sparkSession
     whole, single = scratch_path(spark, "warc_whole"), scratch_path(spark, "warc")
     write_monolithic(pages, whole, min_bytes)

@@ -85,8 +85,7 @@ def test_rendezvous_is_brute_force_and_moves_little(spark):
 
     def score(i, s):
         first = xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42)
-        h = xxhash.xxh64_intdigest(s.to_bytes(4, "little"), first)
-        return h - (1 << 64) if h >> 63 else h
+        return xxhash.xxh64_intdigest(s.to_bytes(4, "little"), first)
 
     for r in got[:300]:
         assert r.shard == max(range(40), key=lambda s: score(r.doc_id, s))
@@ -97,6 +96,22 @@ def test_rendezvous_is_brute_force_and_moves_little(spark):
     assert {(r.size, r.text_crc32) for r in got if r.doc_id == 7} == {(18, zlib.crc32(b"t7")), (16, 0)}
 
 
+@pytest.mark.parametrize("weights, new", [([1.0] * 3, 2.0), ([0.1] * 3, 0.1), ([0.1] * 3, 0.3), ([5.0, 1.0, 0.5], 0.7), ([2.0], 2.0)])
+def test_growth_moves_keys_into_the_new_shard_only(spark, weights, new):
+    both = spark.range(4000).select(sharding.assign(F.col("id"), weights).alias("a"), sharding.assign(F.col("id"), [*weights, new]).alias("b")).collect()
+    moved = [r for r in both if r.a != r.b]
+    assert {r.b for r in moved} == {len(weights)}
+    assert abs(len(moved) / 4000 - new / (sum(weights) + new)) < 0.04
+
+
+def test_sharding_of_odd_tables(spark):
+    schema = "doc_id long, text string, slot string, _part int"
+    rows = [(None, "a", "x", 1), (None, "b", "x", 1), (3, "c", None, 1), (3, "c", None, 1)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, schema), 5, [0.1] * 5).collect()
+    assert len(got) == 4 and len({r.shard for r in got if r.doc_id is None}) == 1 and all(r.grown_shard in (r.shard, 5) for r in got)
+    assert sharding.shard_documents(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_weights_share_keys(spark):
     got = spark.range(8000).select(sharding.assign(F.col("id"), [1.0, 3.0]).alias("s")).groupBy("s").count().collect()
     assert abs({r.s: r["count"] for r in got}[1] / 8000 - 0.75) < 0.03
@@ -167,8 +182,36 @@ def test_chat_round_trip(spark):
 
 def test_rewriting_templates_are_detected(spark):
     t = spark.createDataFrame([(1, i, "user", f"m{i}") for i in range(3)], "conv_id long, turn long, role string, text string")
-    last_only = lambda turns, first: "|".join("..." if i < len(turns) - 1 else x for i, (_, x) in enumerate(turns))
+    last_only = lambda turns: "|".join("..." if i < len(turns) - 1 else x for i, (_, x) in enumerate(turns))
     marked = chat.format_conversations(t, last_only, strict=False).orderBy("n").collect()
     assert [r.rewrites for r in marked] == [False, True, True]
     with pytest.raises(Exception, match="rewrites history"):
         chat.format_conversations(t, last_only).collect()
+
+
+def test_templates_that_look_back_over_blocks(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], f"m{i}") for i in range(40)] + [(2, 0, chat.PROBES[0] + chat.PROBES[1], chat.PROBES[0]), (2, None, "", "\ue001x\ue000")]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    shown = lambda template: {(r.conv_id, r.block * 8 + r.n): r for r in chat.format_conversations(t, template, block=8, strict=False).collect()}
+    plain = shown(chat.inst_template)
+    assert not any(r.rewrites for r in plain.values()) and len(plain) == 42
+    assert "".join(plain[1, i].formatted for i in range(40)) == chat.inst_template([(r, x) for c, _, r, x in rows if c == 1])
+    assert all(r.formatted[r.text_start : r.text_end] == (f"m{i}" if c == 1 else ("\ue001x\ue000", "\ue000")[i]) for (c, i), r in plain.items())
+    numbered = lambda turns: "".join(f"<{i}:{x}>" for i, (_, x) in enumerate(turns))
+    marked = shown(numbered)
+    assert {i for (c, i), r in marked.items() if c == 1 and r.rewrites} == set(range(16, 40))
+    assert [marked[1, i].formatted for i in range(16)] == [f"<{i}:m{i}>" for i in range(16)]
+    pair = lambda turns: "".join(f"<{turns[i - 1][1] if i else ''}|{x}>" for i, (_, x) in enumerate(turns))
+    pairs = shown(pair)
+    assert not any(r.rewrites for (c, _), r in pairs.items() if c == 1) and pairs[1, 16].formatted == "<m15|m16>"
+    with pytest.raises(ValueError, match="rewrites history"):
+        chat.format_conversations(t, numbered, block=8)
+    hidden = lambda turns: "".join(f"<{len(x)}>" for _, x in turns)
+    assert all(r.rewrites for r in shown(hidden).values())
+
+
+def test_chat_of_empty_tables_and_clashing_names(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.digests(chat.format_conversations(none)).count() == 0
+    odd = spark.createDataFrame([(1, 0, "user", "x" * 300_000, 5, "own", True)], "conv_id long, turn long, role string, text string, block int, part string, last boolean")
+    assert [(r.formatted_chars, r.loss_chars) for r in chat.digests(chat.format_conversations(odd)).collect()] == [(300_000 + 3 + 6 + 4 + 7 + 4, 0)]
