@@ -41,9 +41,11 @@ def fingerprint(*columns: str) -> Column:
 
 
 def redacted(text: Column, mark: str = "[redacted]") -> Column:
-    """Keys, tokens and passwords given as ``name=value`` or ``name: value``, and bearer tokens, masked."""
-    named = F.regexp_replace(text, r"(?i)\b(api[_-]?key|token|secret|password)(\s*[:=]\s*)\S+", f"$1$2{mark}")
-    return F.regexp_replace(named, r"(?i)\bbearer\s+[A-Za-z0-9._~+/-]+=*", f"Bearer {mark}")
+    """Keys, tokens, passwords and authorizations given as ``name=value`` or ``name: value``, bearer tokens and ``sk-`` keys, masked."""
+    bearer = F.regexp_replace(text, r"(?i)\bbearer\s+\S+", f"Bearer {mark}")
+    keys = F.regexp_replace(bearer, r"\bsk-[A-Za-z0-9_-]{8,}", mark)
+    names = r"(?i)(\b(?:api[_-]?key|token|secret|password|authorization)[\x22']?\s*[:=]\s*[\x22']?)(?!Bearer \[)[^\x22'\s,}]+"
+    return F.regexp_replace(keys, names, f"$1{mark}")
 
 
 def even_indices(n: Column, k: int) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .islands import fold_sorted, islands
+
 
 def _buckets(a: Column, b: Column, width: float) -> Column:
     return F.sequence(F.floor(a / width), F.floor(b / width))
@@ -67,9 +68,9 @@ def asof(probe: DataFrame, data: DataFrame, key: list[str], t: str, value: str,
     return met.select("_p.*", F.col("_m.v").alias("matched"), F.col("_m.t").alias("matched_t"))
 
 
-def neighbours(df: DataFrame, key: list[str], t: str, is_anchor: Column, value: str) -> DataFrame:
-    """Each row's previous and next anchor value, itself excluded."""
-    w = Window.partitionBy(*key).orderBy(t)
+def neighbours(df: DataFrame, key: list[str], t: str, is_anchor: Column, value: str, tie: str | None = None) -> DataFrame:
+    """Each row's previous and next anchor value by time and ``tie``, itself excluded."""
+    w = Window.partitionBy(*key).orderBy(t, *([tie] if tie else []))
     v = F.when(is_anchor, F.col(value))
     return df.withColumn("previous", F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn(
         "following", F.first(v, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
@@ -122,11 +123,14 @@ def bin_overlay(intervals: DataFrame, key: list[str], start: str, end: str, scor
 
 
 def match_counts(truth: DataFrame, predicted: DataFrame, key: list[str], t: str, tolerance: float) -> DataFrame:
-    """tp, fp, fn a key by one-to-one matching within ``tolerance``: two pointers reach the largest matching on a line."""
+    """tp, fp, fn a key by one-to-one matching within ``tolerance``: two pointers reach the largest matching on a line.
+
+    Times with a longer pause between them never match, so each island is matched alone and its counts are added up.
+    """
     both = truth.select(*key, F.col(t).alias("_t"), F.lit(True).alias("_true")).unionByName(predicted.select(*key, F.col(t).alias("_t"), F.lit(False).alias("_true")))
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = np.sort(pdf[pdf._true]._t.to_numpy()), np.sort(pdf[~pdf._true]._t.to_numpy())
+    def match(rows: list[tuple]) -> list[tuple]:
+        a, b = ([r[-3] for r in rows if r[-2] is side] for side in (True, False))
         i = j = tp = 0
         while i < len(a) and j < len(b):
             if abs(a[i] - b[j]) <= tolerance + 1e-9:
@@ -135,10 +139,11 @@ def match_counts(truth: DataFrame, predicted: DataFrame, key: list[str], t: str,
                 i += 1
             else:
                 j += 1
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in key), tp, len(b) - tp, len(a) - tp]], columns=[*key, "tp", "fp", "fn"])
+        return [(*rows[0][:-3], tp, len(b) - tp, len(a) - tp)]
 
-    kinds = dict(truth.dtypes)
-    return both.groupBy(*key).applyInPandas(match, ", ".join([*(f"`{k}` {kinds[k]}" for k in key), "tp long, fp long, fn long"]))
+    cut = islands(both, key, "_t", "_t", tolerance + 1e-9, 64 * (tolerance + 1e-9))
+    counts = fold_sorted(cut, [*key, "island"], ["_t", "_true"], match, key, {"tp": "long", "fp": "long", "fn": "long"})
+    return counts.groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
 
 
 def greedy_pairs(df: DataFrame, key: list[str], left: str, right: str, distance: str, most: float, margin: float) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import overlap_join, overlap_ratio
+
 
 def tie_groups(df: DataFrame, key: list[str], truth: str, score: str) -> DataFrame:
     """One row a distinct score with counts and running counts from the top: (pos, neg, tp, fp).
@@ -110,20 +112,62 @@ def ndcg(df: DataFrame, key: list[str], grade: str, score: str, tie: str, k: int
     return ranked.groupBy(*key).agg(gain("_r").alias("dcg"), gain("_i").alias("ideal")).withColumn("ndcg", F.try_divide("dcg", F.when(F.col("ideal") > 0, F.col("ideal"))))
 
 
+#: Cumulated probabilities of 0, 1, 2... under a Poisson law of mean 1.
+POISSON = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(i + 1)) for i in range(12)]
+
+
 def bootstrap_mean(df: DataFrame, group: list[str], cluster: str, value: str, draws: int = 2000, seed: int = 7, least: int = 10) -> DataFrame:
     """(group, clusters, mean, low, high): mean of cluster means; a seeded 95 % cluster bootstrap from ``least`` clusters on.
 
-    Rows shrink to one a cluster on Spark first; a group's clusters are one task's.
+    Every cluster has a Poisson weight in every draw, from a digest of seed,
+    group, cluster and draw, so draws are sums that combine map-side and don't
+    depend on the order or place of rows.
     """
     means = df.groupBy(*group, cluster).agg(F.avg(value).alias("m"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(cluster).m.to_numpy()
-        low = high = None
-        if len(x) >= least:
-            rng = np.random.default_rng(seed)
-            low, high = np.percentile([x[rng.integers(0, len(x), len(x))].mean() for _ in range(draws)], [2.5, 97.5])
-        return pd.DataFrame([[*(pdf[g].iloc[0] for g in group), len(x), x.mean(), low, high]], columns=[*group, "clusters", "mean", "low", "high"])
-
-    kinds = dict(df.dtypes)
-    return means.groupBy(*group).applyInPandas(run, ", ".join([*(f"`{g}` {kinds[g]}" for g in group), "clusters long, mean double, low double, high double"]))
+    drawn = means.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*group, cluster, "draw"]]
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *parts)), 1, 8), 16, 10).cast("long") / float(1 << 32)
+    weight = sum((F.when(u >= p, 1).otherwise(0) for p in POISSON[1:]), F.when(u >= POISSON[0], 1).otherwise(0))
+    weighted = drawn.withColumn("w", weight).groupBy(*group, "draw").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("m")).alias("s"), F.count(F.lit(1)).alias("n"), F.avg("m").alias("mean"))
+    drawn_mean = F.when((F.col("n") >= least) & (F.col("w") > 0), F.col("s") / F.col("w"))
+    ends = F.percentile(drawn_mean, F.array(F.lit(0.025), F.lit(0.975)))
+    out = weighted.groupBy(*group).agg(F.max("n").alias("clusters"), F.max("mean").alias("mean"), ends.alias("ends"))
+    return out.select(*group, "clusters", "mean", F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high"))
+
+
+def micro_and_per_class(counts: DataFrame, label: str) -> DataFrame:
+    """(label, is_total, tp, fp, fn, precision, recall, f1): counts added up by class and, with null label, over all."""
+    c = counts.rollup(label).agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn")], F.grouping(label).cast("int").alias("is_total"))
+    scores = zip(prf(F.col("tp"), F.col("fp"), F.col("fn")), ("precision", "recall", "f1"), strict=True)
+    return c.select(label, "is_total", "tp", "fp", "fn", *[x.alias(n) for x, n in scores])
+
+
+def max_pooled(frames: DataFrame, clip: list[str], label: str, score: str, mapping: dict[str, list[str]]) -> DataFrame:
+    """(clip, category, score): the largest score of any frame and any label that the category holds."""
+    of = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(x).alias("_label")) for c, labels in mapping.items() for x in labels])
+    names = frames.sparkSession.range(1).select(F.explode(of).alias("m")).select("m.*")
+    best = frames.groupBy(*clip, label).agg(F.max(score).alias("score"))
+    return best.join(F.broadcast(names), best[label] == names["_label"]).groupBy(*clip, "category").agg(F.max("score").alias("score"))
+
+
+def candidate_recall(truth: DataFrame, candidates: DataFrame, chosen: DataFrame, key: list[str], id_: str, width: float, iou: float, grade: str) -> DataFrame:
+    """Quality of candidates and of a choice among them, a key: how many true intervals a candidate covers, what the choice is worth.
+
+    (key, annotated, candidate_recall, selected, judged, quality, matched, completeness): recall counts true
+    intervals that overlap a candidate by ``iou``; quality is the mean grade of judged
+    picks; of picks whose best true interval (the smaller id if equal) overlaps them by ``iou``, completeness
+    is the share whose clip holds that interval's clip. Nothing known is null, never 0.
+    """
+    t = truth.select(*key, F.col(id_).alias("_id"), "start", "end", F.col("clip_start").alias("_cs"), F.col("clip_end").alias("_ce"))
+    other = lambda df: df.select(*key, F.col(id_).alias("other_id"), F.col("start").alias("other_start"), F.col("end").alias("other_end"), "clip_start", "clip_end")
+    ratio = overlap_ratio(F.col("start"), F.col("end"), F.col("other_start"), F.col("other_end"))
+    covered = overlap_join(t, other(candidates), key, width).where(ratio >= iou).select(*key, "_id").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("covered"))
+    met = overlap_join(t, other(chosen), key, width).withColumn("_ratio", ratio).where(F.col("_ratio") >= iou)
+    best = met.groupBy(*key, "other_id").agg(F.min(F.struct((-F.col("_ratio")).alias("r"), "_id", ((F.col("clip_start") <= F.col("_cs")) & (F.col("clip_end") >= F.col("_ce"))).alias("whole"))).alias("b"))
+    complete = best.groupBy(*key).agg(F.count(F.lit(1)).alias("matched"), F.avg(F.col("b.whole").cast("int")).alias("completeness"))
+    n = t.groupBy(*key).agg(F.count(F.lit(1)).alias("annotated"))
+    picks = chosen.groupBy(*key).agg(F.count(F.lit(1)).alias("selected"), F.count(grade).alias("judged"), F.avg(grade).alias("quality"))
+    out = n.join(covered, key, "left").join(picks, key, "full_outer").join(complete, key, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    recall = F.when(F.col("annotated") > 0, F.coalesce("covered", F.lit(0)) / F.col("annotated"))
+    return out.select(*key, zero("annotated"), recall.alias("candidate_recall"), zero("selected"), zero("judged"), "quality", zero("matched"), "completeness")

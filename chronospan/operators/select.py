@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .islands import fold_sorted, islands
+
 
 def top_k(df: DataFrame, order: list, k: int) -> DataFrame:
     """The first k rows: a bounded heap a task, merged on the driver side of the shuffle."""
@@ -17,76 +21,86 @@ def top_k_each(df: DataFrame, key: list[str], order: list, k: int, rank: str = "
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def greedy_non_overlapping(df: DataFrame, key: list[str], start: str, end: str, score: str, tie: str, k: int) -> DataFrame:
-    """By falling score, keep rows that overlap none kept of their key, at most k a key, with ``pick``."""
+def greedy_non_overlapping(df: DataFrame, key: list[str], start: str, end: str, score: str, tie: str, k: int, bucket: float | None = None) -> DataFrame:
+    """By falling score, keep rows that overlap none kept of their key, at most k a key, with ``pick``.
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
-        rows = []
-        for i, a, b in pdf.sort_values([score, start, tie], ascending=[False, True, True])[[start, end]].itertuples():
-            if len(kept) == k:
-                break
-            if all(b <= x or y <= a for x, y in kept):
-                kept.append((a, b))
-                rows.append(i)
-        out = pdf.loc[rows]
-        return out.assign(pick=range(1, len(rows) + 1))
-
-    kinds = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    return df.groupBy(*key).applyInPandas(choose, f"{kinds}, pick int")
-
-
-def diverse_top_k(df: DataFrame, key: list[str], source: str, kind: str, start: str, end: str, score: str, tie: str, k: int, near: float, near_cost: float = 3.0, same_cost: float = 1.0) -> DataFrame:
-    """Repeatedly the best of score less ``near_cost`` a chosen row of the source within ``near`` and ``same_cost`` a chosen row of the kind.
-
-    A best row that overlaps a chosen one of its source is passed over for good.
-    The candidates of a key are one task's: cut them to a shortlist first.
+    Rows that no chain of overlaps connects don't affect each other, so each
+    such island is chosen from alone and the best k of all kept rows are the picks.
     """
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, chosen, rows = pdf.sort_values([start, tie]).copy(), [], []
-        left["_s"] = left[score].astype(float)
-        while len(left) and len(rows) < k:
-            i = left["_s"].idxmax()
-            r = left.loc[i]
-            left = left.drop(i)
-            if any(c[source] == r[source] and r[start] < c[end] and c[start] < r[end] for c in chosen):
+    a, b = df.columns.index(start), df.columns.index(end)
+
+    def choose(rows: list[tuple]) -> list[tuple]:
+        starts: list = []
+        kept: list[tuple] = []  # in order of time, disjoint
+        for row in rows:
+            i = bisect_left(starts, row[a])
+            if all(row[b] <= x[a] or x[b] <= row[a] for x in kept[max(0, i - 1) : i + 1]):
+                starts.insert(i, row[a])
+                kept.insert(i, row)
+        return kept
+
+    cut = islands(df, key, start, end, 0, bucket)
+    order = [F.desc(score), start, tie]
+    return top_k_each(fold_sorted(cut, [*key, "island"], order, choose).drop("island"), key, order, k, "pick")
+
+
+def diverse_top_k(df: DataFrame, key: list[str], source: str, kind: str, start: str, end: str, score: str, tie: str, k: int, near: float, near_cost: float = 3.0, same_cost: float = 1.0, strict: bool = False) -> DataFrame:
+    """Repeatedly the best of score less ``near_cost`` a chosen row of the source less than ``near`` away and ``same_cost`` a chosen row of the kind.
+
+    Equal adjusted scores go to the higher score, then to source, start and
+    ``tie``. A best row that overlaps a chosen one of its source is passed over
+    for good. Fewer than k picks of a key raise with ``strict``. The candidates
+    of a key are one task's: cut them to a shortlist first where a key is large.
+    """
+    at = {c: df.columns.index(c) for c in (source, kind, start, end, score)}
+
+    def choose(rows: list[tuple]) -> list[tuple]:
+        left = [[row[at[score]], row] for row in rows]
+        chosen: list[tuple] = []
+        while left and len(chosen) < k:
+            i = max(range(len(left)), key=lambda n: left[n][0])  # the first of equal ones
+            best = left.pop(i)[1]
+            of_source = [c for c in chosen if c[at[source]] == best[at[source]]]
+            if any(max(c[at[start]], best[at[start]]) < min(c[at[end]], best[at[end]]) for c in of_source):
                 continue
-            chosen.append(r)
-            rows.append(i)
-            close = (left[source] == r[source]) & ((left[start] - r[start]).abs() <= near)
-            left.loc[close, "_s"] -= near_cost
-            left.loc[left[kind] == r[kind], "_s"] -= same_cost
-        return pdf.loc[rows].assign(pick=range(1, len(rows) + 1))
+            chosen.append(best)
+            for x in left:
+                close = x[1][at[source]] == best[at[source]] and abs(x[1][at[start]] - best[at[start]]) < near
+                x[0] -= near_cost * close + same_cost * (x[1][at[kind]] == best[at[kind]])
+        if strict and len(chosen) < k:
+            raise ValueError(f"{len(chosen)} of {k} picks")
+        return [(*row, n) for n, row in enumerate(chosen, 1)]
 
-    kinds = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    return df.groupBy(*key).applyInPandas(choose, f"{kinds}, pick int")
+    return fold_sorted(df, key, [F.desc(score), source, start, tie], choose, add={"pick": "long"}).withColumn("pick", F.col("pick").cast("int"))
 
 
-def merge_duplicates(df: DataFrame, key: list[str], start: str, end: str, peak: str, score: str, id_: str, peak_gap: float, share: float) -> DataFrame:
+def merge_duplicates(df: DataFrame, key: list[str], start: str, end: str, peak: str, better: list[str], id_: str, peak_gap: float, share: float, bucket: float | None = None) -> DataFrame:
     """Merge events of a key whose peaks are near and whose overlap is a ``share`` of the shorter: the better stays.
 
     In order of start and end, each row meets the kept ones newest first; the
-    row of higher score takes the place, and ``ids`` gathers all merged ids.
+    row that is greater by the columns ``better``, in order, takes the place, and
+    ``ids`` gathers all merged ids.
     """
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for r in pdf.sort_values([start, end, id_]).to_dict("records"):
-            for n in range(len(kept) - 1, -1, -1):
-                o = kept[n]
-                meet = min(r[end], o[end]) - max(r[start], o[start])
-                short = min(r[end] - r[start], o[end] - o[start])
-                if abs(r[peak] - o[peak]) <= peak_gap and short > 0 and meet / short >= share:
-                    ids = sorted({*o["ids"], r[id_]})
-                    kept[n] = dict(r if r[score] > o[score] else o, ids=ids)
+    a, b, p, i = (df.columns.index(c) for c in (start, end, peak, id_))
+    ranks = [df.columns.index(c) for c in better]
+
+    def merge(rows: list[tuple]) -> list[tuple]:
+        kept: list[list] = []
+        for row in rows:
+            for x in reversed(kept):
+                other = x[0]
+                meet, short = min(row[b], other[b]) - max(row[a], other[a]), min(row[b] - row[a], other[b] - other[a])
+                if abs(row[p] - other[p]) <= peak_gap and short > 0 and meet / short >= share:
+                    x[1].add(row[i])
+                    if [row[n] for n in ranks] > [other[n] for n in ranks]:
+                        x[0] = row
                     break
             else:
-                kept.append(dict(r, ids=[r[id_]]))
-        return pd.DataFrame(kept, columns=[*pdf.columns, "ids"])
+                kept.append([row, {row[i]}])
+        return [(*row, sorted(ids)) for row, ids in kept]
 
-    kinds = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    return df.groupBy(*key).applyInPandas(merge, f"{kinds}, ids array<{dict(df.dtypes)[id_]}>")
+    cut = islands(df, key, start, end, 0, bucket)
+    return fold_sorted(cut, [*key, "island"], [start, end, id_], merge, add={"ids": id_}).drop("island")
 
 
 def evenly_spaced(df: DataFrame, key: list[str], order: list, k: int) -> DataFrame:
@@ -111,15 +125,15 @@ def shuffled(df: DataFrame, key: list[str], id_: str, seed: int, rank: str = "pl
 
 
 def namespaced_union(parts: dict[str, DataFrame], id_: str, same: list[str]) -> DataFrame:
-    """Union of parts with ids prefixed by part; a column of ``same`` must have one value in all (checked as rows pass)."""
+    """Union of parts with ids prefixed by part; a column of ``same`` must have one value in all, which one aggregate over the parts checks at once."""
     out = None
     for name, part in parts.items():
         rows = part.withColumn(id_, F.concat_ws("__", F.lit(name), F.col(id_).cast("string"))).withColumn("part", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
-    for c in same:
-        n = out.agg(F.count_distinct(c).alias("n")).first().n
-        if n > 1:
-            raise ValueError(f"{c} differs between parts")
+    if same:
+        ends = out.agg(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in same]).first()
+        if differ := [c for c in same if ends[c].lo != ends[c].hi]:
+            raise ValueError(f"{', '.join(differ)} differs between parts")
     return out
 
 
@@ -153,9 +167,13 @@ def expand_over(spans: DataFrame, parts: DataFrame, key: list[str], span_id: str
 
 
 def first_passing(cues: DataFrame, frames: DataFrame, key: list[str], cue_id: str, t: str, frame_t: str, within: float, ok: Column) -> DataFrame:
-    """(cue_id, at): the first frame of the key from the cue's time to ``within`` later that passes; null without any."""
-    near = cues.join(frames, key).where((F.col(frame_t) >= F.col(t)) & (F.col(frame_t) <= F.col(t) + within) & ok)
-    first = near.groupBy(cue_id).agg(F.min(frame_t).alias("at"))
+    """(cue_id, at): the first frame of the key from the cue's time to ``within`` later that passes; null without any.
+
+    Frames and cues meet in buckets of ``within``, so a key's frames aren't all tried.
+    """
+    dealt = cues.withColumn("_bucket", F.explode(F.array(F.floor(F.col(t) / within), F.floor(F.col(t) / within) + 1)))
+    near = dealt.join(frames.withColumn("_bucket", F.floor(F.col(frame_t) / within)), [*key, "_bucket"])
+    first = near.where((F.col(frame_t) >= F.col(t)) & (F.col(frame_t) <= F.col(t) + within) & ok).groupBy(cue_id).agg(F.min(frame_t).alias("at"))
     return cues.select(cue_id).join(first, cue_id, "left")
 
 

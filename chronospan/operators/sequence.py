@@ -7,13 +7,14 @@ is used). Row order of the input never matters.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_left
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .islands import fold_sorted, islands
+
 
 def _by(key: list[str], *order) -> Window:
     return Window.partitionBy(*key).orderBy(*order)
@@ -53,7 +54,7 @@ def split_at(intervals: DataFrame, cores: DataFrame, key: list[str], start: str
     w = _by(key, "core_start")
     cuts = cores.select(*key, F.col(start).alias("core_start"), F.col(end).alias("core_end")).withColumn("next", F.lead("core_start").over(w))
     cuts = cuts.where("next is not null").select(*key, ((F.col("core_end") + F.col("next")) / 2).alias("cut"), "core_start", "next")
-    met = intervals.join(cuts, key, "left").where(F.col("cut").isNull() | F.lit(True))
+    met = intervals.join(cuts, key, "left")
     inside = met.withColumn("cut", F.when((F.col("core_start") >= F.col(start)) & (F.col("next") < F.col(end)), F.col("cut")))
     points = inside.groupBy(*key, start, end).agg(F.array_sort(F.collect_set("cut")).alias("cuts"))
     edges = F.concat(F.array(F.col(start).cast("double")), F.col("cuts"), F.array(F.col(end).cast("double")))
@@ -67,24 +68,21 @@ def dilate(df: DataFrame, key: list[str], t: str, hit: Column, reach: int, out:
     return df.withColumn(out, F.max(F.coalesce(hit, F.lit(False)).cast("int")).over(w) == 1)
 
 
-def _fold(df: DataFrame, key: list[str], schema: str, f: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """An order-dependent fold a key; a key's rows are one task's, so keys are sources or finer."""
-    return df.groupBy(*key).applyInPandas(f, schema)
-
-
 def refractory(df: DataFrame, key: list[str], t: str, least: float, tie: str) -> DataFrame:
-    """Rows kept when at least ``least`` has passed since the last kept row."""
+    """Rows kept when at least ``least`` has passed since the last kept row; rows after so long a pause are kept whatever was before."""
+    at = df.columns.index(t)
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([t, tie])
+    def keep(rows: list[tuple]) -> list[tuple]:
         last, kept = -np.inf, []
-        for x in pdf[t]:
-            ok = x - last >= least
-            kept.append(ok)
-            last = x if ok else last
-        return pdf[np.array(kept, bool)]
+        for row in rows:
+            if row[at] - last >= least:
+                kept.append(row)
+                last = row[at]
+        return kept
 
-    return _fold(df, key, df.schema, keep)
+    # A pause of just ``least`` parts rows too; islands part beyond a gap only, which leaves such rows together and is right as well.
+    cut = islands(df, key, t, t, least, 64 * least)
+    return fold_sorted(cut, [*key, "island"], [t, tie], keep).drop("island")
 
 
 def reversals(df: DataFrame, key: list[str], t: str, x: str, reach: int, least: float, refract: float) -> DataFrame:
@@ -115,19 +113,20 @@ def local_peaks(df: DataFrame, key: list[str], t: str, p: str, threshold: float)
 
 def suppress(df: DataFrame, key: list[str], t: str, p: str, reach: float, slack: float = 1e-9) -> DataFrame:
     """Non-maximum suppression: by falling p (earlier first), keep rows farther than ``reach + slack`` from all kept."""
+    at = df.columns.index(t)
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([p, t], ascending=[False, True])
-        kept: list[float] = []
-        mark = []
-        for x in pdf[t]:
-            ok = all(abs(x - k) > reach + slack for k in kept)
-            mark.append(ok)
-            if ok:
-                kept.append(x)
-        return pdf[np.array(mark, bool)]
+    def keep(rows: list[tuple]) -> list[tuple]:
+        times: list[float] = []
+        kept = []
+        for row in rows:
+            i = bisect_left(times, row[at])
+            if all(abs(row[at] - x) > reach + slack for x in times[max(0, i - 1) : i + 1]):
+                times.insert(i, row[at])
+                kept.append(row)
+        return kept
 
-    return _fold(df, key, df.schema, keep)
+    cut = islands(df, key, t, t, reach + slack, 64 * (reach + slack))
+    return fold_sorted(cut, [*key, "island"], [F.desc(p), t], keep).drop("island")
 
 
 def soft_targets(events: DataFrame, key: list[str], t: str, fps: float, sigma: float, frames: int) -> DataFrame:
@@ -156,10 +155,10 @@ def owned_windows(df: DataFrame, key: list[str], start: Column, end: Column, len
     return w.withColumn("own_start", F.coalesce((before + F.col("win_start")) / 2, F.col("win_start"))).withColumn("own_end", F.coalesce((F.col("win_end") + after) / 2, F.col("win_end")))
 
 
-def sample_slots(df: DataFrame, key: list[str], t: str, start: Column, slot: float) -> DataFrame:
-    """The first row of each slot of length ``slot`` since ``start``: a rate-limited sample."""
+def sample_slots(df: DataFrame, key: list[str], t: str, start: Column, slot: float, tie: str | None = None) -> DataFrame:
+    """The first row of each slot of length ``slot`` since ``start``, by time and ``tie``: a rate-limited sample."""
     place = F.floor((F.col(t) - start) / slot + 1e-6)
-    first = F.row_number().over(Window.partitionBy(*key, "slot").orderBy(t))
+    first = F.row_number().over(Window.partitionBy(*key, "slot").orderBy(t, *([tie] if tie else [])))
     return df.withColumn("slot", place).withColumn("_r", first).where("_r = 1").drop("_r")
 
 
@@ -172,24 +171,23 @@ def running_offsets(df: DataFrame, key: list[str], order: list[str], size: str)
 def merge_capped(df: DataFrame, key: list[str], start: str, end: str, longest: float) -> DataFrame:
     """Merge overlapping intervals in order as long as the merged one stays at most ``longest``: (key, start, end, n)."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows: list[tuple]) -> list[tuple]:
         out: list[list] = []
-        for a, b in pdf.sort_values([start, end])[[start, end]].itertuples(index=False):
-            if out and a <= out[-1][1] and max(b, out[-1][1]) - out[-1][0] <= longest:
-                out[-1][1] = max(b, out[-1][1])
-                out[-1][2] += 1
+        for *k, a, b, _ in rows:
+            if out and a <= out[-1][-2] and max(b, out[-1][-2]) - out[-1][-3] <= longest:
+                out[-1][-2] = max(b, out[-1][-2])
+                out[-1][-1] += 1
             else:
-                out.append([a, b, 1])
-        keys = [pdf[k].iloc[0] for k in key]
-        return pd.DataFrame([[*keys, *x] for x in out], columns=[*key, start, end, "n"])
+                out.append([*k, a, b, 1])
+        return [tuple(x) for x in out]
 
-    kinds = dict(df.dtypes)
-    return _fold(df.select(*key, start, end), key, ", ".join([*(f"`{k}` {kinds[k]}" for k in [*key, start, end]), "n int"]), fold)
+    cut = islands(df.select(*key, start, end), key, start, end, 0, 16 * longest)
+    return fold_sorted(cut, [*key, "island"], [start, end], fold, [*key, start, end], {"n": "long"}).withColumn("n", F.col("n").cast("int"))
 
 
-def kinematics(df: DataFrame, key: list[str], t: str, x: str, y: str, first_dt: float, width: float = 1.0) -> DataFrame:
-    """dt, dx, dy and speed (in widths a time unit) against the previous row; the first row takes ``first_dt``."""
-    w = _by(key, t)
+def kinematics(df: DataFrame, key: list[str], t: str, x: str, y: str, first_dt: float, width: float = 1.0, tie: str | None = None) -> DataFrame:
+    """dt and speed (in widths a time unit) against the previous row by time and ``tie``; the first row takes ``first_dt``, a row of no time has no speed."""
+    w = _by(key, t, *([tie] if tie else []))
     dt = F.coalesce(F.col(t) - F.lag(t).over(w), F.lit(first_dt))
     step = F.hypot(F.coalesce(F.col(x) - F.lag(x).over(w), F.lit(0.0)), F.coalesce(F.col(y) - F.lag(y).over(w), F.lit(0.0)))
     return df.withColumn("dt", dt).withColumn("speed", F.try_divide(step, F.col("dt") * F.lit(width)))

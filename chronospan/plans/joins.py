@@ -88,25 +88,25 @@ first_value(CASE WHEN value > 60 THEN event_id END IGNORE NULLS) OVER (PARTITION
 
 def e5_nearest(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    points = F.transform(F.sequence(F.lit(2), F.lit(30), F.lit(2)), lambda i: F.struct(F.get("v", i).alias("x"), F.get("v", i + 1).alias("y")))
+    points = F.transform(F.sequence(F.lit(2), F.lit(62), F.lit(2)), lambda i: F.struct(F.get("v", i).alias("x"), F.get("v", i + 1).alias("y")))
     n = J.nearest_element(points, F.col("v")[0], F.col("v")[1])
     return v.select("vec_id", n["index"].alias("nearest"), F.round(n["distance"], 5).alias("distance"))
 
 
 E5 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-d AS (SELECT vec_id, i, sqrt(pow(v[2 * i + 3] - v[1], 2) + pow(v[2 * i + 4] - v[2], 2)) AS d FROM v, (SELECT unnest(range(0, 15)) AS i))
+d AS (SELECT vec_id, i, sqrt(pow(v[2 * i + 3] - v[1], 2) + pow(v[2 * i + 4] - v[2], 2)) AS d FROM v, (SELECT unnest(range(0, 31)) AS i))
 SELECT vec_id, i::INT AS nearest, round(d, 5) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, i) = 1"""
 
 
 def e9_boxes(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     box = lambda i: F.struct(F.least(F.get("v", i), F.get("v", i + 2)).alias("x0"), F.greatest(F.get("v", i), F.get("v", i + 2)).alias("x1"), F.least(F.get("v", i + 1), F.get("v", i + 3)).alias("y0"), F.greatest(F.get("v", i + 1), F.get("v", i + 3)).alias("y1"))
-    boxes = F.transform(F.sequence(F.lit(2), F.lit(18), F.lit(4)), box)
+    boxes = F.transform(F.sequence(F.lit(2), F.lit(58), F.lit(4)), box)
     return v.select("vec_id", J.any_box_contains(boxes, F.col("v")[0], F.col("v")[1], 0.12).alias("inside"))
 
 
 E9 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-b AS (SELECT vec_id, v[1] AS x, v[2] AS y, least(v[i+1], v[i+3]) AS x0, greatest(v[i+1], v[i+3]) AS x1, least(v[i+2], v[i+4]) AS y0, greatest(v[i+2], v[i+4]) AS y1 FROM v, (SELECT unnest([2, 6, 10, 14, 18]) AS i))
+b AS (SELECT vec_id, v[1] AS x, v[2] AS y, least(v[i+1], v[i+3]) AS x0, greatest(v[i+1], v[i+3]) AS x1, least(v[i+2], v[i+4]) AS y0, greatest(v[i+2], v[i+4]) AS y1 FROM v, (SELECT unnest(range(2, 59, 4)) AS i))
 SELECT vec_id, bool_or(x BETWEEN x0 - (x1 - x0) * 0.12::DOUBLE AND x1 + (x1 - x0) * 0.12::DOUBLE AND y BETWEEN y0 - (y1 - y0) * 0.12::DOUBLE AND y1 + (y1 - y0) * 0.12::DOUBLE) AS inside FROM b GROUP BY 1"""
 
 
@@ -197,6 +197,13 @@ def e26_match(spark, sf_dir):
     return J.match_counts(e.where("event_type = 'click'"), e.where("event_type = 'view'"), ["user_id"], "t", 3.0)
 
 
+#: Two pointers over sorted times as a recursion: a pair within the tolerance is a match, else the earlier side moves on.
+E26 = f"""WITH RECURSIVE {EV}, x AS (SELECT user_id, coalesce(list(us / 3.6e9 ORDER BY us) FILTER (event_type = 'click'), []) AS t, coalesce(list(us / 3.6e9 ORDER BY us) FILTER (event_type = 'view'), []) AS p FROM e WHERE event_type IN ('click', 'view') GROUP BY 1),
+r AS (SELECT user_id, t, p, 1 AS i, 1 AS j, 0 AS tp FROM x
+ UNION ALL SELECT user_id, t, p, CASE WHEN m OR t[i] < p[j] THEN i + 1 ELSE i END, CASE WHEN m OR t[i] >= p[j] THEN j + 1 ELSE j END, tp + m::INT FROM r, LATERAL (SELECT abs(t[i] - p[j]) <= 3.000000001 AS m) WHERE i <= len(t) AND j <= len(p))
+SELECT user_id, max(tp)::BIGINT AS tp, (max(len(p)) - max(tp))::BIGINT AS fp, (max(len(t)) - max(tp))::BIGINT AS fn FROM r GROUP BY 1"""
+
+
 QUERIES = {
     "e3_asof_next": _asof(True), "e4_asof_previous": _asof(False), "e5_nearest": e5_nearest, "e6_overlap": e6_overlap, "e9_boxes": e9_boxes,
     "e10_contained": e10_contained, "e11_points": e11_points, "e12_near_semi": _near(False), "e14_near_anti": _near(True), "e13_uncovered": e13_uncovered,
@@ -206,5 +213,5 @@ QUERIES = {
 ORACLE_SQL = {
     "e3_asof_next": _asof_sql("<=", "arg_max"), "e4_asof_previous": _asof_sql(">=", "arg_min"), "e5_nearest": E5, "e6_overlap": E6, "e9_boxes": E9,
     "e10_contained": E10, "e11_points": E11, "e12_near_semi": _near_sql(""), "e14_near_anti": _near_sql("NOT"), "e13_uncovered": E13, "e15_reviewed_union": E15,
-    "e18_semi": E18, "e19_dimension": E19, "e20_neighbours": E20, "e23_iou": E23, "e24_best_overlap": E24, "e25_compare": E25, "e28_overlay": E28,
+    "e18_semi": E18, "e19_dimension": E19, "e20_neighbours": E20, "e23_iou": E23, "e24_best_overlap": E24, "e25_compare": E25, "e26_match": E26, "e28_overlay": E28,
 }

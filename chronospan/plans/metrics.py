@@ -98,10 +98,18 @@ SELECT unit, round(d, 9) AS dcg, round(b, 9) AS ideal, round(d / nullif(b, 0), 9
 
 
 def f14_bootstrap(spark, sf_dir):
-    return M.bootstrap_mean(events(spark, sf_dir), ["event_type"], "user_id", "value", draws=500)
+    b = M.bootstrap_mean(events(spark, sf_dir), ["event_type"], "user_id", "value", draws=500)
+    return b.select("event_type", "clusters", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
-def f22_recall(spark, sf_dir):
+F14 = f"""WITH m AS (SELECT event_type, user_id, avg(value) AS m FROM events GROUP BY ALL), d AS (SELECT *, unnest(range(1, 501)) AS draw FROM m),
+u AS (SELECT *, ('0x' || left(md5(concat_ws('|', '7', event_type, user_id::VARCHAR, draw::VARCHAR)), 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d),
+w AS (SELECT *, {' + '.join(f'(u >= {p!r}::DOUBLE)::INT' for p in M.POISSON)} AS w FROM u),
+g AS (SELECT event_type, draw, count(*) AS n, avg(m) AS mean, sum(w) AS w, sum(w * m) AS s FROM w GROUP BY ALL)
+SELECT event_type, max(n) AS clusters, round(max(mean), 6) AS mean, round(quantile_cont(CASE WHEN n >= 10 AND w > 0 THEN s / w END, 0.025), 6) AS low, round(quantile_cont(CASE WHEN n >= 10 AND w > 0 THEN s / w END, 0.975), 6) AS high FROM g GROUP BY 1"""
+
+
+def f22_timings(spark, sf_dir):
     e = events(spark, sf_dir)
     return e.groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"), F.round(F.avg("value"), 6).alias("mean"))
 
@@ -122,6 +130,6 @@ SELECT lang, coalesce(round(2 * tp / nullif(2 * tp + fp + fn, 0), 9), 0) AS f1,
 
 QUERIES = {
     "f9_alpha": f9_alpha, "f10_consensus": f10_consensus, "f11_majority": f11_majority, "f13_ndcg": f13_ndcg, "f14_bootstrap": f14_bootstrap, "f16_ap_auroc": f16_ap_auroc,
-    "f17_hits": f17_hits, "f18_macro": f18_macro, "f19_folds": f19_folds, "f21_threshold": f21_threshold, "f22_recall": f22_recall, "f24_grid": f24_grid,
+    "f17_hits": f17_hits, "f18_macro": f18_macro, "f19_folds": f19_folds, "f21_threshold": f21_threshold, "f22_timings": f22_timings, "f24_grid": f24_grid,
 }
-ORACLE_SQL = {"f9_alpha": F9, "f10_consensus": F10, "f11_majority": F11, "f13_ndcg": F13, "f16_ap_auroc": F16, "f17_hits": F17, "f18_macro": F18, "f19_folds": F19, "f21_threshold": F21, "f22_recall": F22, "f24_grid": F24}
+ORACLE_SQL = {"f9_alpha": F9, "f10_consensus": F10, "f11_majority": F11, "f13_ndcg": F13, "f16_ap_auroc": F16, "f17_hits": F17, "f18_macro": F18, "f19_folds": F19, "f21_threshold": F21, "f14_bootstrap": F14, "f22_timings": F22, "f24_grid": F24}

@@ -29,7 +29,7 @@ H6 = f"""WITH {EV} SELECT user_id, row_number() OVER w AS rank, event_id FROM e
 
 def h3_greedy(spark, sf_dir):
     s = spans(spark, sf_dir).where("value > 20")
-    return S.greedy_non_overlapping(s, ["user_id"], "start", "end", "value", "event_id", 5).select("user_id", "event_id", "pick")
+    return S.greedy_non_overlapping(s, ["user_id"], "start", "end", "value", "event_id", 5, 96.0 * HOUR).select("user_id", "event_id", "pick")
 
 
 H3 = f"""WITH RECURSIVE {EV}, s AS (SELECT event_id, user_id, value, us AS a, us + 3600000000 + k * 60000000 AS b FROM e WHERE event_type IN ('purchase', 'error') AND value > 20),
@@ -41,13 +41,25 @@ SELECT user_id, top.id AS event_id, pick FROM r"""
 
 def h2_diverse(spark, sf_dir):
     s = spans(spark, sf_dir).withColumn("day", F.floor(F.col("start") / (24 * HOUR)).cast("long"))
-    short = S.top_k_each(s, ["day"], [F.desc("value"), "start", "event_id"], 40).drop("rank")
-    return S.diverse_top_k(short, ["day"], "user_id", "event_type", "start", "end", "value", "event_id", 5, 2.0 * HOUR).select("day", "event_id", "pick")
+    return S.diverse_top_k(s, ["day"], "user_id", "event_type", "start", "end", "value", "event_id", 5, 2.0 * HOUR).select("day", "event_id", "pick")
+
+
+#: Each step takes the first best of the pool out; unless it overlaps a chosen one of its source it is picked and costs the rest.
+H2 = f"""WITH RECURSIVE {EV}, s AS (SELECT event_id, user_id, event_type, value, us AS a, us + 3600000000 + k * 60000000 AS b FROM e WHERE event_type IN ('purchase', 'error')),
+c AS (SELECT a // 86400000000 AS day, list(struct_pack(adj := value, src := user_id, kind := event_type, a := a, b := b, id := event_id) ORDER BY value DESC, user_id, a, event_id) AS pool FROM s GROUP BY 1),
+r AS (SELECT day, 0 AS pick, NULL::BIGINT AS event_id, pool, pool[1:0] AS chosen FROM c
+ UNION ALL SELECT day, CASE WHEN skip THEN pick ELSE pick + 1 END, CASE WHEN skip THEN NULL ELSE best.id END,
+  CASE WHEN skip THEN rest ELSE list_transform(rest, lambda x: struct_pack(adj := x.adj - (3.0 * (x.src = best.src AND abs(x.a - best.a) < 7200000000)::INT + 1.0 * (x.kind = best.kind)::INT), src := x.src, kind := x.kind, a := x.a, b := x.b, id := x.id)) END,
+  CASE WHEN skip THEN chosen ELSE list_append(chosen, best) END
+ FROM r, LATERAL (SELECT list_position(list_transform(pool, lambda x: x.adj), list_max(list_transform(pool, lambda x: x.adj))) AS spot) p, LATERAL (SELECT pool[spot] AS best, list_concat(pool[1:spot - 1], pool[spot + 1:len(pool)]) AS rest) q,
+  LATERAL (SELECT len(list_filter(chosen, lambda x: x.src = best.src AND greatest(x.a, best.a) < least(x.b, best.b))) > 0 AS skip) z
+ WHERE pick < 5 AND len(pool) > 0)
+SELECT day, event_id, pick FROM r WHERE event_id IS NOT NULL"""
 
 
 def i3_merge(spark, sf_dir):
     s = spans(spark, sf_dir).withColumn("peak", (F.col("start") + F.col("end")) / 2)
-    return S.merge_duplicates(s, ["user_id", "event_type"], "start", "end", "peak", "value", "event_id", 2.0 * HOUR, 0.6).select("user_id", "event_type", "event_id", F.array_join("ids", ",").alias("ids"))
+    return S.merge_duplicates(s, ["user_id", "event_type"], "start", "end", "peak", ["value"], "event_id", 2.0 * HOUR, 0.6, 96.0 * HOUR).select("user_id", "event_type", "event_id", F.array_join("ids", ",").alias("ids"))
 
 
 def h9_cohorts(spark, sf_dir):
@@ -127,4 +139,4 @@ QUERIES = {
     "h14_shuffled": h14_shuffled, "h15_blind_pool": h15_blind_pool, "i1_union": i1_union, "i3_merge": i3_merge, "i4_best_per_key": i4_best_per_key,
     "i6_set_difference": i6_set_difference, "i7_split_guard": i7_split_guard,
 }
-ORACLE_SQL = {"h1_shortlist": H1, "h3_greedy": H3, "h6_best_each": H6, "h9_cohorts": H9, "h10_even": H10, "h14_shuffled": H14, "h15_blind_pool": H15, "i1_union": I1, "i4_best_per_key": I4, "i6_set_difference": I6, "i7_split_guard": I7}
+ORACLE_SQL = {"h1_shortlist": H1, "h2_diverse": H2, "h3_greedy": H3, "h6_best_each": H6, "h9_cohorts": H9, "h10_even": H10, "h14_shuffled": H14, "h15_blind_pool": H15, "i1_union": I1, "i4_best_per_key": I4, "i6_set_difference": I6, "i7_split_guard": I7}

@@ -285,6 +285,12 @@ def g8_reversals(spark, sf_dir):
     return Q.reversals(e, ["user_id"], "us", "value", 1, 5.0, 24 * HOUR)
 
 
+G8 = f"""WITH RECURSIVE {EV}, w AS (SELECT user_id, us, value, value - lag(value) OVER (PARTITION BY user_id ORDER BY us) AS b, lead(value) OVER (PARTITION BY user_id ORDER BY us) - value AS a FROM e),
+t AS (SELECT user_id, us, value FROM w WHERE b * a < 0 AND abs(b) >= 5 AND abs(a) >= 5), r AS (SELECT user_id, min(us) AS us FROM t GROUP BY 1
+ UNION ALL SELECT r.user_id, (SELECT min(t.us) FROM t WHERE t.user_id = r.user_id AND t.us >= r.us + 86400000000) AS us FROM r WHERE r.us IS NOT NULL)
+SELECT t.user_id, t.us, t.value FROM t JOIN r ON t.user_id = r.user_id AND t.us = r.us"""
+
+
 def c4_kinematics(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("t", F.col("us") / 1e6).withColumn("y", F.col("k").cast("double"))
     return Q.kinematics(e, ["user_id"], "t", "value", "y", 0.0333, 100.0).select("event_id", F.round("dt", 4).alias("dt"), F.round("speed", 8).alias("speed"))
@@ -326,6 +332,6 @@ QUERIES = {
 ORACLE_SQL = {
     "g1_sessions": G1, "f1_fixed_bins": F1, "f3_histogram": F3, "f4_scaled_percentile": F4, "f5_bursts": F5, "f6_rule_score": F6, "f7_null_aware": F7,
     "f8_window_scores": F8, "f27_robust_z": F27, "f28_status": F28, "g2_islands": G2, "g3_split": G3, "g4_missing_runs": G4, "g5_merge_capped": G5,
-    "g6_runs": G6, "g7_dilate": G7, "g9_smooth": G9, "g11_peaks": G11P, "g11_nms": G11N, "g12_soft_targets": G12, "g18_windows": G18,
+    "g6_runs": G6, "g7_dilate": G7, "g8_reversals": G8, "g9_smooth": G9, "g11_peaks": G11P, "g11_nms": G11N, "g12_soft_targets": G12, "g18_windows": G18,
     "g19_owned_windows": G19, "g24_samples": G24, "g25_refractory": G25, "g26_offsets": G26, "c4_kinematics": C4, "j8_tumbling": J8, "j9_buffer": J9,
 }

@@ -12,7 +12,7 @@ from .tables import events, table
 
 def g28_smooth(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id")))
-    return T.smooth_batch(e, "user_id", "pos", "value").withColumn("smooth", F.round("smooth", 6))
+    return T.sizes_batch(e, "user_id", "pos", "value")
 
 
 def j1_session_windows(spark, sf_dir):

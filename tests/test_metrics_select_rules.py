@@ -54,7 +54,7 @@ def test_diversity_costs_change_the_choice(spark):
 
 def test_merge_keeps_the_better_and_all_ids(spark):
     df = spark.createDataFrame([(1, 0.0, 10.0, 5.0, 1.0, 1), (1, 1.0, 11.0, 6.0, 2.0, 2), (1, 50.0, 60.0, 55.0, 1.0, 3)], "k int, a double, b double, p double, s double, id int")
-    assert rows(S.merge_duplicates(df, ["k"], "a", "b", "p", "s", "id", 2.0, 0.6), "id", "ids") == [(2, [1, 2]), (3, [3])]
+    assert rows(S.merge_duplicates(df, ["k"], "a", "b", "p", ["s"], "id", 2.0, 0.6), "id", "ids") == [(2, [1, 2]), (3, [3])]
 
 
 def test_even_sample_and_shuffle_do_not_depend_on_order(spark):

@@ -52,11 +52,11 @@ def test_streams_equal_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, "k long, pos long, x double")
     source = str(tmp_path / "in")
     df.where("pos < 10").coalesce(1).write.parquet(source)
-    stream = lambda: T.smooth_stream(spark.readStream.schema(df.schema).parquet(source), "k", "pos", "x")
+    stream = lambda: T.sizes_stream(spark.readStream.schema(df.schema).parquet(source), "k", "pos", "x")
     T.collect_stream(stream(), "append", str(tmp_path / "out"), str(tmp_path / "ck"))
     df.where("pos >= 10").coalesce(1).write.mode("append").parquet(source)
     got = T.collect_stream(stream(), "append", str(tmp_path / "out"), str(tmp_path / "ck"))
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, T.smooth_batch(df, "k", "pos", "x").collect()))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, T.sizes_batch(df, "k", "pos", "x").collect()))
 
 
 def test_windowed_streams_emit_closed_windows(spark, tmp_path):
@@ -65,3 +65,14 @@ def test_windowed_streams_emit_closed_windows(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     got = T.collect_stream(T.tumbling_counts(stream, ["k"], "ts", "10 minutes", "0 seconds"), "append", str(tmp_path / "o"), str(tmp_path / "c"))
     assert {r.n for r in got.collect()} == {5} and got.count() == 18
+
+
+def test_sizes_follow_trends_and_resist_jumps():
+    assert T.sizes([10, 30, 10], None)[0] == [10, 12, 11]
+    assert T.sizes([10.0, 20.0, 20.0, 20.0], None)[0] == [10.0, 12, 14, 17]
+    assert T.sizes([0, None, 8, 0, -1, 200], None)[0] == [0, 0, 8, 8, 8, 9]
+    assert T.sizes([5, 100, 100, 100, 100, 100, 100], None)[0][-1] == 40
+    values = [float((i * i * 7 + 3) % 23) for i in range(60)]
+    whole = T.sizes(values, None)[0]
+    first, state = T.sizes(values[:17], None)
+    assert first + T.sizes(values[17:], state)[0] == whole
