@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _join(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+def same_key_join(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
     """Left join in which null keys are equal; the table's key columns go."""
     other = table.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in table.columns])
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
@@ -35,7 +35,7 @@ def islands(df: DataFrame, key: list[str], start: str, end: str, gap: float, buc
     within = Window.partitionBy(*on).orderBy(start, end)
     if bucket:
         ends = rows.groupBy(*on).agg(F.max(end).alias("_end"))
-        rows = _join(rows, ends.select(*on, F.max("_end").over(earlier).alias("_reach")), on)
+        rows = same_key_join(rows, ends.select(*on, F.max("_end").over(earlier).alias("_reach")), on)
     before = F.max(end).over(within.rowsBetween(Window.unboundedPreceding, -1))
     furthest = F.greatest(F.col("_reach"), before) if bucket else before
     new = furthest.isNull() | (F.col(start) - furthest > gap)
@@ -43,10 +43,25 @@ def islands(df: DataFrame, key: list[str], start: str, end: str, gap: float, buc
     local = told.withColumn(out, F.max("_new").over(within.rowsBetween(Window.unboundedPreceding, 0)))
     if bucket:
         heads = local.groupBy(*on).agg(F.max(out).alias("_head"))
-        local = _join(local, heads.select(*on, F.max("_head").over(earlier).alias("_carried")), on).withColumn(out, F.coalesce(out, "_carried"))
+        local = same_key_join(local, heads.select(*on, F.max("_head").over(earlier).alias("_carried")), on).withColumn(out, F.coalesce(out, "_carried"))
     return local.drop("_bucket", "_reach", "_new", "_carried")
 
 
+def ranked(df: DataFrame, key: list[str], part: Column, order: list, out: str = "pos") -> DataFrame:
+    """Add each row's place (from 1) in its key's ``order``, of which ``part`` is a whole number that never falls.
+
+    Parts are ranked alone and shifted by the rows of the parts before, so a key
+    of any size is many tasks' work.
+    """
+    rows = df.withColumn("_part", part)
+    on = [*key, "_part"]
+    earlier = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    local = rows.withColumn("_local", F.row_number().over(Window.partitionBy(*on).orderBy(*order)))
+    placed = same_key_join(local, counts.select(*on, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift")), on)
+    return placed.withColumn(out, F.col("_shift") + F.col("_local")).drop("_part", "_local", "_shift")
+
+
 def fold_sorted(df: DataFrame, key: list[str], order: list, fold: Callable[[list[tuple]], list[tuple]], keep: list[str] | None = None, add: dict[str, str] | None = None) -> DataFrame:
     """Rows that ``fold`` makes of each key's rows, given as tuples of ``df``'s columns in ``order``.
 

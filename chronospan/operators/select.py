@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .islands import fold_sorted, islands
+from .islands import fold_sorted, islands, ranked, same_key_join
 
 
 def top_k(df: DataFrame, order: list, k: int) -> DataFrame:
@@ -103,12 +103,15 @@ def merge_duplicates(df: DataFrame, key: list[str], start: str, end: str, peak:
     return fold_sorted(cut, [*key, "island"], [start, end, id_], merge, add={"ids": id_}).drop("island")
 
 
-def evenly_spaced(df: DataFrame, key: list[str], order: list, k: int) -> DataFrame:
-    """k rows a key (all if fewer) at the half-even rounded places i (n - 1) / (k - 1) of its order."""
-    w = Window.partitionBy(*key)
-    rows = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    steps = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(max(1, k - 1))).cast("int"))
-    return rows.where((F.col("_n") <= k) | F.array_contains(steps, F.col("_i"))).drop("_i", "_n")
+def evenly_spaced(df: DataFrame, key: list[str], order: list, k: int, part: Column | None = None) -> DataFrame:
+    """k rows a key (all if fewer) at the half-even rounded places i (n - 1) / (k - 1) of its order.
+
+    ``part`` is a whole number that never falls along the order; keys are ranked a part at a time.
+    """
+    rows = ranked(df, key, part if part is not None else F.lit(0), order, "_i").withColumn("_i", F.col("_i") - 1)
+    sized = same_key_join(rows, rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")), key)
+    steps = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(max(1, k - 1))).cast("long"))
+    return sized.where((F.col("_n") <= k) | F.array_contains(steps, F.col("_i"))).drop("_i", "_n")
 
 
 def cohorts(df: DataFrame, key: list[str], positive: Column, order: str, n_pos: int, n_neg: int) -> DataFrame:
@@ -118,10 +121,11 @@ def cohorts(df: DataFrame, key: list[str], positive: Column, order: str, n_pos:
     return rows.where(F.col("_r") <= F.when(F.col("positive"), n_pos).otherwise(n_neg)).drop("_r")
 
 
-def shuffled(df: DataFrame, key: list[str], id_: str, seed: int, rank: str = "place") -> DataFrame:
-    """A seeded order a key that doesn't depend on the input's order: by the SHA-256 of seed, key and id."""
+def shuffled(df: DataFrame, key: list[str], id_: str, seed: int, rank: str = "place", parts: int = 64) -> DataFrame:
+    """A seeded order a key that doesn't depend on the input's order: by the SHA-256 of seed, key and id, ranked in ``parts`` ranges of it."""
     h = F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key], F.col(id_).cast("string")), 256)
-    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*key).orderBy(h, id_)))
+    part = F.floor(F.conv(F.substring("_h", 1, 4), 16, 10).cast("long") * parts / 65536)
+    return ranked(df.withColumn("_h", h), key, part, ["_h", id_], rank).drop("_h")
 
 
 def namespaced_union(parts: dict[str, DataFrame], id_: str, same: list[str]) -> DataFrame:

@@ -33,13 +33,12 @@ def bursts(df: DataFrame, key: list[str], t: str, gap: float, least: int = 2, ti
     return s.groupBy(*key, "session").agg(F.min(t).alias("start"), F.max(t).alias("end"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).drop("session")
 
 
-def runs(df: DataFrame, key: list[str], pos: str, hit: Column, score: Column | None = None) -> DataFrame:
-    """Runs of hits at consecutive whole positions: (key, start, end exclusive, n, peak)."""
+def runs(df: DataFrame, key: list[str], pos: str, hit: Column, score: Column | None = None, block: int = 1 << 16) -> DataFrame:
+    """Runs of hits at consecutive whole positions: (key, start, end exclusive, n, peak). Positions are taken ``block`` at a time."""
     rows = df.where(hit).withColumn("_score", score if score is not None else F.lit(None).cast("double"))
-    island = rows.withColumn("_island", F.col(pos) - F.row_number().over(_by(key, pos)))
-    return island.groupBy(*key, "_island").agg(
+    return islands(rows, key, pos, pos, 1, block).groupBy(*key, "island").agg(
         F.min(pos).alias("start"), (F.max(pos) + 1).alias("end"), F.count(F.lit(1)).alias("n"), F.max("_score").alias("peak")
-    ).drop("_island")
+    ).drop("island")
 
 
 def missing_runs(df: DataFrame, key: list[str], pos: str, present: Column, longest: int) -> DataFrame:
@@ -104,11 +103,20 @@ def smooth_edges(df: DataFrame, key: list[str], pos: str, x: str, width: int, ou
     return df.withColumn(out, (inner + head * missing_head + tail * missing_tail) / (2 * half + 1))
 
 
-def local_peaks(df: DataFrame, key: list[str], t: str, p: str, threshold: float) -> DataFrame:
-    """Rows at or over the threshold, not less than either neighbour and more than one that differs (plateaus: first row)."""
-    w = _by(key, t)
+def local_peaks(df: DataFrame, key: list[str], t: str, p: str, threshold: float, block: int | None = None) -> DataFrame:
+    """Rows at or over the threshold, more than the row before and not less than the one after (plateaus: first row).
+
+    With ``block``, ``t`` are consecutive whole places and are taken that many at a
+    time, each block with the row on either side, so a key is many tasks' work.
+    """
+    keys = [*key, "_block"] if block else key
+    if block:
+        of = lambda d: F.floor((F.col(t) + d) / block)
+        df = df.withColumn("_own", of(0)).withColumn("_block", F.explode(F.array_distinct(F.array(of(-1), of(0), of(1)))))
+    w = _by(keys, t)
     left, right = F.coalesce(F.lag(p).over(w), F.lit(-np.inf)), F.coalesce(F.lead(p).over(w), F.lit(-np.inf))
-    return df.withColumn("_l", left).withColumn("_r", right).where((F.col(p) >= threshold) & (F.col(p) > F.col("_l")) & (F.col(p) >= F.col("_r"))).drop("_l", "_r")
+    found = df.withColumn("_l", left).withColumn("_r", right).where((F.col(p) >= threshold) & (F.col(p) > F.col("_l")) & (F.col(p) >= F.col("_r"))).drop("_l", "_r")
+    return found.where("_own = _block").drop("_own", "_block") if block else found
 
 
 def suppress(df: DataFrame, key: list[str], t: str, p: str, reach: float, slack: float = 1e-9) -> DataFrame:

@@ -72,7 +72,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY lang, positive ORDER BY doc_id)
 
 
 def h10_even(spark, sf_dir):
-    return S.evenly_spaced(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], ["doc_id"], 7)
+    return S.evenly_spaced(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], ["doc_id"], 7, F.floor(F.col("doc_id") / 4096))
 
 
 H10 = """WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents)

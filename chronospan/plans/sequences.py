@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronospan.operators import aggregate as A
+from chronospan.operators import islands as I
 from chronospan.operators import select as S
 from chronospan.operators import sequence as Q
 
-from .tables import HOUR, events, table
+from .tables import DAY, HOUR, events, table
 
 EV = "e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) AS us, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"
 
@@ -145,7 +146,7 @@ SELECT user_id, min(bin) AS "start", max(bin) + 1 AS "end", sum(n)::BIGINT AS n
 
 
 def g6_runs(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("event_type").orderBy("us", "event_id")))
+    e = I.ranked(events(spark, sf_dir), ["event_type"], F.floor(F.col("us") / DAY), ["us", "event_id"])
     return Q.runs(e, ["event_type"], "pos", F.col("value") >= 12, F.col("value"))
 
 
@@ -189,8 +190,8 @@ SELECT o.event_id, round(sum(p.value) / 5, 6) AS smooth FROM o JOIN p ON o.user_
 
 
 def g11_peaks(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("event_type").orderBy("us", "event_id")))
-    return Q.local_peaks(e, ["event_type"], "pos", "value", 15.0).select("event_id", "pos")
+    e = I.ranked(events(spark, sf_dir), ["event_type"], F.floor(F.col("us") / DAY), ["us", "event_id"])
+    return Q.local_peaks(e, ["event_type"], "pos", "value", 15.0, 1 << 16).select("event_id", "pos")
 
 
 G11P = f"""WITH {EV}, p AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY us, event_id) AS pos FROM e),
