@@ -111,8 +111,9 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
     """Connected components of ``edges`` (a, b: of one type with an order) as (id, component), component being the smallest id.
 
     Alternating large-star and small-star rounds, each a map-side combined
-    minimum and a join back, until the edges stop changing. Each round's edges
-    are stored, so lineage stays short. Ids without an edge are not returned.
+    minimum and a join back, until the edges stop changing. Minima are stored
+    before they are joined: small ones are broadcast, and for others Spark splits
+    the rows of a component's root. Ids without an edge are not returned.
     """
     e = (
         edges.where("a <> b")
@@ -123,19 +124,16 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
     seen = _fingerprint(now.df)
     for _ in range(max_rounds):
         both = now.df.unionByName(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
-            .select("x.u", "x.v")
-            .where("u <> v")
-            .distinct()
-        )
+        low = Stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
+        met = both.join(maybe_broadcast(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = Stored(met.where("u <> v").distinct(), name)
+        least = Stored(large.df.groupBy("u").agg(F.min("v").alias("m")), name)
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        small = large.df.join(maybe_broadcast(least), "u").select(F.explode(ends).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
         nxt = Stored(small, name)
         mark = _fingerprint(nxt.df)
-        now.drop()
+        for table in (now, low, large, least):
+            table.drop()
         now = nxt
         if mark == seen:
             break

@@ -156,7 +156,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     spot = F.transform("it", lambda t, i: F.struct(t.alias("i"), F.when(i + F.col("shift") >= 0, F.get("dt", i + F.col("shift"))).alias("d")))
     # An item of fewer tokens than a window identifies itself by all its values alone.
     short = F.size("it") < WINDOW
-    aligned = both.select("doc_id", "item_id", "item_windows", F.least(F.size("it"), F.lit(WINDOW)).alias("k"), short.alias("short"), spot.alias("spot"))
+    pieces = both.select("doc_id", "item_id", "item_windows", F.least(F.size("it"), F.lit(WINDOW)).alias("k"), short.alias("short"), spot.alias("spot"))
+    aligned = Stored(pieces, "leak_pieces").df  # read for either form; texts are canonicalised once
     forms = [_judged(aligned, form, rank) for rank, form in ((1, FIRM), (0, LOOSE))]
     checked = forms[0].unionByName(forms[1])
     enough = checked.where((F.col("n_windows") >= ENOUGH) | (F.col("n_windows") >= SHARE * F.col("item_windows")))

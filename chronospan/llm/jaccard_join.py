@@ -26,8 +26,10 @@ least num / den.
 
 Defined results: null text or text without words is an empty set, linked with
 nothing, also not with other empty sets; texts shorter than the n-gram are one
-n-gram; equal rows are one document; empty input gives no rows; other columns
-are ignored, whatever their names; null doc_ids are left out of links.
+n-gram; rows of one doc_id are one document, whose rows all get its component:
+with different texts it is linked with documents of a set equal to any of them,
+and with near ones by the greatest text; empty input gives no rows; other
+columns are ignored, whatever their names; null doc_ids are left out of links.
 """
 
 from __future__ import annotations
@@ -271,7 +273,7 @@ def link_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     member = Stored(met.join(maybe_broadcast(shared), "key").distinct(), "jaccard_members").df
 
     active = member.select("doc_id").distinct()
-    text_of = rows.join(active, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    text_of = rows.join(active, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
     big = Stored(with_bitmaps(text_of.select("doc_id", shingles(F.col("text"), k).alias("sh"))), "jaccard_sets").df
 
     stars = member.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()

@@ -168,5 +168,7 @@ def clean_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else without(t, [(x["first"], x["last"]) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_of")) & (F.xxhash64("text") == F.col("_mark"))
-    return docs.join(maybe_broadcast(lost), same, "left").withColumn("text", cut("text", "_spans")).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"))
+    same = F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_of")) & (F.xxhash64("_row.text") == F.col("_mark"))
+    joined = rows.join(maybe_broadcast(lost), same, "left").withColumn("_text", cut("_row.text", "_spans"))
+    return joined.select(*[F.col("_text").alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
