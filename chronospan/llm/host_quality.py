@@ -3,7 +3,7 @@
 Each document gets base counts and a base verdict. Failures are added up by
 host (map-side combined, so a host with a third of all rows is one partial sum
 a task), each host's failure rate is shrunk towards an empirical beta prior
-fitted to the hosts' rates by moments, and the host verdict is joined back.
+fitted by moments to the hosts' counts, and the host verdict is joined back.
 
 Defined results: null or blank text has no words and fails; a null host has no
 verdict of its own, so its documents keep their base verdict; equal rows are
@@ -85,23 +85,37 @@ def base_failed() -> Column:
 def host_verdicts(judged: DataFrame, host: str, failed: str, max_rate: float, min_strength: float = 2.0) -> DataFrame:
     """Rows (host, host_docs, host_failures, host_rate, host_failed), one a non-null host.
 
-    The prior Beta(a, b) has the mean m of the hosts' rates and the strength
-    m (1 - m) / v - 1 of their variance v, at least ``min_strength``; v is 0 or
-    m is 0 or 1: strength 1e6, or ``min_strength`` with a single host.
+    The prior Beta(m s, (1 - m) s) has the rate m of all documents. Its strength
+    s = 1 / r - 1 comes from the part r of the hosts' spread, each weighted by
+    its documents, that sampling of documents within hosts doesn't explain: at
+    least ``min_strength``, and 1e6 where nothing is left or m is 0 or 1. A
+    single host, or hosts of one document each, tell nothing: ``min_strength``.
     """
     hosts = judged.where(F.col(host).isNotNull()).groupBy(host).agg(
         F.count(F.lit(1)).alias("host_docs"), F.sum(F.col(failed).cast("long")).alias("host_failures")
     )
     table = Stored(hosts, "hosts")
-    rate = F.col("host_failures") / F.col("host_docs")
-    k, m, v = table.df.agg(F.count(F.lit(1)), F.avg(rate), F.var_pop(rate)).first()
-    m = m or 0.0
-    strength = min_strength if not k or k < 2 else min(1e6, m * (1 - m) / v - 1) if v > 0 else 1e6
-    strength = max(min_strength, strength)
+    n, f = F.col("host_docs").cast("double"), F.col("host_failures").cast("double")
+    k, docs, squares, failures, spread = (x or 0 for x in table.df.agg(F.count(F.lit(1)), F.sum(n), F.sum(n * n), F.sum(f), F.sum(f * f / n)).first())
+    m, strength = prior(k, docs, squares, failures, spread, min_strength)
     shrunk = (F.col("host_failures") + F.lit(m * strength)) / (F.col("host_docs") + F.lit(strength))
     return table.df.withColumn("host_rate", shrunk).withColumn("host_failed", shrunk > max_rate)
 
 
+def prior(k: int, docs: float, squares: float, failures: float, spread: float, min_strength: float) -> tuple[float, float]:
+    """Mean and strength from the hosts' number and the sums of documents n, n * n, failures f and f * f / n."""
+    if not k:
+        return 0.0, min_strength
+    m = failures / docs
+    free = docs - squares / docs - (k - 1)
+    if k < 2 or free <= 0:
+        return m, min_strength
+    if not 0 < m < 1:
+        return m, 1e6
+    shared = ((spread - docs * m * m) / (m * (1 - m)) - (k - 1)) / free
+    return m, max(min_strength, min(1e6, 1 / shared - 1)) if shared > 0 else 1e6
+
+
 def judge_documents(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
     """All documents with base counts, ``base_failed``, host figures and ``kept``.
 

@@ -41,10 +41,16 @@ hosts AS (
   SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM judged WHERE source IS NOT NULL GROUP BY source
 ),
 moments AS (
-  SELECT count(*) AS k, avg(f / n) AS m, var_pop(f / n) AS v FROM hosts
+  SELECT count(*) AS k, sum(n)::DOUBLE AS docs, sum(n * n)::DOUBLE AS squares, sum(f) / sum(n) AS m, sum(f * f / n) AS spread FROM hosts
+),
+spare AS (
+  SELECT *, docs - squares / docs - (k - 1) AS free FROM moments
+),
+shared AS (
+  SELECT *, ((spread - docs * m * m) / nullif(m * (1 - m), 0) - (k - 1)) / nullif(free, 0) AS r FROM spare
 ),
 prior AS (
-  SELECT m, greatest(2.0, CASE WHEN k < 2 THEN 2.0 WHEN v > 0 THEN least(1e6, m * (1 - m) / v - 1) ELSE 1e6 END) AS s FROM moments
+  SELECT m, CASE WHEN k < 2 OR free <= 0 THEN 2.0 WHEN m IN (0, 1) OR r <= 0 THEN 1e6 ELSE greatest(2.0, least(1e6, 1 / r - 1)) END AS s FROM shared
 ),
 verdict AS (
   SELECT source, (f + m * s) / (n + s) > 0.5 AS host_failed FROM hosts, prior

@@ -27,6 +27,56 @@ def test_host_verdicts_shrink_small_hosts(spark):
     assert got == {"good": False, "bad": True, "tiny": False}
 
 
+def test_the_prior_follows_the_data():
+    rng = np.random.default_rng(4)
+
+    def fitted(a, b, sizes):
+        n = np.array(sizes, float)
+        f = rng.binomial(n.astype(int), rng.beta(a, b, len(n))).astype(float)
+        return host_quality.prior(len(n), n.sum(), (n * n).sum(), f.sum(), (f * f / n).sum(), 0.1)
+
+    for a, b in ((2, 6), (10, 30), (1, 1)):
+        mean, strength = fitted(a, b, rng.integers(1, 40, 20_000))
+        assert abs(mean - a / (a + b)) < 0.02 and abs(strength / (a + b) - 1) < 0.15
+    assert fitted(2, 6, np.ones(500))[1] == 0.1 and host_quality.prior(1, 9, 81, 4, 16 / 9, 2.0) == (4 / 9, 2.0)
+    assert host_quality.prior(0, 0, 0, 0, 0, 2.0) == (0.0, 2.0) and host_quality.prior(3, 30, 300, 0, 0, 2.0) == (0.0, 1e6)
+
+
+def test_language_scores_are_brute_force(spark):
+    rng = random.Random(6)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 6)))
+    by = {lang: [word(letters) for _ in range(40)] for lang, letters in (("aa", "abcdefg"), ("bb", "efghijk"), ("cc", "ijklmno"))}
+    rows = [(i, " ".join(rng.choice(by[lang]) for _ in range(12)), lang) for i, lang in enumerate(list(by) * 30)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), top_words=25, top_grams=60)
+    langs = sorted(by)
+    counts: dict = {}
+    for _, text, lang in rows:
+        for w in text.split():
+            full = f"^{w}$"
+            for g in [(0, w), *((k, full[i : i + k]) for k in language.ORDERS for i in range(len(full) - k + 1))]:
+                counts.setdefault((lang, g[0]), {}).setdefault(g[1], 0)
+                counts[lang, g[0]][g[1]] += 1
+    kept = {(lang, k): sorted(c, key=lambda g: (-c[g], g))[: 25 if k == 0 else 60] for (lang, k), c in counts.items()}
+    vocabulary = {(k, g) for (_, k), own in kept.items() for g in own}
+    log = lambda lang, k, g: np.log(((counts[lang, k][g] if g in kept[lang, k] else 0) + 0.5) / (sum(counts[lang, k].values()) + 0.5 * len(vocabulary)))
+
+    def best(text):
+        total = np.zeros(3)
+        for w in text.split():
+            known = [(0, w)] if (0, w) in vocabulary else []
+            for k in language.ORDERS:
+                known = known or [(k, g) for g in (f"^{w}$"[i : i + k] for i in range(len(w) + 3 - k)) if (k, g) in vocabulary]
+            if known:
+                total += np.mean([[log(lang, k, g) for lang in langs] for k, g in known], axis=0)
+        return langs[int(total.argmax())], 1 / np.exp(total - total.max()).sum()
+
+    texts = [(i, " ".join(word("abcdefghijklmno") for _ in range(n))) for i, n in enumerate([1, 2, 5, 9] * 20)] + [(900, "a " * 150_000)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    for i, text in texts[:-1]:
+        lang, score = best(text)
+        assert abs(got[i][1] - score) < 1e-3 and (got[i][0] == lang or score < 0.5), (text, got[i], lang, score)
+
+
 def test_quality_keeps_rows_and_null_hosts(spark):
     text = " ".join(f"w{i}" for i in range(60))
     d = spark.createDataFrame([(1, text, "s"), (1, text, "s"), (2, None, "s"), (3, text, None), (4, "", None)], "doc_id long, text string, source string")
