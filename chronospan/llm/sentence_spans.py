@@ -117,8 +117,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     met = Stored(every.df.join(several.df.hint("merge"), "h", "left_semi"), "sentence_runs_met")
     every.drop()
     place = F.struct("doc_id", "mark", "first")
-    keepers = met.df.groupBy("h", "h2").agg(F.min(place).alias("keeper"), F.max(place).alias("other")).where("keeper <> other").select("h", "h2", "keeper")
-    found = met.df.join(keepers.hint("merge"), ["h", "h2"]).where(place != F.col("keeper"))
+    firsts = met.df.groupBy("h", "h2").agg(F.min(place).alias("keeper"), F.max(place).alias("other")).where("keeper <> other")
+    keepers = Stored(firsts.select("h", "h2", "keeper"), "sentence_runs_kept")  # read back, so that the join's rows can be split
+    found = met.df.join(keepers.df.hint("merge"), ["h", "h2"]).where(place != F.col("keeper"))
     return found.select("doc_id", "mark", "first", "last", F.col("keeper.doc_id").alias("kept_in"))
 
 
