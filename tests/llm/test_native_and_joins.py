@@ -148,6 +148,7 @@ def test_native_operators_have_no_python_in_their_plans(spark):
 
 
 def spans_truth(rows, least):
+    """Sentences that any repeated run of at least ``least`` words covers, but for the first."""
     first: dict = {}
     runs = []
     for i, t in rows:
@@ -156,7 +157,6 @@ def spans_truth(rows, least):
             for b in range(a, len(s)):
                 if sum(len(x.split()) for x in s[a : b + 1]) >= least:
                     runs.append((tuple(s[a : b + 1]), i, a, b))
-                    break
     for key, i, a, _ in runs:
         first[key] = min(first.get(key, (i, a)), (i, a))
     out: dict = {}
