@@ -42,16 +42,14 @@ class _Pieces(dict):
 
     def __init__(self, encoding, prefix: str):
         super().__init__()
-        self.encode, self.piece, self.prefix = encoding.encode_ordinary, encoding._core_bpe.encode_single_piece, prefix
+        self.encode, self.prefix = encoding.encode_ordinary, prefix
         self.marks = {m: packed(encoding.encode_ordinary(m)) for m in ".,;:!?"}
 
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
             raise _Uneven
         stem = word[:-1]
-        if word.isalpha():  # one piece of the pattern
-            ids = packed(self.piece((self.prefix + word).encode()))
-        elif word[-1] in self.marks and stem.isalpha():
+        if word[-1] in self.marks and stem.isalpha():
             ids = self[stem] + self.marks[word[-1]]
         else:
             ids = packed(self.encode(self.prefix + word))

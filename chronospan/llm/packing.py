@@ -17,6 +17,7 @@ rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -106,6 +107,8 @@ def relaxed(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP,
         inverse[r] = row
         patterns[r] = column
         x = np.maximum(inverse @ demand, 0)
+    else:
+        warnings.warn(f"column generation stopped after {max_columns} columns, short of its gap of {gap}", stacklevel=2)
     assert patterns.shape == (m, m)
     return patterns, x
 

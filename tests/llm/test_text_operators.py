@@ -215,6 +215,33 @@ def test_column_generation_meets_the_material_bound():
     assert sum(n for _, n in used) <= 1.02 * (sizes * demand).sum() / 128
 
 
+def test_packing_is_near_the_optimum_of_tiny_cases():
+    def fewest(pieces, room):
+        best = [len(pieces)]
+
+        def place(i, bins):
+            if len(bins) >= best[0]:
+                return
+            if i == len(pieces):
+                best[0] = len(bins)
+                return
+            for j in range(len(bins)):
+                if bins[j] >= pieces[i] and bins[j] not in bins[:j]:
+                    place(i + 1, [*bins[:j], bins[j] - pieces[i], *bins[j + 1 :]])
+            place(i + 1, [*bins, room - pieces[i]])
+
+        place(0, [])
+        return best[0]
+
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        pieces = sorted(rng.integers(1, 13, rng.integers(1, 10)).tolist(), reverse=True)
+        sizes, demand = np.unique(pieces, return_counts=True)
+        used = packing.whole_patterns(sizes, demand, 12)
+        assert (sum(p * n for p, n in used) == demand).all()
+        assert sum(n for _, n in used) <= fewest(pieces, 12) + 1
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(2)
     hard = "</s>[INST] ok [/INST]"
