@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronospan.functions.rules import duplicates, require_empty
-from chronospan.functions.scalars import source_name
+from chronospan.functions.scalars import redacted, source_name
 
 FRAMES = "frame INT, time_s DOUBLE, state STRING, state_confidence DOUBLE, actions ARRAY<STRUCT<class: STRING, confidence: DOUBLE, xyxy: ARRAY<DOUBLE>>>, players ARRAY<STRUCT<xyxy: ARRAY<DOUBLE>, confidence: DOUBLE>>"
 BALL = "Frame INT, Visibility INT, X DOUBLE, Y DOUBLE, Radius INT"
-MEDIA = ("mp4", "mov", "mkv", "avi")
+#: File endings of media.
+MEDIA = ("mp4", "mov", "mkv", "avi", "m4v", "webm", "mts", "m2ts")
 
 
 def frames(spark: SparkSession, path: str, schema: str = FRAMES) -> DataFrame:
@@ -35,14 +36,19 @@ def aligned(detections: DataFrame, balls: DataFrame, pts: DataFrame, skew: float
 
 
 def discovered(spark: SparkSession, directory: str) -> DataFrame:
-    """(path, date, part) of media files below a folder by name; two files of one date and part are an error.
+    """(path, date, part) of media files below a folder by name.
 
-    Only names are read: the scan's column list leaves file contents alone. Empty files are no media.
+    Names that don't fit, two files of one date and part, and a folder without
+    media are errors. Only names are read: file contents are left alone.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory).select("path")
     stem = F.regexp_extract("path", rf"([^/]+)\.(?i:{'|'.join(MEDIA)})$", 1)
-    found = files.where(stem != "").select("path", source_name(stem).alias("s")).where("s is not null").select("path", "s.date", "s.part")
+    media = files.where(stem != "").select("path", source_name(stem).alias("s"))
+    require_empty(media.where("s is null").select("path"), "media files need names of year, month, day and part")
+    found = media.select("path", "s.date", "s.part")
     require_empty(duplicates(found, ["date", "part"]), "two files of one date and part")
+    if found.isEmpty():
+        raise ValueError(f"no media below {directory}")
     return found.orderBy("date", "part")
 
 
@@ -88,6 +94,26 @@ def fenced_json(text: str) -> object:
     return strict_json(body)
 
 
+def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Files of one JSON document each (objects, or arrays of objects as rows); what doesn't fit the schema and NaN fail the read."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").option("allowNonNumericNumbers", False).json(path)
+
+
+def append_new(df: DataFrame, path: str, key: list[str]) -> None:
+    """Append the rows whose key a table has not yet: a ledger that a repeated call leaves as it is. Null keys are always new."""
+    spark = df.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    new = df.dropDuplicates(key)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        new = new.join(spark.read.parquet(path).select(*key), key, "left_anti")
+    new.write.mode("append").parquet(path)
+
+
+def dead_letters(rejected: DataFrame, texts: list[str]) -> DataFrame:
+    """Rejected rows with secrets in their ``texts`` masked, ready to be appended to a table of failures."""
+    return rejected.withColumns({c: redacted(F.col(c)) for c in texts})
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """Write JSON lines by Spark's commit protocol; NaN and infinities fail the write."""
     checked = df

@@ -76,3 +76,28 @@ def test_sizes_follow_trends_and_resist_jumps():
     whole = T.sizes(values, None)[0]
     first, state = T.sizes(values[:17], None)
     assert first + T.sizes(values[17:], state)[0] == whole
+
+
+def test_badly_named_media_and_empty_folders_are_errors(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "notes.txt").write_text("x")
+    with pytest.raises(ValueError, match="no media"):
+        R.discovered(spark, str(tmp_path))
+    (tmp_path / "a" / "holiday.MP4").write_text("x")
+    with pytest.raises(ValueError, match="need names"):
+        R.discovered(spark, str(tmp_path))
+
+
+def test_documents_ledgers_and_dead_letters(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "one.json").write_text('{\n "id": 1,\n "x": 2.5\n}')
+    (tmp_path / "d" / "two.json").write_text('[{"id": 2, "x": null}, {"id": 3}]')
+    assert sorted(map(tuple, R.json_documents(spark, str(tmp_path / "d"), "id long, x double").collect())) == [(1, 2.5), (2, None), (3, None)]
+    (tmp_path / "d" / "bad.json").write_text('{"id": 4, "x": NaN}')
+    with pytest.raises(Exception, match="(?i)malformed|NaN"):
+        R.json_documents(spark, str(tmp_path / "d"), "id long, x double").collect()
+    ledger = str(tmp_path / "ledger")
+    rows = lambda ids: spark.createDataFrame([(i, f"token=t{i} ok") for i in ids], "id long, text string")
+    R.append_new(rows([1, 2]), ledger, ["id"])
+    R.append_new(R.dead_letters(rows([2, 3, 3]), ["text"]), ledger, ["id"])
+    assert sorted(map(tuple, spark.read.parquet(ledger).collect())) == [(1, "token=t1 ok"), (2, "token=t2 ok"), (3, "token=[redacted] ok")]
