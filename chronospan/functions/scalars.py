@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,3 +103,42 @@ def wrapped_lines(title: Column, width: int) -> Column:
         return F.when(F.size(lines) == 0, F.array(w)).when(fits, F.concat(F.slice(lines, F.lit(1), F.size(lines) - 1), F.array(F.concat_ws(" ", last, w)))).otherwise(F.concat(lines, F.array(w)))
 
     return F.aggregate(F.array_remove(F.split(F.trim(title), r"\s+"), ""), F.array().cast("array<string>"), lambda acc, w: F.when(F.size(acc) > 0, add(acc, w)).otherwise(F.array(w)))
+
+
+#: What clings to the character before it: marks, joiners and skin tones; after a joiner any character does.
+_ATTACHED = r"[\p{M}\u200c\u200d\x{1F3FB}-\x{1F3FF}]"
+
+
+def text_units(text: Column) -> Column:
+    """Array of a text's units: characters with the marks and joined characters that follow them."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(.(?:{_ATTACHED}|(?<=\u200d).)*)"), F.lit(1))
+
+
+def normalized_text(text: Column) -> Column:
+    """Composed characters (NFC), line ends as line feeds and all other white space as blanks. ASCII texts stay within the JVM."""
+
+    @F.pandas_udf("string")
+    def composed(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+
+    whole = F.when(text.rlike(r"[^\x00-\x7f]"), composed(text)).otherwise(text)
+    return F.regexp_replace(F.regexp_replace(whole, r"\r\n?", "\n"), r"[\s\p{Z}\x1c-\x1f\x85&&[^\n]]", " ")
+
+
+def title_lines(title: Column, most: int = 9, marks: tuple[str, str] = ("，", "！")) -> Column:
+    """One or two lines: cut at the first comma or exclamation mark within (the latter stays), else in the middle of more than ``most`` units."""
+    comma, cry = marks
+    inner = F.substring(title, F.lit(1), F.length(title) - 1)
+    units = text_units(title)
+    half = F.floor(F.size(units) / 2).cast("int")
+    head, tail = (lambda m: F.substring_index(title, m, 1)), (lambda m: F.substring(title, F.locate(m, title) + 1, F.length(title)))
+    halves = F.array(F.array_join(F.slice(units, F.lit(1), half), ""), F.array_join(F.slice(units, half + 1, F.size(units)), ""))
+    return (
+        F.when(inner.contains(comma), F.array(head(comma), tail(comma))).when(inner.contains(cry), F.array(F.concat(head(cry), F.lit(cry)), tail(cry)))
+        .when(F.size(units) > most, halves).otherwise(F.array(title))
+    )
+
+
+def safe_counters(counts: Column, allowed: list[str]) -> Column:
+    """The allowed counters of a map that are known and not negative."""
+    return F.map_filter(counts, lambda k, v: k.isin(allowed) & F.coalesce(v >= 0, F.lit(False)))

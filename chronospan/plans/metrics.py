@@ -128,8 +128,23 @@ def f24_grid(spark, sf_dir):
 F24 = f"""WITH {SC}, c AS (SELECT lang, i / 10.0::DOUBLE AS threshold, count(*) FILTER (score >= i / 10.0::DOUBLE AND truth) AS tp, count(*) FILTER (score >= i / 10.0::DOUBLE AND NOT truth) AS fp, count(*) FILTER (score < i / 10.0::DOUBLE AND truth) AS fn FROM s, (SELECT unnest(range(1, 10)) AS i) GROUP BY ALL)
 SELECT lang, coalesce(round(2 * tp / nullif(2 * tp + fp + fn, 0), 9), 0) AS f1, threshold FROM c QUALIFY row_number() OVER (PARTITION BY lang ORDER BY f1 DESC, threshold DESC) = 1"""
 
+def f15_report(spark, sf_dir):
+    """Agreement and consensus of each kind's judged pool in one row: alpha over units, and what the medians of three or more say."""
+    r = ratings(spark, sf_dir)
+    alpha = M.ordinal_alpha(r, ["unit"], "grade", ["kind"]).select("kind", F.round("alpha", 9).alias("alpha"), "status")
+    c = M.consensus(r, ["kind", "unit"], "grade").groupBy("kind").agg(
+        F.count(F.lit(1)).alias("units"), F.count("consensus").alias("judged"), F.count_if("disputed").alias("disputed"), F.round(F.avg("consensus"), 9).alias("mean")
+    )
+    return c.join(alpha, "kind", "left")
+
+
+F15 = f"""WITH a AS (SELECT kind, alpha, status FROM ({F9})), r2 AS (WITH {RT} SELECT kind, unit, count(grade) AS n, max(grade) - min(grade) >= 2 AS disputed, CASE WHEN count(grade) >= 3 THEN median(grade) END AS consensus FROM r GROUP BY ALL),
+c AS (SELECT kind, count(*) AS units, count(consensus) AS judged, count(*) FILTER (disputed) AS disputed, round(avg(consensus), 9) AS mean FROM r2 GROUP BY 1)
+SELECT kind, units, judged, disputed, mean, alpha, status FROM c LEFT JOIN a USING (kind)"""
+
 QUERIES = {
+    "f15_report": f15_report,
     "f9_alpha": f9_alpha, "f10_consensus": f10_consensus, "f11_majority": f11_majority, "f13_ndcg": f13_ndcg, "f14_bootstrap": f14_bootstrap, "f16_ap_auroc": f16_ap_auroc,
     "f17_hits": f17_hits, "f18_macro": f18_macro, "f19_folds": f19_folds, "f21_threshold": f21_threshold, "f22_timings": f22_timings, "f24_grid": f24_grid,
 }
-ORACLE_SQL = {"f9_alpha": F9, "f10_consensus": F10, "f11_majority": F11, "f13_ndcg": F13, "f16_ap_auroc": F16, "f17_hits": F17, "f18_macro": F18, "f19_folds": F19, "f21_threshold": F21, "f14_bootstrap": F14, "f22_timings": F22, "f24_grid": F24}
+ORACLE_SQL = {"f15_report": F15, "f9_alpha": F9, "f10_consensus": F10, "f11_majority": F11, "f13_ndcg": F13, "f16_ap_auroc": F16, "f17_hits": F17, "f18_macro": F18, "f19_folds": F19, "f21_threshold": F21, "f14_bootstrap": F14, "f22_timings": F22, "f24_grid": F24}

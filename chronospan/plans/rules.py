@@ -123,8 +123,28 @@ def c21_lines(spark, sf_dir):
     return p.select("conv_id", "turn", F.array_join(C.wrapped_lines(F.col("t"), 16), "/").alias("lines"))
 
 
+def c20_units(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", C.normalized_text(F.col("text")).alias("text"))
+    return t.select("conv_id", "turn", F.size(C.text_units(F.col("text"))).alias("units"), F.md5("text").alias("digest"))
+
+
+C20 = r"""WITH t AS (SELECT conv_id, turn, regexp_replace(replace(replace(nfc_normalize(text), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\t\v\f\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}]', ' ', 'g') AS text FROM conversations)
+SELECT conv_id, turn, length(regexp_replace(text, '[\p{M}\x{200C}\x{200D}\x{1F3FB}-\x{1F3FF}]', '', 'g'))::INT AS units, md5(text) AS digest FROM t"""
+
+
+def c21_titles(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    mark = F.when(F.col("p_partkey") % 3 == 0, "，").when(F.col("p_partkey") % 3 == 1, "！").otherwise("")
+    title = F.concat(F.substring("p_name", 1, 4), mark, F.substring("p_name", 5, 80))
+    return p.select("p_partkey", F.array_join(C.title_lines(title), "/").alias("lines"))
+
+
+C21 = """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND length(p_name) > 4 THEN p_name[1:4] || '/' || p_name[5:80] WHEN p_partkey % 3 = 1 AND length(p_name) > 4 THEN p_name[1:4] || '！/' || p_name[5:80]
+ WHEN length(t) > 9 THEN t[1:length(t) // 2] || '/' || t[length(t) // 2 + 1:] ELSE t END AS lines FROM (SELECT *, p_name[1:4] || CASE p_partkey % 3 WHEN 0 THEN '，' WHEN 1 THEN '！' ELSE '' END || p_name[5:80] AS t FROM part)"""
+
 QUERIES = {
+    "c20_units": c20_units, "c21_titles": c21_titles,
     "a8_names": a8_names, "c8_snap": c8_snap, "c9_labels": c9_labels, "c17_redact": c17_redact, "c21_lines": c21_lines, "c27_clamp": c27_clamp, "d6_eligibility": d6_eligibility,
     "d7_violations": d7_violations, "d21_coverage": d21_coverage, "d31_contiguous": d31_contiguous, "d34_veto": d34_veto, "i8_duplicates": i8_duplicates,
 }
-ORACLE_SQL = {"a8_names": A8, "c8_snap": C8, "c9_labels": C9, "c17_redact": C17, "c27_clamp": C27, "d6_eligibility": D6, "d7_violations": D7, "d21_coverage": D21, "d31_contiguous": D31, "d34_veto": D34, "i8_duplicates": I8}
+ORACLE_SQL = {"c20_units": C20, "c21_titles": C21, "a8_names": A8, "c8_snap": C8, "c9_labels": C9, "c17_redact": C17, "c27_clamp": C27, "d6_eligibility": D6, "d7_violations": D7, "d21_coverage": D21, "d31_contiguous": D31, "d34_veto": D34, "i8_duplicates": I8}

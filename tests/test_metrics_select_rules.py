@@ -87,3 +87,14 @@ def test_a_table_without_rows_passes_every_guard(spark):
     empty = spark.createDataFrame([], "k int, t long")
     R.require_empty(R.duplicates(empty, ["k"]), "duplicates")
     assert R.coverage(empty, ["k"], "t", F.lit(0), F.lit(9), 1, 1).count() == 0
+
+
+def test_units_titles_and_counters(spark):
+    one = spark.range(1)
+    first = lambda c: one.select(c.alias("c")).first().c
+    family = "\U0001F468\u200d\U0001F469"
+    assert first(C.text_units(F.lit(f"ae\u0301{family}\U0001F44D\U0001F3FDx"))) == ["a", "e\u0301", family, "\U0001F44D\U0001F3FD", "x"]
+    assert first(C.normalized_text(F.lit("e\u0301\ta\r\nb\rc\u00a0d"))) == "\u00e9 a\nb\nc d" and first(C.normalized_text(F.lit(None).cast("string"))) is None
+    assert [first(C.title_lines(F.lit(x))) for x in ("ab，cd", "ab！cd", "ab！", "abcdefghijk", "short")] == [["ab", "cd"], ["ab！", "cd"], ["ab！"], ["abcde", "fghijk"], ["short"]]
+    counts = F.create_map(F.lit("a"), F.lit(3), F.lit("b"), F.lit(-1), F.lit("c"), F.lit(None).cast("int"), F.lit("d"), F.lit(4))
+    assert first(C.safe_counters(counts, ["a", "b", "c"])) == {"a": 3}
