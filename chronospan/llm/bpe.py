@@ -107,6 +107,18 @@ class Bpe:
         except _Uneven:
             return self._whole(text)
 
+    def encode_after_blank(self, text: str) -> bytes:
+        """Ids of a blank and then ordinary text."""
+        head, at, rest = text.partition("\n")
+        try:
+            first = b"".join(map(self._later.__getitem__, head.split(" ")))
+            if not at:
+                return first
+            lines = [self._first[x] + b"".join(map(self._later.__getitem__, more)) for x, *more in (line.split(" ") for line in rest.split("\n"))]
+            return self._newline.join([first, *lines])
+        except _Uneven:
+            return self._whole(f" {text}")
+
 
 @lru_cache(maxsize=2)
 def load(vocabulary: str) -> Bpe:

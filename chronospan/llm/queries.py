@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, hard_negatives, host_quality, jaccard_join, language, line_dedup, packing, prefix_bpe, sentence_spans, sharding, sql, warc
+from . import chat, decontaminate, hard_negatives, host_quality, jaccard_join, language, line_dedup, packing, prefix_bpe, sentence_spans, sharding, sql, token_alignment, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op11_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.digests(prefix_bpe.encode(table(spark, sf_dir, "documents")))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_report(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentence_spans": op9_sentence_spans,
     "op10_chat": op10_chat,
     "op11_prefix_bpe": op11_prefix_bpe,
+    "op12_token_alignment": op12_token_alignment,
     "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLE_SQL: dict[str, str] = {"op2_host_quality": sql.OP2, "op4_warc": sql.OP4, "op10_chat": sql.OP10, "op13_hard_negatives": sql.OP13}
