@@ -13,6 +13,8 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 
 def same_key_join(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
@@ -62,25 +64,18 @@ def ranked(df: DataFrame, key: list[str], part: Column, order: list, out: str =
     return placed.withColumn(out, F.col("_shift") + F.col("_local")).drop("_part", "_local", "_shift")
 
 
-def fold_sorted(df: DataFrame, key: list[str], order: list, fold: Callable[[list[tuple]], list[tuple]], keep: list[str] | None = None, add: dict[str, str] | None = None) -> DataFrame:
-    """Rows that ``fold`` makes of each key's rows, given as tuples of ``df``'s columns in ``order``.
-
-    ``fold`` returns tuples of the columns ``keep`` (all by default) and then of ``add`` (name:
-    long, or the name of a column to list). A task sorts its keys and holds one of them at a time.
-    """
-    names, keep, add = df.columns, keep or df.columns, add or {}
-    at = [names.index(k) for k in key]
-    kinds = dict(df.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"`{c}` {'long' if k == 'long' else f'array<{kinds[k]}>'}" for c, k in add.items())])
+def fold_groups(df: DataFrame, key: list[str], order: list, fold: Callable[[list[tuple]], list[tuple]], schema: StructType) -> DataFrame:
+    """Rows of ``schema`` that ``fold`` makes of each key's rows, given as tuples of ``df``'s columns in ``order``. A task sorts its keys and holds one of them at a time."""
+    at = [df.columns.index(k) for k in key]
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held, out, types = None, [], [], []
+        current, held, out = None, [], []
 
         def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], [*keep, *add])
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
         for b in batches:
-            types = [*(b.schema.field(c).type for c in keep), *(pa.int64() if k == "long" else pa.list_(b.schema.field(k).type) for k in add.values())]
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 k = [row[i] for i in at]
                 if k != current:
@@ -94,5 +89,12 @@ def fold_sorted(df: DataFrame, key: list[str], order: list, fold: Callable[[list
         if out:
             yield batch()
 
-    dealt = df.repartition(*key).sortWithinPartitions(*key, *order)
-    return dealt.mapInArrow(run, schema)
+    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)
+
+
+def fold_sorted(df: DataFrame, key: list[str], order: list, fold: Callable[[list[tuple]], list[tuple]], keep: list[str] | None = None, add: dict[str, str] | None = None) -> DataFrame:
+    """``fold_groups`` whose rows have the columns ``keep`` (all by default) and then those of ``add`` (name: long, or the name of a column to list)."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    fields = [StructField(c, kinds[c]) for c in keep or df.columns]
+    fields += [StructField(c, LongType() if k == "long" else ArrayType(kinds[k])) for c, k in (add or {}).items()]
+    return fold_groups(df, key, order, fold, StructType(fields))

@@ -12,8 +12,10 @@ from bisect import bisect_left
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .islands import fold_sorted, islands
+from .orbits import at_least_apart, merged_up_to, orbit
 
 
 def _by(key: list[str], *order) -> Window:
@@ -68,20 +70,9 @@ def dilate(df: DataFrame, key: list[str], t: str, hit: Column, reach: int, out:
 
 
 def refractory(df: DataFrame, key: list[str], t: str, least: float, tie: str) -> DataFrame:
-    """Rows kept when at least ``least`` has passed since the last kept row; rows after so long a pause are kept whatever was before."""
-    at = df.columns.index(t)
-
-    def keep(rows: list[tuple]) -> list[tuple]:
-        last, kept = -np.inf, []
-        for row in rows:
-            if row[at] - last >= least:
-                kept.append(row)
-                last = row[at]
-        return kept
-
-    # A pause of just ``least`` parts rows too; islands part beyond a gap only, which leaves such rows together and is right as well.
-    cut = islands(df, key, t, t, least, 64 * least)
-    return fold_sorted(cut, [*key, "island"], [t, tie], keep).drop("island")
+    """Rows kept when at least ``least`` has passed since the last kept row. A key's rows are walked a block of time at a time, whatever their number."""
+    size = len(df.columns)
+    return orbit(df, key, [t, tie], least, at_least_apart(df.columns.index(t), least), lambda rows, i, j: rows[i][:size], df.schema)
 
 
 def reversals(df: DataFrame, key: list[str], t: str, x: str, reach: int, least: float, refract: float) -> DataFrame:
@@ -177,20 +168,14 @@ def running_offsets(df: DataFrame, key: list[str], order: list[str], size: str)
 
 
 def merge_capped(df: DataFrame, key: list[str], start: str, end: str, longest: float) -> DataFrame:
-    """Merge overlapping intervals in order as long as the merged one stays at most ``longest``: (key, start, end, n)."""
-
-    def fold(rows: list[tuple]) -> list[tuple]:
-        out: list[list] = []
-        for *k, a, b, _ in rows:
-            if out and a <= out[-1][-2] and max(b, out[-1][-2]) - out[-1][-3] <= longest:
-                out[-1][-2] = max(b, out[-1][-2])
-                out[-1][-1] += 1
-            else:
-                out.append([*k, a, b, 1])
-        return [tuple(x) for x in out]
-
-    cut = islands(df.select(*key, start, end), key, start, end, 0, 16 * longest)
-    return fold_sorted(cut, [*key, "island"], [start, end], fold, [*key, start, end], {"n": "long"}).withColumn("n", F.col("n").cast("int"))
+    """Merge overlapping intervals in order as long as the merged one stays at most ``longest``: (key, start, end, n). Walked a block of time at a time."""
+    rows, n = df.select(*key, start, end), len(key)
+
+    def take(rows: list[tuple], i: int, j: int) -> tuple:
+        return (*rows[i][: n + 1], max(r[n + 1] for r in rows[i:j]), j - i)
+
+    schema = StructType([*rows.schema, StructField("n", IntegerType())])
+    return orbit(rows.where(F.col(end).isNotNull()), key, [start, end], longest, merged_up_to(n, n + 1, longest), take, schema, 16)
 
 
 def kinematics(df: DataFrame, key: list[str], t: str, x: str, y: str, first_dt: float, width: float = 1.0, tie: str | None = None) -> DataFrame:
