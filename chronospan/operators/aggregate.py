@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .islands import carried
+
 
 def fixed_bins(df: DataFrame, key: list[str], t: str, width: int, measures: dict[str, Column]) -> DataFrame:
     """Every bin of a key between its first and last, half-open, with the measures; empty bins have 0."""
@@ -53,10 +55,12 @@ def robust_z(df: DataFrame, key: list[str], x: str, floor: float, factor: float
     return with_mid.join(spread, key).withColumn("z", (F.col(x) - F.col("center")) / F.col("spread"))
 
 
-def jumps(df: DataFrame, key: list[str], t: str, x: str, more: float, tie: str) -> DataFrame:
-    """Whether x rose by more than ``more`` since the previous row."""
-    w = Window.partitionBy(*key).orderBy(t, tie)
-    return df.withColumn("transient", F.coalesce(F.col(x) - F.lag(x).over(w) > more, F.lit(False)))
+def jumps(df: DataFrame, key: list[str], t: str, x: str, more: float, tie: str, bucket: float | None = None) -> DataFrame:
+    """Whether x rose by more than ``more`` since the previous row. With ``bucket``, a width of time, a key is sorted a bucket at a time."""
+    here = F.struct(t, tie, F.col(x).alias("_x"))
+    rows = carried(df.withColumn("_part", F.floor(F.col(t) / F.lit(bucket)) if bucket else F.lit(0).cast("long")), key, "_part", F.max(here), F.max, "_last")
+    last = F.coalesce(F.lag(here).over(Window.partitionBy(*key, "_part").orderBy(t, tie)), "_last")
+    return rows.withColumn("transient", F.coalesce(F.col(x) - last["_x"] > more, F.lit(False))).drop("_part", "_last")
 
 
 def window_mean_sigmoid(df: DataFrame, key: list[str], pos: str, x: str, window: int, stride: int) -> DataFrame:

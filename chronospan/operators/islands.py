@@ -49,6 +49,27 @@ def islands(df: DataFrame, key: list[str], start: str, end: str, gap: float, buc
     return local.drop("_bucket", "_reach", "_new", "_carried")
 
 
+def carried(rows: DataFrame, key: list[str], part: str, summary: Column, over_parts: Callable[[Column], Column], out: str, later: bool = False) -> DataFrame:
+    """Add what the parts of a key before (``later``: after) a row's part say: ``over_parts`` of their ``summary``, null without any.
+
+    A summary is an aggregate of a part's rows, combined before the shuffle; the table over which it is carried has a row a part.
+    """
+    beyond = Window.partitionBy(*key).orderBy(F.desc(part) if later else part).rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*key, part).agg(summary.alias("_summary"))
+    return same_key_join(rows, parts.select(*key, part, over_parts(F.col("_summary")).over(beyond).alias(out)), [*key, part])
+
+
+def haloed(df: DataFrame, key: list[str], at: str, width: float, before: float, after: float, part: str = "_part") -> DataFrame:
+    """Rows dealt by ``width`` of ``at``, each also to the parts for whose rows it is within ``before`` ahead or ``after`` behind; ``_own`` is false there.
+
+    A window of a part's rows then sees all that its own rows need of the key. ``before`` and ``after`` are at most ``width``.
+    """
+    own = F.floor(F.col(at) / F.lit(width))
+    first, last = F.floor((F.col(at) - F.lit(after)) / F.lit(width)), F.floor((F.col(at) + F.lit(before)) / F.lit(width))
+    dealt = df.withColumn("_home", own).withColumn(part, F.explode(F.array_distinct(F.array(first, own, last))))
+    return dealt.withColumn("_own", F.col("_home") == F.col(part)).drop("_home")
+
+
 def ranked(df: DataFrame, key: list[str], part: Column, order: list, out: str = "pos") -> DataFrame:
     """Add each row's place (from 1) in its key's ``order``, of which ``part`` is a whole number that never falls.
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .islands import fold_sorted, islands
+from .islands import carried, fold_sorted, islands, same_key_join
 
 
 def _buckets(a: Column, b: Column, width: float) -> Column:
@@ -48,33 +48,47 @@ def near_any(left: DataFrame, right: DataFrame, key: list[str], t: str, other_t:
     return a.join(marks, on, "left_anti" if anti else "left_semi").drop("_bucket")
 
 
-def asof(probe: DataFrame, data: DataFrame, key: list[str], t: str, value: str, following: bool = True, clamp: bool = True, tie: str | None = None) -> DataFrame:
+def asof(probe: DataFrame, data: DataFrame, key: list[str], t: str, value: str, following: bool = True, clamp: bool = True, tie: str | None = None, bucket: float | None = None, strict: bool = False) -> DataFrame:
     """Probe rows with the value (and ``matched_t``) of the first row at or after (or last at or before) their time.
 
-    One sort by (key, time) of the union, so linear; with ``clamp``, a probe
-    past the last (first) row takes that row. Equal data times: ``tie`` decides.
+    One sort of the union, so linear; with ``clamp``, a probe past the last (first) row takes that row.
+    Equal data times: ``tie`` decides. With ``strict``, a row of the probe's own time doesn't count. With ``bucket``, a
+    width of time, a key is sorted a bucket at a time, and the nearest row of the buckets beyond carried over.
     """
-    order = [tie] if tie else []
-    d = data.select(*key, F.col(t).alias("_t"), F.struct(F.col(value).alias("v"), F.col(t).alias("t")).alias("_d"), F.lit(1 if following else 0).alias("_side"), (F.col(tie) if tie else F.lit(None)).alias("_tie"))
-    p = probe.select(*key, F.col(t).alias("_t"), F.struct(*probe.columns).alias("_p"), F.lit(0 if following else 1).alias("_side"))
-    both = p.unionByName(d, allowMissingColumns=True)
-    w = Window.partitionBy(*key).orderBy("_t", "_side", *(["_tie"] if order else []))
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    part = lambda c: F.floor(F.col(c) / F.lit(bucket)) if bucket else F.lit(0).cast("long")
+    hit = F.struct(F.col(t).alias("t"), (F.col(tie) if tie else F.lit(0)).alias("tie"), F.col(value).alias("v"))
+    d = data.where(F.col(t).isNotNull()).select(*key, F.col(t).alias("_t"), hit.alias("_d"), F.lit(following != strict).cast("int").alias("_side"))
+    p = probe.select(*key, F.col(t).alias("_t"), F.struct(*probe.columns).alias("_p"), F.lit(following == strict).cast("int").alias("_side"))
+    both = p.unionByName(d, allowMissingColumns=True).withColumn("_part", part("_t"))
+    w = Window.partitionBy(*key, "_part").orderBy("_t", "_side", "_d")
+    nearest = F.min if following else F.max
+    rows = carried(both, key, "_part", nearest("_d"), nearest, "_beyond", later=following)
     if following:
-        near, far = F.first("_d", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.last("_d", ignorenulls=True).over(whole)
+        near = F.first("_d", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     else:
-        near, far = F.last("_d", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("_d", ignorenulls=True).over(whole)
-    met = both.withColumn("_m", F.coalesce(near, far) if clamp else near).where("_p is not null")
+        near = F.last("_d", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    met = rows.withColumn("_m", F.coalesce(near, "_beyond")).where("_p is not null")
+    if clamp:
+        ends = d.groupBy(*key).agg((F.max if following else F.min)("_d").alias("_end"))
+        met = same_key_join(met, ends, key).withColumn("_m", F.coalesce("_m", "_end"))
     return met.select("_p.*", F.col("_m.v").alias("matched"), F.col("_m.t").alias("matched_t"))
 
 
-def neighbours(df: DataFrame, key: list[str], t: str, is_anchor: Column, value: str, tie: str | None = None) -> DataFrame:
-    """Each row's previous and next anchor value by time and ``tie``, itself excluded."""
-    w = Window.partitionBy(*key).orderBy(t, *([tie] if tie else []))
-    v = F.when(is_anchor, F.col(value))
-    return df.withColumn("previous", F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn(
-        "following", F.first(v, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    )
+def neighbours(df: DataFrame, key: list[str], t: str, is_anchor: Column, value: str, tie: str | None = None, bucket: float | None = None) -> DataFrame:
+    """Each row's previous and next anchor value by time and ``tie``, itself excluded.
+
+    With ``bucket``, a width of time, a key is sorted a bucket at a time, and the nearest anchors of the buckets beyond carried over.
+    """
+    order = [t, *([tie] if tie else [])]
+    rows = df.withColumn("_part", F.floor(F.col(t) / F.lit(bucket)) if bucket else F.lit(0).cast("long"))
+    rows = rows.withColumn("_anchor", F.when(is_anchor & F.col(value).isNotNull(), F.struct(*order, F.col(value).alias("_v"))))
+    rows = carried(rows, key, "_part", F.max("_anchor"), F.max, "_earlier")
+    rows = carried(rows, key, "_part", F.min("_anchor"), F.min, "_later", later=True)
+    w = Window.partitionBy(*key, "_part").orderBy(*order)
+    before = F.last("_anchor", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("_anchor", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    told = rows.withColumn("previous", F.coalesce(before, "_earlier")["_v"]).withColumn("following", F.coalesce(after, "_later")["_v"])
+    return told.drop("_part", "_anchor", "_earlier", "_later")
 
 
 def nearest_element(points: Column, x: Column, y: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .islands import fold_sorted, islands
+from .islands import carried, fold_sorted, haloed, islands, same_key_join
 from .orbits import at_least_apart, merged_up_to, orbit
 
 
@@ -22,16 +22,26 @@ def _by(key: list[str], *order) -> Window:
     return Window.partitionBy(*key).orderBy(*order)
 
 
-def sessionize(df: DataFrame, key: list[str], t: str, gap: float, tie: str | None = None, slack: float = 0, out: str = "session") -> DataFrame:
-    """Number rows by session: a new one starts where the time since the previous row exceeds ``gap + slack``."""
-    w = _by(key, t, *([tie] if tie else []))
-    new = F.coalesce((F.col(t) - F.lag(t).over(w) > gap + slack).cast("int"), F.lit(0))
-    return df.withColumn("_new", new).withColumn(out, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def sessionize(df: DataFrame, key: list[str], t: str, gap: float, tie: str | None = None, slack: float = 0, out: str = "session", bucket: float | None = None) -> DataFrame:
+    """Number rows by session: a new one starts where the time since the previous row exceeds ``gap + slack``.
 
-
-def bursts(df: DataFrame, key: list[str], t: str, gap: float, least: int = 2, tie: str | None = None) -> DataFrame:
+    With ``bucket``, a width of time, a key is sorted a bucket at a time, and the last time and the number of sessions of the buckets before carried over.
+    """
+    if not bucket:
+        w = _by(key, t, *([tie] if tie else []))
+        new = F.coalesce((F.col(t) - F.lag(t).over(w) > gap + slack).cast("int"), F.lit(0))
+        return df.withColumn("_new", new).withColumn(out, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    rows = carried(df.withColumn("_part", F.floor(F.col(t) / F.lit(bucket))), key, "_part", F.max(t), F.max, "_last")
+    w = _by([*key, "_part"], t, *([tie] if tie else []))
+    new = F.coalesce((F.col(t) - F.coalesce(F.lag(t).over(w), "_last") > gap + slack).cast("int"), F.lit(0))
+    told = carried(rows.withColumn("_new", new), key, "_part", F.sum("_new"), F.sum, "_before")
+    number = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("_before", F.lit(0))
+    return told.withColumn(out, number).drop("_part", "_last", "_new", "_before")
+
+
+def bursts(df: DataFrame, key: list[str], t: str, gap: float, least: int = 2, tie: str | None = None, bucket: float | None = None) -> DataFrame:
     """Sessions of at least ``least`` rows: (key, start, end, n)."""
-    s = sessionize(df, key, t, gap, tie)
+    s = sessionize(df, key, t, gap, tie, bucket=bucket)
     return s.groupBy(*key, "session").agg(F.min(t).alias("start"), F.max(t).alias("end"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).drop("session")
 
 
@@ -63,10 +73,11 @@ def split_at(intervals: DataFrame, cores: DataFrame, key: list[str], start: str
     return pieces.select(*key, F.col("p.a").alias(start), F.col("p.b").alias(end))
 
 
-def dilate(df: DataFrame, key: list[str], t: str, hit: Column, reach: int, out: str = "near_hit") -> DataFrame:
-    """Whether any hit lies within ``reach`` of a row; ``t`` is a LONG."""
-    w = Window.partitionBy(*key).orderBy(t).rangeBetween(-reach, reach)
-    return df.withColumn(out, F.max(F.coalesce(hit, F.lit(False)).cast("int")).over(w) == 1)
+def dilate(df: DataFrame, key: list[str], t: str, hit: Column, reach: int, out: str = "near_hit", parts: int = 64) -> DataFrame:
+    """Whether any hit lies within ``reach`` of a row; ``t`` is a LONG. A key is taken ``parts`` reaches at a time, with the hits on either side."""
+    told = haloed(df.withColumn("_hit", F.coalesce(hit, F.lit(False))), key, t, parts * reach, reach, reach).where(F.col("_own") | F.col("_hit"))
+    w = Window.partitionBy(*key, "_part").orderBy(t).rangeBetween(-reach, reach)
+    return told.withColumn(out, F.max(F.col("_hit").cast("int")).over(w) == 1).where("_own").drop("_part", "_own", "_hit")
 
 
 def refractory(df: DataFrame, key: list[str], t: str, least: float, tie: str) -> DataFrame:
@@ -75,23 +86,30 @@ def refractory(df: DataFrame, key: list[str], t: str, least: float, tie: str) ->
     return orbit(df, key, [t, tie], least, at_least_apart(df.columns.index(t), least), lambda rows, i, j: rows[i][:size], df.schema)
 
 
-def reversals(df: DataFrame, key: list[str], t: str, x: str, reach: int, least: float, refract: float) -> DataFrame:
-    """Times where x turns round within ``reach`` rows by at least ``least`` on both sides, not within ``refract`` of the last."""
-    w = _by(key, t)
+def reversals(df: DataFrame, key: list[str], t: str, x: str, reach: int, least: float, refract: float, pos: str | None = None, block: int = 1 << 16) -> DataFrame:
+    """Times where x turns round within ``reach`` rows by at least ``least`` on both sides, not within ``refract`` of the last.
+
+    With ``pos``, consecutive places of a key's rows by time, they are taken ``block`` at a time.
+    """
+    near = haloed(df, key, pos, block, reach, reach) if pos else df.withColumn("_part", F.lit(0)).withColumn("_own", F.lit(True))
+    w = _by([*key, "_part"], pos or t)
     before, after = F.col(x) - F.lag(x, reach).over(w), F.lead(x, reach).over(w) - F.col(x)
-    turns = df.withColumn("_b", before).withColumn("_a", after).where((F.col("_b") * F.col("_a") < 0) & (F.abs("_b") >= least) & (F.abs("_a") >= least))
+    turns = near.withColumn("_b", before).withColumn("_a", after).where((F.col("_b") * F.col("_a") < 0) & (F.abs("_b") >= least) & (F.abs("_a") >= least) & F.col("_own"))
     return refractory(turns.select(*key, t, x), key, t, refract, x)
 
 
-def smooth_edges(df: DataFrame, key: list[str], pos: str, x: str, width: int, out: str = "smooth") -> DataFrame:
-    """Centred moving average over an odd width with the end values repeated beyond the ends."""
+def smooth_edges(df: DataFrame, key: list[str], pos: str, x: str, width: int, out: str = "smooth", block: int = 1 << 16) -> DataFrame:
+    """Centred moving average over an odd width with the end values repeated beyond the ends.
+
+    ``pos`` are consecutive places; they are taken ``block`` at a time, with half a width on either side.
+    """
     half = max(3, width | 1) // 2
-    w, all_rows = _by(key, pos), Window.partitionBy(*key).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    i, n = F.row_number().over(w), F.count(F.lit(1)).over(Window.partitionBy(*key))
-    inner = F.sum(x).over(w.rowsBetween(-half, half))
-    head, tail = F.first(x).over(all_rows), F.last(x).over(all_rows)
-    missing_head, missing_tail = F.greatest(F.lit(half) - (i - 1), F.lit(0)), F.greatest(F.lit(half) - (n - i), F.lit(0))
-    return df.withColumn(out, (inner + head * missing_head + tail * missing_tail) / (2 * half + 1))
+    ends = df.groupBy(*key).agg(F.min(pos).alias("_lo"), F.max(pos).alias("_hi"), F.min_by(x, pos).alias("_head"), F.max_by(x, pos).alias("_tail"))
+    near = same_key_join(haloed(df, key, pos, block, half, half), ends, key)
+    inner = F.sum(x).over(_by([*key, "_part"], pos).rowsBetween(-half, half))
+    missing_head, missing_tail = F.greatest(F.lit(half) - (F.col(pos) - F.col("_lo")), F.lit(0)), F.greatest(F.lit(half) - (F.col("_hi") - F.col(pos)), F.lit(0))
+    mean = (inner + F.col("_head") * missing_head + F.col("_tail") * missing_tail) / (2 * half + 1)
+    return near.withColumn(out, mean).where("_own").drop("_part", "_own", "_lo", "_hi", "_head", "_tail")
 
 
 def local_peaks(df: DataFrame, key: list[str], t: str, p: str, threshold: float, block: int | None = None) -> DataFrame:
@@ -178,12 +196,19 @@ def merge_capped(df: DataFrame, key: list[str], start: str, end: str, longest: f
     return orbit(rows.where(F.col(end).isNotNull()), key, [start, end], longest, merged_up_to(n, n + 1, longest), take, schema, 16)
 
 
-def kinematics(df: DataFrame, key: list[str], t: str, x: str, y: str, first_dt: float, width: float = 1.0, tie: str | None = None) -> DataFrame:
-    """dt and speed (in widths a time unit) against the previous row by time and ``tie``; the first row takes ``first_dt``, a row of no time has no speed."""
-    w = _by(key, t, *([tie] if tie else []))
-    dt = F.coalesce(F.col(t) - F.lag(t).over(w), F.lit(first_dt))
-    step = F.hypot(F.coalesce(F.col(x) - F.lag(x).over(w), F.lit(0.0)), F.coalesce(F.col(y) - F.lag(y).over(w), F.lit(0.0)))
-    return df.withColumn("dt", dt).withColumn("speed", F.try_divide(step, F.col("dt") * F.lit(width)))
+def kinematics(df: DataFrame, key: list[str], t: str, x: str, y: str, first_dt: float, width: float = 1.0, tie: str | None = None, bucket: float | None = None) -> DataFrame:
+    """dt and speed (in widths a time unit) against the previous row by time and ``tie``; the first row takes ``first_dt``, a row of no time has no speed.
+
+    With ``bucket``, a width of time, a key is sorted a bucket at a time, and the last row of the buckets before carried over.
+    """
+    order = [t, *([tie] if tie else [])]
+    here = F.struct(*order, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    rows = carried(df.withColumn("_part", F.floor(F.col(t) / F.lit(bucket)) if bucket else F.lit(0).cast("long")), key, "_part", F.max(here), F.max, "_last")
+    last = F.coalesce(F.lag(here).over(_by([*key, "_part"], *order)), "_last")
+    dt = F.coalesce(F.col(t) - F.col("_before")[t], F.lit(first_dt))
+    step = F.hypot(F.coalesce(F.col(x) - F.col("_before._x"), F.lit(0.0)), F.coalesce(F.col(y) - F.col("_before._y"), F.lit(0.0)))
+    told = rows.withColumn("_before", last).withColumn("dt", dt).withColumn("speed", F.try_divide(step, F.col("dt") * F.lit(width)))
+    return told.drop("_part", "_last", "_before")
 
 
 def tumbling(df: DataFrame, key: list[str], frame: str, size: int) -> DataFrame:
@@ -191,9 +216,14 @@ def tumbling(df: DataFrame, key: list[str], frame: str, size: int) -> DataFrame:
     return df.withColumn("block", F.floor(F.col(frame) / F.lit(size)).cast("long"))
 
 
-def rolling_buffer(df: DataFrame, key: list[str], frame: str, x: str, size: int, out: str = "buffer") -> DataFrame:
-    """The last ``size`` values up to each row, the first one repeated where there are fewer."""
-    w = _by(key, frame)
+def rolling_buffer(df: DataFrame, key: list[str], frame: str, x: str, size: int, out: str = "buffer", block: int = 1 << 16) -> DataFrame:
+    """The last ``size`` values up to each row, the first one repeated where there are fewer.
+
+    ``frame`` are consecutive places; they are taken ``block`` at a time, with the rows that the first ones need.
+    """
+    near = haloed(df, key, frame, block, size - 1, 0)
+    w = _by([*key, "_part"], frame)
     have = F.collect_list(x).over(w.rowsBetween(-(size - 1), 0))
-    head = F.first(x).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_h", have).withColumn(out, F.concat(F.array_repeat(head, F.lit(size) - F.size("_h")), F.col("_h"))).drop("_h")
+    head = F.first(x).over(w.rowsBetween(Window.unboundedPreceding, 0))  # of the key where the list is short
+    full = near.withColumn("_h", have).withColumn(out, F.concat(F.array_repeat(head, F.lit(size) - F.size("_h")), F.col("_h")))
+    return full.where("_own").drop("_h", "_part", "_own")

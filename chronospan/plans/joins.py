@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chronospan.operators import joins as J
 
 from .sequences import EV
-from .tables import HOUR, events, spans, table
+from .tables import HOUR, WEEK, events, spans, table
 
 SP = f"{EV}, s AS (SELECT event_id, user_id, event_type, value, us AS a, us + 3600000000 + k * 60000000 AS b FROM e WHERE event_type IN ('purchase', 'error'))"
 
@@ -66,7 +66,7 @@ def _asof(following):
         e = events(spark, sf_dir)
         probe = e.where("event_type = 'click'").select("event_id", "user_id", "us")
         data = e.where("event_type = 'view'").select("user_id", "us", F.col("event_id").alias("view_id"))
-        return J.asof(probe, data, ["user_id"], "us", "view_id", following).select("event_id", F.col("matched").alias("view_id"))
+        return J.asof(probe, data, ["user_id"], "us", "view_id", following, bucket=WEEK).select("event_id", F.col("matched").alias("view_id"))
 
     return q
 
@@ -79,7 +79,7 @@ SELECT p.event_id, coalesce(d.view_id, l.far) AS view_id FROM p ASOF LEFT JOIN d
 
 def e20_neighbours(spark, sf_dir):
     e = events(spark, sf_dir)
-    return J.neighbours(e, ["user_id"], "us", F.col("value") > 60, "event_id").select("event_id", "previous", "following")
+    return J.neighbours(e, ["user_id"], "us", F.col("value") > 60, "event_id", bucket=WEEK).select("event_id", "previous", "following")
 
 
 E20 = f"""WITH {EV} SELECT event_id, last_value(CASE WHEN value > 60 THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous,

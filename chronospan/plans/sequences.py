@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronospan.operators import aggregate as A
@@ -10,13 +10,13 @@ from chronospan.operators import islands as I
 from chronospan.operators import select as S
 from chronospan.operators import sequence as Q
 
-from .tables import DAY, HOUR, events, table
+from .tables import DAY, HOUR, WEEK, events, placed, table
 
 EV = "e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) AS us, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"
 
 
 def g1_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Q.sessionize(events(spark, sf_dir), ["user_id"], "us", 2 * HOUR, "event_id", slack=1)
+    s = Q.sessionize(events(spark, sf_dir), ["user_id"], "us", 2 * HOUR, "event_id", slack=1, bucket=WEEK)
     a = s.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.round(F.sum("value"), 4).alias("total"))
     return S.top_k(a, [F.desc("n"), "start_us", "user_id"], 50)
 
@@ -29,7 +29,7 @@ FROM s GROUP BY user_id, session ORDER BY n DESC, start_us, user_id LIMIT 50"""
 
 
 def f5_bursts(spark, sf_dir):
-    return Q.bursts(events(spark, sf_dir), ["user_id", "event_type"], "us", 12 * HOUR, 2, "event_id")
+    return Q.bursts(events(spark, sf_dir), ["user_id", "event_type"], "us", 12 * HOUR, 2, "event_id", WEEK)
 
 
 F5 = f"""WITH {EV},
@@ -96,7 +96,7 @@ SELECT l_returnflag, l_linestatus, round(avg(25 * (coalesce(2 * q, 0) + coalesce
 
 
 def f8_window_scores(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id")) - 1)
+    e = placed(events(spark, sf_dir)).withColumn("pos", F.col("pos") - 1)
     return A.window_mean_sigmoid(e.withColumn("x", F.col("value") / 20 - 1), ["user_id"], "pos", "x", 8, 4).withColumn("probability", F.round("probability", 6))
 
 
@@ -106,7 +106,7 @@ SELECT user_id, pos, round(1 / (1 + exp(-avg(x))), 6) AS probability FROM p GROU
 
 def f27_robust_z(spark, sf_dir):
     z = A.robust_z(events(spark, sf_dir), ["event_type"], "value", 3.0)
-    return A.jumps(z, ["user_id"], "us", "value", 9.0, "event_id").select("event_id", F.round("z", 6).alias("z"), "transient")
+    return A.jumps(z, ["user_id"], "us", "value", 9.0, "event_id", WEEK).select("event_id", F.round("z", 6).alias("z"), "transient")
 
 
 F27 = f"""WITH {EV}, c AS (SELECT event_type, median(value) AS c FROM e GROUP BY 1), d AS (SELECT * FROM e JOIN c USING (event_type)),
@@ -136,7 +136,7 @@ SELECT user_id, min(bin) AS "start", max(bin) + 1 AS "end", count(*) AS n FROM m
 
 def g2_islands(spark, sf_dir):
     b = A.fixed_bins(events(spark, sf_dir), ["user_id"], "us", 12 * HOUR, {"n": F.count(F.lit(1))})
-    return Q.sessionize(b.where("n > 0"), ["user_id"], "bin", 2).groupBy("user_id", "session").agg(F.min("bin").alias("start"), (F.max("bin") + 1).alias("end"), F.sum("n").alias("n")).drop("session")
+    return Q.sessionize(b.where("n > 0"), ["user_id"], "bin", 2, bucket=1024).groupBy("user_id", "session").agg(F.min("bin").alias("start"), (F.max("bin") + 1).alias("end"), F.sum("n").alias("n")).drop("session")
 
 
 G2 = f"""WITH {EV}, h AS (SELECT user_id, us // 43200000000 AS bin, count(*) AS n FROM e GROUP BY ALL),
@@ -158,7 +158,7 @@ SELECT event_type, min(pos) AS "start", max(pos) + 1 AS "end", count(*) AS n, ma
 def g3_split(spark, sf_dir):
     e = events(spark, sf_dir)
     day = e.groupBy("user_id").agg(F.min("us").alias("start"), (F.max("us") + 1).alias("end"))
-    cores = Q.bursts(e.where("value > 12"), ["user_id"], "us", 12 * HOUR, 2, "event_id").select("user_id", "start", "end")
+    cores = Q.bursts(e.where("value > 12"), ["user_id"], "us", 12 * HOUR, 2, "event_id", WEEK).select("user_id", "start", "end")
     return Q.split_at(day, cores, ["user_id"]).select("user_id", F.col("start").cast("long"), F.col("end").cast("long"))
 
 
@@ -180,8 +180,7 @@ G7 = f"""WITH {EV} SELECT event_id, max((event_type = 'error')::INT) OVER (PARTI
 
 
 def g9_smooth(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id")))
-    return Q.smooth_edges(e, ["user_id"], "pos", "value", 5).select("event_id", F.round("smooth", 6).alias("smooth"))
+    return Q.smooth_edges(placed(events(spark, sf_dir)), ["user_id"], "pos", "value", 5).select("event_id", F.round("smooth", 6).alias("smooth"))
 
 
 G9 = f"""WITH {EV}, p AS (SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
@@ -282,8 +281,7 @@ SELECT e.event_id, e.user_id, e.us FROM e JOIN r ON e.user_id = r.user_id AND e.
 
 
 def g8_reversals(spark, sf_dir):
-    e = events(spark, sf_dir)
-    return Q.reversals(e, ["user_id"], "us", "value", 1, 5.0, 24 * HOUR)
+    return Q.reversals(placed(events(spark, sf_dir)), ["user_id"], "us", "value", 1, 5.0, 24 * HOUR, "pos")
 
 
 G8 = f"""WITH RECURSIVE {EV}, w AS (SELECT user_id, us, value, value - lag(value) OVER (PARTITION BY user_id ORDER BY us) AS b, lead(value) OVER (PARTITION BY user_id ORDER BY us) - value AS a FROM e),
@@ -294,7 +292,7 @@ SELECT t.user_id, t.us, t.value FROM t JOIN r ON t.user_id = r.user_id AND t.us
 
 def c4_kinematics(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("t", F.col("us") / 1e6).withColumn("y", F.col("k").cast("double"))
-    return Q.kinematics(e, ["user_id"], "t", "value", "y", 0.0333, 100.0).select("event_id", F.round("dt", 4).alias("dt"), F.round("speed", 8).alias("speed"))
+    return Q.kinematics(e, ["user_id"], "t", "value", "y", 0.0333, 100.0, "event_id", WEEK / 1e6).select("event_id", F.round("dt", 4).alias("dt"), F.round("speed", 8).alias("speed"))
 
 
 C4 = f"""WITH {EV} SELECT event_id, round(coalesce(us / 1e6 - lag(us / 1e6) OVER w, 0.0333), 4) AS dt,
@@ -314,8 +312,7 @@ SELECT conv_id, turn, block, label FROM c JOIN l USING (conv_id, block)"""
 
 
 def j9_buffer(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id")))
-    b = Q.rolling_buffer(e, ["user_id"], "pos", "event_id", 9)
+    b = Q.rolling_buffer(placed(events(spark, sf_dir)), ["user_id"], "pos", "event_id", 9)
     return b.select("event_id", F.array_join(F.transform("buffer", lambda x: x.cast("string")), ",").alias("buffer"))
 
 

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronospan.functions.scalars import micros
+from chronospan.operators import islands as I
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
+WEEK = 7 * DAY
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +23,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "user_id", "event_type", "value", micros(F.col("ts")).alias("us"), F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
+def placed(events: DataFrame) -> DataFrame:
+    """Events with ``pos``, the place from 1 among their user's by time and id, ranked a week at a time."""
+    return I.ranked(events, ["user_id"], F.floor(F.col("us") / WEEK), ["us", "event_id"])
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of users: (event_id, user_id, event_type, value, start, end) of value minutes at least one, from purchases and errors."""
     e = events(spark, sf_dir).where(F.col("event_type").isin("purchase", "error"))

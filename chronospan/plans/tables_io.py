@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronospan.streaming import streams as T
 
-from .tables import events, table
+from .tables import events, placed, table
 
 
 def g28_smooth(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id")))
-    return T.sizes_batch(e, "user_id", "pos", "value")
+    return T.sizes_batch(placed(events(spark, sf_dir)), "user_id", "pos", "value")
 
 
 def j1_session_windows(spark, sf_dir):
