@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .islands import carried
+from .quantiles import exact_quantiles
 
 
 def fixed_bins(df: DataFrame, key: list[str], t: str, width: int, measures: dict[str, Column]) -> DataFrame:
@@ -39,7 +40,7 @@ def rule_score(features: dict[str, Column], weights: dict[str, float], digits: i
 
 def scaled_percentile(df: DataFrame, key: list[str], x: str, q: float, least: float = 1.0) -> DataFrame:
     """The exact interpolated percentile of x a key, at least ``least``."""
-    return df.groupBy(*key).agg(F.greatest(F.lit(least), F.percentile(F.col(x), F.lit(q))).alias("scale"))
+    return exact_quantiles(df, key, x, {"_q": q}).select(*key, F.greatest(F.lit(least), F.col("_q")).alias("scale"))
 
 
 def histogram(df: DataFrame, key: list[str], label: str) -> DataFrame:
@@ -48,11 +49,11 @@ def histogram(df: DataFrame, key: list[str], label: str) -> DataFrame:
 
 
 def robust_z(df: DataFrame, key: list[str], x: str, floor: float, factor: float = 1.4826) -> DataFrame:
-    """Rows with median, scaled median absolute deviation (at least ``floor``) and z a key: two aggregates, joined back."""
-    mid = df.groupBy(*key).agg(F.median(x).alias("center"))
-    with_mid = df.join(mid, key)
-    spread = with_mid.groupBy(*key).agg(F.greatest(F.lit(floor), F.median(F.abs(F.col(x) - F.col("center"))) * F.lit(factor)).alias("spread"))
-    return with_mid.join(spread, key).withColumn("z", (F.col(x) - F.col("center")) / F.col("spread"))
+    """Rows with median, scaled median absolute deviation (at least ``floor``) and z a key: two selections, joined back."""
+    center = exact_quantiles(df, key, x, {"center": 0.5})
+    off = df.select(*key, x).join(center, key).select(*key, F.abs(F.col(x) - F.col("center")).alias("_off"))
+    spread = exact_quantiles(off, key, "_off", {"_mad": 0.5}).select(*key, F.greatest(F.lit(floor), F.col("_mad") * F.lit(factor)).alias("spread"))
+    return df.join(center.join(spread, key), key).withColumn("z", (F.col(x) - F.col("center")) / F.col("spread"))
 
 
 def jumps(df: DataFrame, key: list[str], t: str, x: str, more: float, tie: str, bucket: float | None = None) -> DataFrame:
