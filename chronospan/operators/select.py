@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .islands import fold_sorted, islands, ranked, same_key_join
+from chronospan.session import stored
+
+from .islands import carried, fold_sorted, islands, ranked, same_key_join
+from .joins import asof
 
 
 def top_k(df: DataFrame, order: list, k: int) -> DataFrame:
@@ -44,22 +48,38 @@ def greedy_non_overlapping(df: DataFrame, key: list[str], start: str, end: str,
     return top_k_each(fold_sorted(cut, [*key, "island"], order, choose).drop("island"), key, order, k, "pick")
 
 
-def diverse_top_k(df: DataFrame, key: list[str], source: str, kind: str, start: str, end: str, score: str, tie: str, k: int, near: float, near_cost: float = 3.0, same_cost: float = 1.0, strict: bool = False) -> DataFrame:
+#: Best rows of a key from which diverse picks are first tried, and how many times more each further try takes.
+SHORTLIST, MORE = 256, 16
+
+
+def diverse_top_k(df: DataFrame, key: list[str], source: str, kind: str, start: str, end: str, score: str, tie: str, k: int, near: float, near_cost: float = 3.0, same_cost: float = 1.0, strict: bool = False, shortlist: int = SHORTLIST) -> DataFrame:
     """Repeatedly the best of score less ``near_cost`` a chosen row of the source less than ``near`` away and ``same_cost`` a chosen row of the kind.
 
     Equal adjusted scores go to the higher score, then to source, start and
     ``tie``. A best row that overlaps a chosen one of its source is passed over
-    for good. Fewer than k picks of a key raise with ``strict``. The candidates
-    of a key are one task's: cut them to a shortlist first where a key is large.
+    for good. Fewer than k picks of a key raise with ``strict``.
+
+    A cost only lowers a score, so a key's picks are known from its best rows as long as
+    every one considered has an adjusted score that the first row left out does not
+    beat. A task holds ``shortlist`` rows of a key; keys whose picks these don't settle, which are few, are tried with more.
     """
     at = {c: df.columns.index(c) for c in (source, kind, start, end, score)}
+    order = [F.desc(score), source, start, tie]
 
-    def choose(rows: list[tuple]) -> list[tuple]:
-        left = [[row[at[score]], row] for row in rows]
+    def choose(rows: list[tuple], limit: int) -> list[tuple]:
+        bound = rows[limit][at[score]] if len(rows) > limit else None
+        left = [[row[at[score]], row] for row in rows[:limit]]
         chosen: list[tuple] = []
-        while left and len(chosen) < k:
+        settled = True
+        while len(chosen) < k and settled:
+            if not left:
+                settled = bound is None
+                break
             i = max(range(len(left)), key=lambda n: left[n][0])  # the first of equal ones
-            best = left.pop(i)[1]
+            adjusted, best = left.pop(i)
+            if bound is not None and adjusted < bound:
+                settled = False
+                break
             of_source = [c for c in chosen if c[at[source]] == best[at[source]]]
             if any(max(c[at[start]], best[at[start]]) < min(c[at[end]], best[at[end]]) for c in of_source):
                 continue
@@ -67,11 +87,23 @@ def diverse_top_k(df: DataFrame, key: list[str], source: str, kind: str, start:
             for x in left:
                 close = x[1][at[source]] == best[at[source]] and abs(x[1][at[start]] - best[at[start]]) < near
                 x[0] -= near_cost * close + same_cost * (x[1][at[kind]] == best[at[kind]])
+        if not settled:
+            return [(*rows[0], 0)]  # a mark: this key takes another try
         if strict and len(chosen) < k:
             raise ValueError(f"{len(chosen)} of {k} picks")
         return [(*row, n) for n, row in enumerate(chosen, 1)]
 
-    return fold_sorted(df, key, [F.desc(score), source, start, tie], choose, add={"pick": "long"}).withColumn("pick", F.col("pick").cast("int"))
+    by = Window.partitionBy(*key).orderBy(*order)
+    done, rows, limit = [], df, shortlist
+    while True:
+        best = rows.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= limit + 1).drop("_r")
+        tried = stored(fold_sorted(best, key, order, lambda held, n=limit: choose(held, n), add={"pick": "long"}), "picks")
+        done.append(tried.where("pick > 0"))
+        open_ = tried.where("pick = 0").select(*[F.col(c).alias(f"_on_{c}") for c in key])
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, done).withColumn("pick", F.col("pick").cast("int")).select(*df.columns, "pick")
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in key])
+        rows, limit = df.join(open_, same, "left_semi"), limit * MORE
 
 
 def merge_duplicates(df: DataFrame, key: list[str], start: str, end: str, peak: str, better: list[str], id_: str, peak_gap: float, share: float, bucket: float | None = None) -> DataFrame:
@@ -155,19 +187,33 @@ def spaced_choice(df: DataFrame, key: list[str], t: str, score: str, label: str,
     return df.groupBy(*key).applyInPandas(choose, df.schema)
 
 
-def expand_over(spans: DataFrame, parts: DataFrame, key: list[str], span_id: str, start: str = "start", end: str = "end") -> DataFrame:
-    """Each span grown over the parts it overlaps, taken in order, growth included: (key, span_id, start, end, n)."""
-    listed = parts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(start).alias("s"), F.col(end).alias("e")))).alias("_parts"))
-    grown = F.aggregate(
-        F.coalesce("_parts", F.array().cast(listed.schema["_parts"].dataType)),
-        F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.lit(0).alias("n")),
-        lambda acc, p: F.when(
-            F.greatest(acc["s"], p["s"]) < F.least(acc["e"], p["e"]),
-            F.struct(F.least(acc["s"], p["s"]).alias("s"), F.greatest(acc["e"], p["e"]).alias("e"), (acc["n"] + 1).alias("n")),
-        ).otherwise(acc),
+def expand_over(spans: DataFrame, parts: DataFrame, key: list[str], span_id: str, start: str = "start", end: str = "end", bucket: float | None = None) -> DataFrame:
+    """Each span grown over the parts it overlaps, taken in order of start, growth included: (key, span_id, start, end, n).
+
+    The first part met is the first whose furthest end so far is beyond the span's start; from there on each part is met
+    that starts before the end reached, which is the end of the last chain of overlapping parts that starts before the
+    span's end. So two as-of joins find both, and ``n`` is the difference of their places. With
+    ``bucket``, a width of time, keys are sorted a bucket at a time. Empty parts are never met.
+    """
+    of = F.floor(F.col("s") / F.lit(bucket)) if bucket else F.lit(0).cast("long")
+    real = parts.where(F.col(start) < F.col(end)).select(*key, F.col(start).alias("s"), F.col(end).alias("e"))
+    chains = islands(real, key, "s", "e", -5e-324, bucket, "chain")  # touching ones are apart
+    chains = ranked(chains, key, of, ["s", "e"], "place")
+    chains = carried(chains.withColumn("_part", of), key, "_part", F.max("e"), F.max, "_beyond")
+    here = F.max("e").over(Window.partitionBy(*key, "_part").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    reach = chains.withColumn("reach", F.greatest(here, F.coalesce("_beyond", here)))
+    firsts = reach.select(*key, F.col("reach").alias("at"), "place", F.struct("place", "s").alias("v"))
+    lasts = reach.groupBy(*key, "chain").agg(F.max("e").alias("e"), F.max("place").alias("place")).select(*key, F.col("chain").alias("at"), F.struct("e", "place").alias("v"))
+    probe = spans.select(*key, span_id, F.col(start).alias("_s"), F.col(end).alias("_e"))
+    one = asof(probe.withColumn("at", F.col("_s")), firsts, key, "at", "v", True, False, "place", bucket, True).withColumnRenamed("matched", "_first").drop("matched_t")
+    two = asof(one.withColumn("at", F.col("_e")), lasts, key, "at", "v", False, False, None, bucket, True)
+    met = (F.col("_s") < F.col("_e")) & (F.col("_first.s") < F.col("_e"))
+    kinds = dict(spans.dtypes)
+    grown = lambda a, b: F.when(met, a).otherwise(b)
+    return two.select(
+        *key, span_id, grown(F.least("_s", "_first.s"), F.col("_s")).cast(kinds[start]).alias(start), grown(F.greatest("_e", "matched.e"), F.col("_e")).cast(kinds[end]).alias(end),
+        grown(F.col("matched.place") - F.col("_first.place") + 1, F.lit(0)).cast("int").alias("n"),
     )
-    met = spans.join(listed, key, "left").withColumn("_g", grown)
-    return met.select(*key, span_id, F.col("_g.s").alias(start), F.col("_g.e").alias(end), F.col("_g.n").alias("n"))
 
 
 def first_passing(cues: DataFrame, frames: DataFrame, key: list[str], cue_id: str, t: str, frame_t: str, within: float, ok: Column) -> DataFrame:
