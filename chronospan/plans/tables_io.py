@@ -1,11 +1,14 @@
-"""Queries of stateful smoothing, session windows and joins of whole tables."""
+"""Queries of stateful smoothing, final scores, served requests, session windows and joins of whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chronospan.session import scratch
+from chronospan.streaming import prefix as P
 from chronospan.streaming import streams as T
 
+from .sequences import EV
 from .tables import events, placed, table
 
 
@@ -36,5 +39,47 @@ def j7_shared_scan(spark, sf_dir):
 J7 = """WITH p AS (SELECT l_orderkey, count(*) AS lines, sum(l_extendedprice * (1 - l_discount)) AS revenue, max(l_shipdate) AS shipped FROM lineitem GROUP BY 1)
 SELECT o_orderpriority, count(*) AS orders, coalesce(sum(lines), 0)::BIGINT AS lines, round(sum(revenue), 2) AS revenue, count(*) FILTER (shipped > o_orderdate + INTERVAL 90 DAYS) AS late FROM orders LEFT JOIN p ON o_orderkey = l_orderkey GROUP BY 1"""
 
-QUERIES = {"g28_smooth": g28_smooth, "j1_session_windows": j1_session_windows, "j7_shared_scan": j7_shared_scan}
-ORACLE_SQL = {"j1_session_windows": J1, "j7_shared_scan": J7}
+def _scored(spark, sf_dir):
+    return placed(events(spark, sf_dir)).select("user_id", (F.col("pos") - 1).alias("pos"), (F.col("value") / 20 - 1).alias("x"))
+
+
+def j12_prefix(spark, sf_dir):
+    return P.final_scores(_scored(spark, sf_dir), ["user_id"], "pos", "x", 8, 3).withColumn("probability", F.round("probability", 6))
+
+
+def j12_stream(spark, sf_dir):
+    """The same rows by a stream over the scored events, four files a batch, as fast as they come."""
+    rows, path = _scored(spark, sf_dir), scratch(spark, "scored")
+    rows.write.parquet(path)
+    name, store = P.STATE_STORE
+    was = spark.conf.get(name)
+    spark.conf.set(name, store)
+    try:
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
+        found = T.collect_stream(P.final_scores_stream(stream, "user_id", "pos", "x", 8, 3), "append", scratch(spark, "final"), scratch(spark, "progress"))
+    finally:
+        spark.conf.set(name, was)
+    return found.withColumn("probability", F.round("probability", 6))
+
+
+J12 = f"""WITH {EV}, p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS pos, value / 20 - 1 AS x, count(*) OVER (PARTITION BY user_id) AS n FROM e),
+l AS (SELECT *, CASE WHEN n < 8 THEN 0 ELSE ((n - 8) // 3 + 1) * 3 END AS stop FROM p),
+w AS (SELECT *, unnest(range(greatest(ceil((pos - 7) / 3.0::DOUBLE), 0)::BIGINT, pos // 3 + 1)) AS win FROM l),
+s AS (SELECT user_id, win, avg(x) AS score FROM w WHERE win * 3 < stop GROUP BY ALL)
+SELECT user_id, pos, round(1 / (1 + exp(-avg(score))), 6) AS probability FROM w JOIN s USING (user_id, win) WHERE pos < stop GROUP BY user_id, pos"""
+
+
+def j11_served(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("ts", F.timestamp_micros("us"))
+    asked = e.where("event_type IN ('purchase', 'error')").withColumn("until", F.timestamp_micros(F.col("us") + 3_600_000_000 + F.col("k") * 60_000_000))
+    met = P.served(asked, e.where("event_type NOT IN ('purchase', 'error')"), "user_id", "event_id", "ts", "until", "ts", "3 HOURS", "1 hour")
+    got = met.groupBy("user_id", "event_id").agg(F.count("t").alias("frames"), F.unix_micros(F.min("t")).alias("first_us"))
+    return got.withColumn("status", F.when(F.col("frames") > 0, "served").otherwise("unavailable"))
+
+
+J11 = f"""WITH {EV} SELECT a.user_id, a.event_id, count(b.us) AS frames, min(b.us) AS first_us, CASE WHEN count(b.us) > 0 THEN 'served' ELSE 'unavailable' END AS status
+FROM e a LEFT JOIN e b ON a.user_id = b.user_id AND b.event_type NOT IN ('purchase', 'error') AND b.us >= a.us AND b.us < a.us + 3600000000 + a.k * 60000000
+WHERE a.event_type IN ('purchase', 'error') GROUP BY ALL"""
+
+QUERIES = {"j11_served": j11_served, "j12_prefix": j12_prefix, "j12_stream": j12_stream, "g28_smooth": g28_smooth, "j1_session_windows": j1_session_windows, "j7_shared_scan": j7_shared_scan}
+ORACLE_SQL = {"j11_served": J11, "j12_prefix": J12, "j12_stream": J12, "j1_session_windows": J1, "j7_shared_scan": J7}
