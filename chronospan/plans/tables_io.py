@@ -16,6 +16,18 @@ def g28_smooth(spark, sf_dir):
     return T.sizes_batch(placed(events(spark, sf_dir)), "user_id", "pos", "value")
 
 
+G28 = f"""WITH RECURSIVE {EV}, p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS pos, value AS v FROM e),
+r AS (SELECT user_id, 0::BIGINT AS pos, 0::DOUBLE AS level, []::DOUBLE[] AS raw, []::DOUBLE[] AS acc, 0::BIGINT AS size FROM p WHERE pos = 1
+ UNION ALL SELECT p.user_id, p.pos, CASE WHEN ok THEN moved ELSE level END, CASE WHEN ok THEN kept ELSE raw END,
+  CASE WHEN NOT ok THEN acc WHEN len(acc) = 0 THEN [v] ELSE list_append(acc, round_even(moved, 0))[-12:] END, CASE WHEN NOT ok THEN round_even(base, 0)::BIGINT WHEN len(acc) = 0 THEN trunc(v)::BIGINT ELSE round_even(moved, 0)::BIGINT END
+ FROM r JOIN p ON p.user_id = r.user_id AND p.pos = r.pos + 1,
+  LATERAL (SELECT coalesce(v > 0, false) AS ok, CASE WHEN level > 0 THEN level WHEN len(acc) > 0 THEN list_aggregate(acc, 'median') ELSE 0 END AS base, list_append(raw, v)[-5:] AS kept) a,
+  LATERAL (SELECT kept[-3:] AS recent, greatest(3, 0.55::DOUBLE * base) AS reach) b, LATERAL (SELECT len(recent) = 3 AND (list_min(recent) > base OR list_max(recent) < base) AS trend) c,
+  LATERAL (SELECT CASE WHEN len(acc) = 0 THEN v WHEN trend THEN least(greatest(base * (1 - 0.6::DOUBLE) + list_aggregate(recent, 'median') * 0.6::DOUBLE, 3), 40)
+   ELSE least(greatest(base * (1 - 0.3::DOUBLE) + least(greatest(v, base - reach), base + reach) * 0.3::DOUBLE, 3), 40) END AS moved) d)
+SELECT user_id, pos, size FROM r WHERE pos > 0"""
+
+
 def j1_session_windows(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     s = e.groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.count(F.lit(1)).alias("n"))
@@ -82,4 +94,4 @@ FROM e a LEFT JOIN e b ON a.user_id = b.user_id AND b.event_type NOT IN ('purcha
 WHERE a.event_type IN ('purchase', 'error') GROUP BY ALL"""
 
 QUERIES = {"j11_served": j11_served, "j12_prefix": j12_prefix, "j12_stream": j12_stream, "g28_smooth": g28_smooth, "j1_session_windows": j1_session_windows, "j7_shared_scan": j7_shared_scan}
-ORACLE_SQL = {"j11_served": J11, "j12_prefix": J12, "j12_stream": J12, "j1_session_windows": J1, "j7_shared_scan": J7}
+ORACLE_SQL = {"j11_served": J11, "j12_prefix": J12, "j12_stream": J12, "g28_smooth": G28, "j1_session_windows": J1, "j7_shared_scan": J7}
