@@ -43,12 +43,29 @@ def fingerprint(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
+#: Names whose values are secret.
+SECRET_NAMES = ("api_key", "api-key", "apikey", "token", "secret", "password", "authorization")
+
+
 def redacted(text: Column, mark: str = "[redacted]") -> Column:
-    """Keys, tokens, passwords and authorizations given as ``name=value`` or ``name: value``, bearer tokens and ``sk-`` keys, masked."""
-    bearer = F.regexp_replace(text, r"(?i)\bbearer\s+\S+", f"Bearer {mark}")
-    keys = F.regexp_replace(bearer, r"\bsk-[A-Za-z0-9_-]{8,}", mark)
-    names = r"(?i)(\b(?:api[_-]?key|token|secret|password|authorization)[\x22']?\s*[:=]\s*[\x22']?)(?!Bearer \[)[^\x22'\s,}]+"
-    return F.regexp_replace(keys, names, f"$1{mark}")
+    """``text`` with secrets masked: values of ``SECRET_NAMES`` after ``=`` or ``:``, what follows ``bearer``, and ``sk-`` keys.
+
+    The text is cut once into words and what stands between them (blanks, quotes, commas, closing braces), which alternate; a word is
+    judged by itself and the two words before it.
+    """
+    name = rf"(?i)\b(?:{'|'.join(SECRET_NAMES)})"
+    parts = F.regexp_extract_all(text, F.lit(r"[^\s\x22',}]+|[\s\x22',}]+"), F.lit(0))
+
+    def judged(word: Column, i: Column) -> Column:
+        before, earlier = (F.coalesce(F.get(parts, i - back), F.lit("")) for back in (2, 4))
+        between = word.rlike(r"^[\s\x22',}]")
+        is_bearer = lambda w: w.rlike(r"(?i)\bbearer$")
+        named = before.rlike(name + "[:=]$") | (before.rlike("^[:=]$") & earlier.rlike(name + "$"))
+        separator = word.rlike("^[:=]$")
+        inline = F.regexp_replace(F.regexp_replace(word, name + "[:=](?=.)(?!(?i:bearer)$).+$", "\u0001$0"), "\u0001([^:=]*[:=]).+$", f"$1{mark}")
+        return F.when(between | separator, word).when(is_bearer(before) | (named & ~is_bearer(word)), F.lit(mark)).otherwise(F.regexp_replace(inline, r"\bsk-[A-Za-z0-9_-]{8,}", mark))
+
+    return F.when(text.isNotNull(), F.array_join(F.transform(parts, judged), ""))
 
 
 def even_indices(n: Column, k: int) -> Column:

@@ -2,64 +2,147 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .islands import carried, haloed, same_key_join
+from .quantiles import exact_quantiles
 from .sequence import sessionize
 
 
-def local_fit(t: np.ndarray, v: np.ndarray, center: float, kink: bool, trim: float = 0.85) -> tuple[np.ndarray, float]:
-    """Least squares of a quadratic (with a change of slope at ``center``), refitted without the largest residuals; coefficients and RMS."""
-    x = t - center
-    columns = [np.ones_like(x), x, x * x]
-    if kink:
-        columns.append(np.maximum(x, 0))
-    a = np.stack(columns, 1)
-    keep = np.ones(len(x), bool)
-    for _ in range(2):
-        coefficients = np.linalg.lstsq(a[keep], v[keep], rcond=None)[0]
-        residual = np.abs(a @ coefficients - v)
-        keep = residual <= np.quantile(residual, trim)
-        if keep.sum() <= a.shape[1]:
-            break
-    return coefficients, float(np.sqrt(np.mean(residual**2)))
-
-
-def impulses(df: DataFrame, key: list[str], t: str, x: str, y: str, gap: float = 0.2, reach: float = 0.25, least: float = 2.0, better: float = 0.6, apart: float = 0.2) -> DataFrame:
-    """(key, t, strength): times where the path changes velocity by ``least`` or more.
-
-    Paths are cut where samples are more than ``gap`` apart. At each sample with
-    enough samples on both sides within ``reach``, a quadratic and one with a
-    kink are fitted; the kink counts if it is strong and leaves at most
-    ``better`` of the residual. Of candidates closer than ``apart``, the one of
-    the least residual stays. A path's samples are one task's.
-    """
-    cut = sessionize(df, key, t, gap, out="_path")
+class Fit(NamedTuple):
+    """A path near a time: position, velocity and curvature there, the change of velocity (0 without a kink), the error, and samples left out."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(t)
-        ts, xs, ys = (pdf[c].to_numpy(float) for c in (t, x, y))
-        found = []
-        for i, c in enumerate(ts):
-            near = np.abs(ts - c) <= reach
-            if (near & (ts < c)).sum() < 4 or (near & (ts > c)).sum() < 4:
-                continue
-            fits = [(local_fit(ts[near], v[near], c, False), local_fit(ts[near], v[near], c, True)) for v in (xs, ys)]
-            plain, kinked = (np.hypot(*[f[k][1] for f in fits]) for k in (0, 1))
-            strength = float(np.hypot(*[f[1][0][3] for f in fits]))
-            if strength >= least and kinked <= better * plain:
-                found.append((kinked, c, strength))
-        kept: list[tuple] = []
-        for r, c, s in sorted(found):
-            if all(abs(c - k) >= apart for _, k, _ in kept):
-                kept.append((r, c, s))
-        head = [pdf[k].iloc[0] for k in key]
-        return pd.DataFrame([[*head, c, s] for _, c, s in sorted(kept, key=lambda z: z[1])], columns=[*key, "t", "strength"])
+    position: np.ndarray
+    velocity: np.ndarray
+    jump: np.ndarray
+    error: float
+    left_out: int
+
+
+def local_fit(t: np.ndarray, xy: np.ndarray, center: float, kink: bool, share: float = 0.85, least_error: float = 0.004) -> Fit:
+    """Both coordinates by one quadratic in time, with a change of slope at ``center`` if ``kink``.
+
+    Samples off by more than the ``share`` quantile of all distances, and more than ``least_error``, are left out of a
+    second fit if that leaves three more samples than it has terms. The error is the quantile of all samples' distances.
+    """
+    d = t - center
+    terms = np.vstack([np.ones_like(d), d, d * d, np.maximum(d, 0)][: 4 if kink else 3]).T
+    solved = np.linalg.lstsq(terms, xy, rcond=None)[0]
+    off = np.hypot(*(terms @ solved - xy).T)
+    near = off <= max(least_error, float(np.quantile(off, share)))
+    if near.sum() >= terms.shape[1] + 3:
+        solved = np.linalg.lstsq(terms[near], xy[near], rcond=None)[0]
+        off = np.hypot(*(terms @ solved - xy).T)
+    jump = solved[3] if kink else np.zeros(2)
+    return Fit(solved[0], solved[1], jump, float(np.quantile(off, share)), int((~near).sum()))
+
+
+class Impulses(NamedTuple):
+    """When a kink counts. Lengths are in widths, times in seconds; ``reach`` and ``exclude`` are also at least so many intervals between samples."""
+
+    samples: int = 12
+    interval: float = 0.065
+    gap: tuple[float, float, float] = (0.075, 3.5, 0.15)
+    reach: tuple[float, float] = (0.24, 7.1)
+    exclude: float = 0.6
+    side: int = 4
+    side_span: float = 0.12
+    error: float = 0.0045
+    jump: float = 0.22
+    speed: float = 2.1
+    apart: float = 0.2
+
+
+def kink_at(t: np.ndarray, xy: np.ndarray, center: float, interval: float, rule: Impulses) -> tuple | None:
+    """(time, start, end, jump, error, vx and vy before, left out) of an impulse at ``center`` of one unbroken path, if there is one."""
+    reach = max(rule.reach[0], interval * rule.reach[1])
+    near = np.abs(t - center) <= reach
+    before, after = t[near & (t < center - interval * rule.exclude)], t[near & (t > center + interval * rule.exclude)]
+    if min(len(before), len(after)) < rule.side or min(np.ptp(before), np.ptp(after)) < rule.side_span:
+        return None
+    fit = local_fit(t[near], xy[near], center, True)
+    jump = float(np.hypot(*fit.jump))
+    fastest = max(np.hypot(*fit.velocity), np.hypot(*(fit.velocity + fit.jump)))
+    if fit.error > rule.error or jump < rule.jump or fastest > rule.speed:
+        return None
+    return float(center), float(before[-1]), float(after[0]), jump, fit.error, float(fit.velocity[0]), float(fit.velocity[1]), fit.left_out
+
+
+def impulses(df: DataFrame, key: list[str], t: str, x: str, y: str, rule: Impulses = Impulses(), parts: int = 16) -> DataFrame:
+    """(key, t, start, end, jump, error, vx, vy, left_out): times at which a path's velocity changes at once, as by a contact.
+
+    A key needs ``rule.samples`` samples, ``rule.interval`` apart or less by their median. Its path is broken where they are
+    further apart than ``rule.gap`` (least, intervals, most). Centers are samples and the times midway between them; each is tried
+    with the samples of its stretch within reach alone, which a window brings together, so a key is dealt over tasks by time.
+    Of impulses less than ``rule.apart`` after one another, that of the least error stays, with the start and end of all.
+    """
+    low, times, most = rule.gap
+    rows = df.where(F.col(t).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull()).select(*key, F.col(t).cast("double").alias("t"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    widest = max(rule.reach[0], rule.interval * rule.reach[1]) + most
+    width = parts * widest
+    part = F.floor(F.col("t") / F.lit(width))
+    steps = carried(rows.withColumn("_part", part), key, "_part", F.max("t"), F.max, "_last")
+    step = F.col("t") - F.coalesce(F.lag("t").over(Window.partitionBy(*key, "_part").orderBy("t")), "_last")
+    intervals = exact_quantiles(steps.withColumn("_step", step), key, "_step", {"_interval": 0.5})
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    known = same_key_join(same_key_join(rows, counts, key), intervals, key).where((F.col("_n") >= rule.samples) & (F.col("_interval") > 0) & (F.col("_interval") <= rule.interval))
+    # Stretches by the longest gap of any key first; the key's own, which is no longer, cuts within them below.
+    near = haloed(known, key, "t", width, widest, widest)
+    micros = int(widest * 1e6) + 2  # frames of a window are whole numbers
+    w = Window.partitionBy(*key, "_part").orderBy(F.round(F.col("t") * 1e6).cast("long")).rangeBetween(-micros, micros)
+    local = near.withColumn("_near", F.collect_list(F.struct("t", "x", "y")).over(w)).where("_own")
+    broken = F.least(F.lit(most), F.greatest(F.lit(low), F.col("_interval") * times))
+    sized = same_key_join(local, _stretch_sizes(known.withColumn("_gap", broken), key, width), [*key, "t"])
+    names = [c for c in ("t", "_interval", "_near")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for i, (time, interval, held) in enumerate(zip(*(batch.column(c) for c in names), strict=True)):
+                c, dt = time.as_py(), interval.as_py()
+                ts, xs, ys = (held.values.field(j).to_numpy(zero_copy_only=False) for j in range(3))
+                order = np.argsort(ts, kind="stable")
+                ts, xy = ts[order], np.stack([xs, ys], 1)[order]
+                cut = np.flatnonzero(np.diff(ts) > min(most, max(low, dt * times)))
+                here = int(np.searchsorted(ts, c))
+                a, b = int(max((k + 1 for k in cut if k < here), default=0)), int(min((k + 1 for k in cut if k >= here), default=len(ts)))
+                centers = [c, (c + ts[here + 1]) / 2] if here + 1 < b else [c]
+                for hit in (kink_at(ts[a:b], xy[a:b], center, dt, rule) for center in centers):
+                    if hit:
+                        at.append(i)
+                        found.append(hit)
+            if found:
+                kinds = [pa.float64()] * 7 + [pa.int64()]
+                arrays = [pa.array(v, k) for v, k in zip(zip(*found, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(at)) for k in key), *arrays], [*key, *FOUND])
 
     kinds = dict(df.dtypes)
-    return cut.groupBy(*key, "_path").applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in key), "t double, strength double"]))
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in key), *(f"{c} {'long' if c == 'left_out' else 'double'}" for c in FOUND)])
+    hits = sized.where(F.col("_size") >= rule.samples).select(*key, *names).mapInArrow(run, schema)
+    groups = sessionize(hits, key, "t", rule.apart, "error", out="_group", bucket=width)
+    best = groups.groupBy(*key, "_group").agg(F.min(F.struct("error", "t", "jump", "vx", "vy", "left_out")).alias("b"), F.min("start").alias("start"), F.max("end").alias("end"))
+    return best.select(*key, "b.t", "start", "end", "b.jump", "b.error", "b.vx", "b.vy", "b.left_out")
+
+
+FOUND = ("t", "start", "end", "jump", "error", "vx", "vy", "left_out")
+
+
+def _stretch_sizes(rows: DataFrame, key: list[str], width: float) -> DataFrame:
+    """(key, t, _size): how many samples the unbroken stretch of each sample has; a row's own ``_gap`` breaks it."""
+    cut = carried(rows.withColumn("_part", F.floor(F.col("t") / F.lit(width))), key, "_part", F.max("t"), F.max, "_last")
+    w = Window.partitionBy(*key, "_part").orderBy("t")
+    step = F.col("t") - F.coalesce(F.lag("t").over(w), "_last")
+    new = carried(cut.withColumn("_new", F.when(step.isNull() | (step > F.col("_gap")), F.col("t"))), key, "_part", F.max("_new"), F.max, "_from")
+    begun = new.withColumn("_stretch", F.coalesce(F.max("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_from"))
+    sizes = begun.groupBy(*key, "_stretch").agg(F.count(F.lit(1)).alias("_size"))
+    return same_key_join(begun.select(*key, "t", "_stretch"), sizes, [*key, "_stretch"]).select(*key, "t", "_size").distinct()
 
 
 def follow_path(df: DataFrame, key: list[str], t: str, x: str, rate: float, center: float, hold: float, width: int = 15) -> DataFrame:
@@ -100,8 +183,6 @@ def trusted_gaps(df: DataFrame, key: list[str], t: str, x: str, seen: Column, sp
     ``speed`` times the time to the nearer anchor of the line between them, and
     at least ``supports`` rows of the same gap fit.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*key).orderBy(t)
     anchor = F.when(seen, F.struct(F.col(t).alias("t"), F.col(x).alias("x")))
     rows = df.withColumn("_a", F.last(anchor, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_b", F.first(anchor, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronospan.operators import choices as H
+from chronospan.operators import motion as V
 from chronospan.operators import select as S
 from chronospan.operators import signals as G
 
 from .sequences import EV
-from .tables import DAY, HOUR, WEEK, events
+from .tables import DAY, HOUR, WEEK, events, placed
 
 
 def h4_distinct(spark, sf_dir):
@@ -99,5 +100,12 @@ n AS (SELECT event_type, sqrt(sum(x * x)) AS nx, sqrt(sum(y * y)) AS ny FROM c G
 s AS (SELECT a.event_type, lag, sum(coalesce(a.x * b.y, 0)) AS s FROM c a CROSS JOIN g LEFT JOIN c b ON b.event_type = a.event_type AND b.p = a.p + lag GROUP BY ALL)
 SELECT event_type, 'checked' AS status, lag, round(s / (nx * ny), 6) AS correlation FROM s JOIN n USING (event_type) QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY s DESC, lag) = 1"""
 
-QUERIES = {"h4_distinct": h4_distinct, "e21_pairs": e21_pairs, "e7_expand": e7_expand, "g16_detail": g16_detail, "l19_alignment": l19_alignment}
+def g13_impulses(spark, sf_dir):
+    """Each user's events as a path: 25 places a second, value and k as coordinates."""
+    p = placed(events(spark, sf_dir)).select("user_id", (F.col("pos") / 25.0).alias("t"), (F.col("value") / 2000).alias("x"), (F.col("k") / 10000.0).alias("y"))
+    found = V.impulses(p, ["user_id"], "t", "x", "y", V.Impulses(error=0.02, jump=0.05))
+    return found.select("user_id", F.round("t", 6).alias("t"), F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), F.round("jump", 6).alias("jump"), F.round("error", 6).alias("error"), "left_out")
+
+
+QUERIES = {"g13_impulses": g13_impulses, "h4_distinct": h4_distinct, "e21_pairs": e21_pairs, "e7_expand": e7_expand, "g16_detail": g16_detail, "l19_alignment": l19_alignment}
 ORACLE_SQL = {"h4_distinct": H4, "e21_pairs": E21, "e7_expand": E7, "g16_detail": G16, "l19_alignment": L19}

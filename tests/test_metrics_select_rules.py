@@ -81,6 +81,13 @@ def test_names_lines_and_indices(spark):
     assert one.select(C.even_indices(F.lit(10), 4)).first()[0] == [0, 3, 6, 9]
     assert one.select(C.padded_indices(F.lit(2), 4)).first()[0] == [0, 1, 1, 1]
     assert one.select(C.redacted(F.lit("password: abc Bearer x.y"))).first()[0] == "password: [redacted] Bearer [redacted]"
+    for text, want in {
+        "token=https://x.org/?a=1,b ok": "token=[redacted],b ok", '{"api_key": "k1", "n": 2}': '{"api_key": "[redacted]", "n": 2}', "API-KEY = q r": "API-KEY = [redacted] r",
+        "Authorization: bearer abc": "Authorization: bearer [redacted]", "Authorization:Bearer abc": "Authorization:Bearer [redacted]", "the password is safe": "the password is safe",
+        "see sk-abcdefgh1, not sk-short": "see [redacted], not sk-short", "": "", "secret:": "secret:", "mytoken=1 secret=2}": "mytoken=1 secret=[redacted]}",
+    }.items():
+        assert one.select(C.redacted(F.lit(text))).first()[0] == want, text
+    assert one.select(C.redacted(F.lit(None).cast("string"))).first()[0] is None
 
 
 def test_a_table_without_rows_passes_every_guard(spark):

@@ -18,9 +18,10 @@ def path(kick: bool, shift: float = 0.0):
 
 def test_an_impulse_is_found_and_an_apex_is_not(spark):
     schema = "k string, t double, x double, y double"
-    assert P.impulses(spark.createDataFrame(path(False), schema), ["k"], "t", "x", "y").count() == 0
+    rule = P.Impulses(jump=2.0, speed=20.0)  # lengths here are far from widths of an image
+    assert P.impulses(spark.createDataFrame(path(False), schema), ["k"], "t", "x", "y", rule).count() == 0
     for shift in (0.0, 50.0):
-        got = P.impulses(spark.createDataFrame(path(True, shift), schema), ["k"], "t", "x", "y").collect()
+        got = P.impulses(spark.createDataFrame(path(True, shift), schema), ["k"], "t", "x", "y", rule).collect()
         assert len(got) == 1 and abs(got[0].t - shift - 1.6) <= 0.04
 
 
