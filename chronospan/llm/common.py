@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,18 +53,25 @@ def _hadoop(spark: SparkSession, path: str):
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def shuffle_files_deleted(spark: SparkSession) -> Iterator[None]:
+    """Queries within have their shuffle files deleted when they end."""
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
+
+
 class Stored:
     """A DataFrame written once to the shared folder and read back from there."""
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = scratch_path(self.spark, name)
-        was = self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")
-        try:
+        with shuffle_files_deleted(self.spark):
             df.write.parquet(self.path)
-        finally:
-            self.spark.conf.unset(_CLEANUP) if was is None else self.spark.conf.set(_CLEANUP, was)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def bytes(self) -> int:

@@ -25,14 +25,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import Stored, maybe_broadcast, scratch_path
-
-#: Pieces that a worker remembers, and the longest of them.
-CACHE_PIECES, CACHE_CHARS = 400_000, 32
+from .common import Stored, maybe_broadcast, scratch_path, shuffle_files_deleted
+
+#: Words that a worker remembers, and the longest of them.
+CACHE_WORDS, CACHE_CHARS = 150_000, 32
+#: Taken from ids, so that those of 65,536 fit in two bytes.
+SHIFT = 1 << 15
+#: Buckets for each shuffle partition: a document has as many rows as tokens once it is exploded, and a bucket's should be sorted in memory.
+BUCKETS_EACH = 4
 #: Documents of a batch that a task encodes at once.
 SLICE = 256
 #: Largest table of pair counts, in bytes of Parquet, that is sent to every executor.
@@ -64,22 +68,28 @@ class Pieces:
         names = [self._model.id_to_piece(i) for i in range(self._model.vocab_size())]
         self.bytes = [_piece_bytes(p, self._model.is_byte(i)) for i, p in enumerate(names)]
         self._apart = not any("\n" in p or ("▁" in p[1:] and p.strip("▁")) for p in names) and len(self._model.encode("\n")) == 2
+        self.unknown = self._model.unk_id()
         self._known: dict[str, bytes] = {}
 
-    def _new(self, word: str) -> bytes:
-        """Ids of a blank and a word, or of a line end and the word after it."""
-        ids = self._model.encode(word, num_threads=1)
-        ids = bpe.packed(ids[1:] if word[:1] == "\n" else ids)  # the blank put first stands alone before a line end
-        if len(word) <= CACHE_CHARS and len(self._known) < CACHE_PIECES:
-            self._known[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
+    def _word(self, ids: list[int], word: str) -> bytes:
+        return bpe.packed(ids[1:] if word[0] == "\n" else ids)  # the blank put first stands alone before a line end
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts. Words that aren't remembered are encoded at once."""
+        cut = [self._words(t) for t in texts]
+        new = list({w for words in cut if words for w in words}.difference(self._known))
+        ids = {w: self._word(x, w) for w, x in zip(new, self._model.encode(new, num_threads=1), strict=True)} if new else {}
+        room = CACHE_WORDS - len(self._known)
+        get, late = self._known.get, ids.get
+        out = [b"".join([get(w) or late(w) for w in words]) if words else bpe.packed(self._model.encode(t, num_threads=1)) for t, words in zip(texts, cut, strict=True)]
+        self._known.update((w, ids[w]) for w in [w for w in new if len(w) <= CACHE_CHARS][: max(0, room)])
+        return out
+
+    def _words(self, text: str) -> list[str] | None:
+        """The words of a text that can be encoded alone, a line end standing before its word; None if they can't."""
         if not self._apart or text[:1] in ("", " ", "\n") or text[-1] == " " or "  " in text or " \n" in text or "▁" in text:
-            return bpe.packed(self._model.encode(text, num_threads=1))
-        get, new = self._known.get, self._new
-        words = text.replace("\n", " \n").split(" ") if "\n" in text else text.split(" ")
-        return b"".join([get(w) or new(w) for w in words])
+            return None
+        return text.replace("\n", " \n").split(" ")
 
 
 class Bytes:
@@ -102,26 +112,30 @@ def load(vocabulary: str, model: str) -> tuple[Bytes, Pieces]:
 
 
 def encoded(docs: DataFrame, vocabulary: str, model: str) -> DataFrame:
-    """(key, doc_id, a, b): a key of its own for each row and its ids by both tokenizers, empty where their bytes differ from a blank and the text."""
+    """(key, doc_id, a, b): a key of its own for each row and its ids by both tokenizers, empty where their bytes differ from a blank and the text.
+
+    Byte-level tokens give a text back; pieces do where none is unknown and the text holds no blank sign of the model's own.
+    Ids are held less ``SHIFT``, in two bytes where the vocabularies allow it.
+    """
+    kind = ("short", np.int16) if max(map(len, (t.bytes for t in load(vocabulary, model)))) <= 2 * SHIFT else ("int", np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = load(vocabulary, model)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                found = []
-                for text in part.column(1).to_pylist():
-                    ids = (one.encode(text), two.encode(text)) if text else (b"", b"")
-                    whole = b" " + (text or "").encode()
-                    same = text and all(b"".join(map(t.bytes.__getitem__, memoryview(i).cast("I"))) == whole for t, i in zip((one, two), ids, strict=True))
-                    found.append(ids if same else (b"", b""))
+                texts = [t if t and "▁" not in t else "" for t in part.column(1).to_pylist()]
+                a = [np.frombuffer(one.encode(t) if t else b"", np.int32) for t in texts]
+                b = [np.frombuffer(x if t else b"", np.int32) for t, x in zip(texts, two.encode(texts), strict=True)]
+                same = [not (y == two.unknown).any() for y in b]
                 lists = []
-                for side in zip(*found, strict=True):
-                    offsets = np.cumsum([0, *(len(x) // 4 for x in side)], dtype=np.int32)
-                    lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(side), np.int32))))
+                for side in (a, b):
+                    kept = [x if ok else x[:0] for x, ok in zip(side, same, strict=True)]
+                    offsets = np.cumsum([0, *map(len, kept)], dtype=np.int32)
+                    lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array((np.concatenate(kept) - SHIFT).astype(kind[1]))))
                 yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["doc_id", "a", "b"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, a array<int>, b array<int>")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, a array<{kind[0]}>, b array<{kind[0]}>")
     return rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", "a", "b")
 
 
@@ -133,7 +147,7 @@ def _lengths(spark: SparkSession, pieces: list[bytes], name: str) -> DataFrame:
 
 def ends(dealt: DataFrame, ids: str, at: str, id_: str, lengths: DataFrame) -> DataFrame:
     """(key, at, id_, end): one side's tokens with the byte that each ends at."""
-    tokens = dealt.select("key", F.posexplode(ids).alias(at, id_)).join(lengths, id_)
+    tokens = dealt.select("key", F.posexplode(ids).alias(at, "_id")).select("key", at, (F.col("_id").cast("int") + SHIFT).alias(id_)).join(lengths, id_)
     so_far = Window.partitionBy("key").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
     return tokens.select("key", at, id_, F.sum("n_bytes").over(so_far).alias("end"))
 
@@ -143,9 +157,11 @@ class Bucketed:
 
     def __init__(self, df: DataFrame, key: str, name: str):
         self.spark, self.name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = df.repartition(n, key)
-        dealt.write.option("path", scratch_path(self.spark, name)).option("compression", "zstd").bucketBy(n, key).saveAsTable(self.name)
+        n = BUCKETS_EACH * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        columns = ", ".join(f"{c} {kind}" for c, kind in df.dtypes)
+        self.spark.sql(f"CREATE TABLE {self.name} ({columns}) USING parquet OPTIONS (compression 'zstd') CLUSTERED BY ({key}) INTO {n} BUCKETS LOCATION '{scratch_path(self.spark, name)}'")
+        with shuffle_files_deleted(self.spark):
+            df.repartition(n, key).write.insertInto(self.name)
         self.df = self.spark.table(self.name)
 
     def drop(self) -> None:
@@ -154,33 +170,48 @@ class Bucketed:
 
 
 def align(dealt: DataFrame, lengths_a: DataFrame, lengths_b: DataFrame) -> DataFrame:
-    """(key, doc_id, a, b, cuts) of ``encoded`` rows in buckets of key: ``cuts`` lists in order the places (a_at, b_at, a_id, b_id) of the tokens that end together.
+    """(key, doc_id, a, b, cuts) of ``encoded`` rows in buckets of key: ``cuts`` lists in order the places of the tokens that end together, a's above b's 32 bits.
 
     The running number of a cut, its place in the list, is its group: the tokens after the places of the cut before, up to its own.
     """
     cuts = ends(dealt, "a", "a_at", "a_id", lengths_a).join(ends(dealt, "b", "b_at", "b_id", lengths_b), ["key", "end"])
-    listed = cuts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("a_at", "b_at", "a_id", "b_id"))).alias("cuts"))
+    place = F.shiftleft(F.col("a_at").cast("long"), 32).bitwiseOR(F.col("b_at").cast("long"))
+    listed = cuts.groupBy("key").agg(F.sort_array(F.collect_list(place)).alias("cuts"))
     return dealt.join(listed, "key", "left")
 
 
-def group_text(a: str = "a", b: str = "b", cuts: str = "cuts"):
+def a_at(cut: Column) -> Column:
+    return F.shiftright(cut, 32).cast("int")
+
+
+def b_at(cut: Column) -> Column:
+    return cut.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+
+
+def links(a: str = "a", b: str = "b", cuts: str = "cuts") -> Column:
+    """The pairs (a_id, b_id) of tokens of ``align`` whose bytes end together, in order."""
+    id_ = lambda ids, at: (F.get(F.col(ids), at).cast("int") + SHIFT)
+    return F.transform(cuts, lambda c: F.struct(id_(a, a_at(c)).alias("a_id"), id_(b, b_at(c)).alias("b_id")))
+
+
+def group_text(a: str = "a", b: str = "b", cuts: str = "cuts") -> tuple[list[Column], Column]:
     """Columns ``_a`` and ``_b`` of ids as text, and with them the groups of ``align`` as text: ``a1,a2|b1;a3|b2,b3``."""
-    names = [F.transform(x, lambda i: i.cast("string")) for x in (a, b)]
+    names = [F.transform(x, lambda i: (i.cast("int") + SHIFT).cast("string")) for x in (a, b)]
 
-    def one_side(ids, cut, before, at):
-        start = F.coalesce(before[at] + 1, F.lit(0))
-        return F.when(start == cut[at], F.get(ids, cut[at])).otherwise(F.array_join(F.slice(ids, start + 1, cut[at] - start + 1), ","))
+    def one_side(ids: Column, last: Column, before: Column) -> Column:
+        start = F.coalesce(before + 1, F.lit(0))
+        return F.when(start == last, F.get(ids, last)).otherwise(F.array_join(F.slice(ids, start + 1, last - start + 1), ","))
 
-    def one_group(cut, i):
+    def one_group(cut: Column, i: Column) -> Column:
         before = F.get(F.col(cuts), i - 1)  # null for the first
-        return F.concat(one_side(F.col("_a"), cut, before, "a_at"), F.lit("|"), one_side(F.col("_b"), cut, before, "b_at"))
+        return F.concat(one_side(F.col("_a"), a_at(cut), a_at(before)), F.lit("|"), one_side(F.col("_b"), b_at(cut), b_at(before)))
 
     return names, F.array_join(F.transform(cuts, one_group), ";")
 
 
-def linked_pairs(links: DataFrame) -> DataFrame:
-    """(a_id, b_id, n, best): how many of the links (a_id, b_id) hold each pair, and whether that is its ``b_id``'s highest."""
-    counts = Stored(links.groupBy("a_id", "b_id").agg(F.count(F.lit(1)).alias("n")), "pair_counts").df
+def linked_pairs(linked: DataFrame) -> DataFrame:
+    """(a_id, b_id, n, best): how many of the rows (a_id, b_id) hold each pair, and whether that is its ``b_id``'s highest."""
+    counts = Stored(linked.groupBy("a_id", "b_id").agg(F.count(F.lit(1)).alias("n")), "pair_counts").df
     highest = counts.groupBy("b_id").agg(F.max("n").alias("_most"))
     return counts.join(highest, "b_id").select("a_id", "b_id", "n", (F.col("n") == F.col("_most")).alias("best"))
 
@@ -196,8 +227,7 @@ def alignment_report(docs: DataFrame, vocabulary: str | None = None, model: str
     try:
         aligned = align(held.df, _lengths(spark, one.bytes, "a_id"), _lengths(spark, two.bytes, "b_id")).withColumn("_a", names[0]).withColumn("_b", names[1])
         digest = F.when(F.col("cuts").isNotNull(), F.sha2(text, 256)).otherwise(F.lit(""))
-        links = F.transform("cuts", lambda c: F.struct(c["a_id"].alias("a_id"), c["b_id"].alias("b_id")))
-        told = Stored(aligned.select("key", "doc_id", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), digest.alias("groups_sha256"), links.alias("links")), "aligned").df
+        told = Stored(aligned.select("key", "doc_id", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), digest.alias("groups_sha256"), links().alias("links")), "aligned").df
     finally:
         spark.conf.set(_CO_PARTITION, was)
         held.drop()
