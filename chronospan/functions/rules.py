@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronospan.operators.islands import carried
+
 
 def reasons(rules: dict[str, Column]) -> Column:
     """Array of the names of the rules that hold; a null rule doesn't."""
@@ -42,11 +44,15 @@ def shared_values(df: DataFrame, split: str, value: str) -> DataFrame:
     return df.groupBy(value).agg(F.array_sort(F.collect_set(split)).alias("splits")).where(F.size("splits") > 1)
 
 
-def coverage(df: DataFrame, key: list[str], t: str, start: Column, end: Column, gap: float, least: int) -> DataFrame:
-    """(key, n, largest_gap, ok): enough rows, no gap too large, both ends within a gap of the span."""
-    w = Window.partitionBy(*key).orderBy(t)
-    rows = df.withColumn("_gap", F.col(t) - F.lag(t).over(w)).withColumn("_a", start).withColumn("_b", end)
-    a = rows.groupBy(*key).agg(
+def coverage(df: DataFrame, key: list[str], t: str, start: Column, end: Column, gap: float, least: int, bucket: float | None = None) -> DataFrame:
+    """(key, n, largest_gap, ok): enough rows, no gap too large, both ends within a gap of the span.
+
+    With ``bucket``, a width of time, a key is sorted a bucket at a time, and the last time of the buckets before carried over.
+    """
+    part = F.floor(F.col(t) / F.lit(bucket)) if bucket else F.lit(0).cast("long")
+    rows = carried(df.withColumn("_a", start).withColumn("_b", end).withColumn("_part", part), key, "_part", F.max(t), F.max, "_last")
+    before = F.coalesce(F.lag(t).over(Window.partitionBy(*key, "_part").orderBy(t)), "_last")
+    a = rows.withColumn("_gap", F.col(t) - before).groupBy(*key).agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.max("_gap"), F.lit(0)).alias("largest_gap"), F.min(F.col(t) - F.col("_a")).alias("_head"), F.min(F.col("_b") - F.col(t)).alias("_tail")
     )
     ok = (F.col("n") >= least) & (F.col("largest_gap") <= gap) & (F.col("_head") <= gap) & (F.col("_tail") <= gap)

@@ -79,6 +79,11 @@ def padded_indices(n: Column, k: int) -> Column:
     return F.when(n >= k, even_indices(n, k)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.least(i, n.cast("int") - 1)))
 
 
+def padded_span(start: Column, end: Column, before: float, after: float, low: Column, high: Column) -> Column:
+    """Struct (start, end) of a span with room on either side, cut to lie in [low, high]."""
+    return F.struct(F.greatest(low, start - before).alias("start"), F.least(high, end + after).alias("end"))
+
+
 def clamped_span(center: Column, length: Column, low: Column, high: Column) -> Column:
     """Struct (start, end) of a span of ``length`` round ``center``, moved and cut to lie in [low, high]."""
     start = F.greatest(low, F.least(center - length / 2, high - length))

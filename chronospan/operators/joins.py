@@ -74,6 +74,17 @@ def asof(probe: DataFrame, data: DataFrame, key: list[str], t: str, value: str,
     return met.select("_p.*", F.col("_m.v").alias("matched"), F.col("_m.t").alias("matched_t"))
 
 
+def snapped_outwards(spans: DataFrame, frames: DataFrame, key: list[str], start: str, end: str, t: str, inner: tuple[str, str], bucket: float | None = None, slack: float = 1e-6) -> DataFrame:
+    """Spans whose ends lie on frames: ``start`` on the last frame at or before the time ``inner[0]``, ``end`` on the first at or after ``inner[1]``.
+
+    ``inner`` names columns of the times that a span has to hold. An end without such a frame keeps its place. With ``bucket``, a key is sorted a bucket at a time.
+    """
+    seen = frames.select(*key, F.col(t).alias("_at"), F.col(t).alias("_frame"))
+    low = asof(spans.withColumn("_at", F.col(inner[0]) + slack), seen, key, "_at", "_frame", False, False, None, bucket).withColumn(start, F.coalesce("matched", start)).drop("matched", "matched_t")
+    high = asof(low.withColumn("_at", F.col(inner[1]) - slack), seen, key, "_at", "_frame", True, False, None, bucket).withColumn(end, F.coalesce("matched", end))
+    return high.select(*spans.columns)
+
+
 def neighbours(df: DataFrame, key: list[str], t: str, is_anchor: Column, value: str, tie: str | None = None, bucket: float | None = None) -> DataFrame:
     """Each row's previous and next anchor value by time and ``tie``, itself excluded.
 

@@ -176,6 +176,34 @@ def hint_boxes(df: DataFrame, key: list[str], t: str, x: str, y: str, start: Col
     return boxes.where(F.col("n") >= least)
 
 
+def hint_windows(samples: DataFrame, spans: DataFrame, key: list[str], t: str, x: str, y: str, longest: float = 1.2, near: float = 0.25, edge: float = 0.2, hole: float = 0.35, least: int = 3, room: tuple[float, float] = (0.42, 0.28), widest: float = 0.82, above: float = 0.12, highest: float = 0.35) -> DataFrame:
+    """(key, start, end, x0, y0, x1): where to look in each of the equal windows of at most ``longest`` that a key's span (key, start, end) is cut into.
+
+    A window sees the samples from ``near`` before to ``near`` after it. It gives a box if there are ``least`` of them, the first and
+    last within ``edge`` of its ends and none ``hole`` apart: as wide as the samples with ``room`` (least, and more),
+    unless that is over ``widest``, from ``above`` the highest sample, ``highest`` at most, down to the bottom. Times are cut to what was seen.
+    """
+    n = F.greatest(F.lit(1), F.ceil((F.col("end") - F.col("start")) / longest))
+    s = spans.where(F.col("start") < F.col("end")).select(*key, F.col("start").alias("_a"), F.col("end").alias("_b"), n.alias("_n")).withColumn("_w", (F.col("_b") - F.col("_a")) / F.col("_n"))
+    rows = samples.select(*key, F.col(t).cast("double").alias("_t"), F.col(x).alias("_x"), F.col(y).alias("_y"))
+    met = same_key_join(rows, s, key).where((F.col("_t") >= F.col("_a")) & (F.col("_t") <= F.col("_b")))
+    first, last = (F.floor((F.col("_t") - F.col("_a") + d) / F.col("_w")) for d in (-near, near))
+    held = met.withColumn("_win", F.explode(F.sequence(F.greatest(first - 1, F.lit(0)), F.least(last + 1, F.col("_n") - 1))))  # one more, as ends count and shares are rounded
+    low, high = F.col("_a") + F.col("_win") * F.col("_w"), F.col("_a") + (F.col("_win") + 1) * F.col("_w")
+    seen = held.withColumn("_low", low).withColumn("_high", high).where((F.col("_t") >= F.col("_low") - near) & (F.col("_t") <= F.col("_high") + near))
+    by = Window.partitionBy(*key, "_win").orderBy("_t")
+    box = seen.withColumn("_hole", F.col("_t") - F.lag("_t").over(by)).groupBy(*key, "_win", "_low", "_high").agg(
+        F.count(F.lit(1)).alias("_m"), F.min("_t").alias("_t0"), F.max("_t").alias("_t1"), F.max("_hole").alias("_hole"), F.min("_x").alias("_x0"), F.max("_x").alias("_x1"), F.min("_y").alias("_y0")
+    )
+    ok = box.where((F.col("_m") >= least) & (F.col("_t0") <= F.col("_low") + edge) & (F.col("_t1") >= F.col("_high") - edge) & (F.col("_hole") <= hole))
+    wide = F.least(F.lit(1.0), F.greatest(F.lit(room[0]), F.col("_x1") - F.col("_x0") + room[1]))
+    start, end = F.greatest("_low", "_t0"), F.least("_high", "_t1")
+    left = F.greatest(F.lit(0.0), F.least(1 - F.col("_wide"), (F.col("_x0") + F.col("_x1")) / 2 - F.col("_wide") / 2))
+    top = F.greatest(F.lit(0.0), F.least(F.lit(highest), F.col("_y0") - above))
+    fits = ok.withColumn("_wide", wide).withColumn("start", start).withColumn("end", end).where((F.col("_wide") <= widest) & (F.col("start") < F.col("end")))
+    return fits.select(*key, "start", "end", left.alias("x0"), top.alias("y0"), (left + F.col("_wide")).alias("x1"))
+
+
 def trusted_gaps(df: DataFrame, key: list[str], t: str, x: str, seen: Column, speed: float, longest: float, supports: int = 2) -> DataFrame:
     """Unseen rows whose value fits between the seen rows around them.
 

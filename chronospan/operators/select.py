@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,10 +48,34 @@ def greedy_non_overlapping(df: DataFrame, key: list[str], start: str, end: str,
     return top_k_each(fold_sorted(cut, [*key, "island"], order, choose).drop("island"), key, order, k, "pick")
 
 
-#: Best rows of a key from which diverse picks are first tried, and how many times more each further try takes.
+#: Best rows of a key from which a choice is first tried, and how many times more each further try takes.
 SHORTLIST, MORE = 256, 16
 
 
+def shortlisted(df: DataFrame, key: list[str], order: list, choose: Callable[[list[tuple], int], list[tuple] | None], limit: int) -> DataFrame:
+    """Chosen rows of each key with ``pick``, their place from 1, where a key's best rows mostly settle the choice.
+
+    ``choose`` gets up to ``limit`` rows of a key by ``order``, and one more if there are more, and returns the chosen ones, or None
+    if rows beyond the limit could be among them; such keys are tried again with more. A task holds no more of a key than the limit.
+    """
+
+    def tried(rows: list[tuple], limit: int) -> list[tuple]:
+        chosen = choose(rows, limit)
+        return [(*rows[0], 0)] if chosen is None else [(*row, n) for n, row in enumerate(chosen, 1)]
+
+    by = Window.partitionBy(*key).orderBy(*order)
+    done, rows = [], df
+    while True:
+        best = rows.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= limit + 1).drop("_r")
+        found = stored(fold_sorted(best, key, order, lambda held, n=limit: tried(held, n), add={"pick": "long"}), "picks")
+        done.append(found.where("pick > 0"))
+        open_ = found.where("pick = 0").select(*[F.col(c).alias(f"_on_{c}") for c in key])
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, done).withColumn("pick", F.col("pick").cast("int"))
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in key])
+        rows, limit = df.join(open_, same, "left_semi"), limit * MORE
+
+
 def diverse_top_k(df: DataFrame, key: list[str], source: str, kind: str, start: str, end: str, score: str, tie: str, k: int, near: float, near_cost: float = 3.0, same_cost: float = 1.0, strict: bool = False, shortlist: int = SHORTLIST) -> DataFrame:
     """Repeatedly the best of score less ``near_cost`` a chosen row of the source less than ``near`` away and ``same_cost`` a chosen row of the kind.
 
@@ -64,22 +88,16 @@ def diverse_top_k(df: DataFrame, key: list[str], source: str, kind: str, start:
     beat. A task holds ``shortlist`` rows of a key; keys whose picks these don't settle, which are few, are tried with more.
     """
     at = {c: df.columns.index(c) for c in (source, kind, start, end, score)}
-    order = [F.desc(score), source, start, tie]
 
-    def choose(rows: list[tuple], limit: int) -> list[tuple]:
+    def choose(rows: list[tuple], limit: int) -> list[tuple] | None:
         bound = rows[limit][at[score]] if len(rows) > limit else None
         left = [[row[at[score]], row] for row in rows[:limit]]
         chosen: list[tuple] = []
-        settled = True
-        while len(chosen) < k and settled:
-            if not left:
-                settled = bound is None
-                break
+        while left and len(chosen) < k:
             i = max(range(len(left)), key=lambda n: left[n][0])  # the first of equal ones
             adjusted, best = left.pop(i)
             if bound is not None and adjusted < bound:
-                settled = False
-                break
+                return None
             of_source = [c for c in chosen if c[at[source]] == best[at[source]]]
             if any(max(c[at[start]], best[at[start]]) < min(c[at[end]], best[at[end]]) for c in of_source):
                 continue
@@ -87,23 +105,13 @@ def diverse_top_k(df: DataFrame, key: list[str], source: str, kind: str, start:
             for x in left:
                 close = x[1][at[source]] == best[at[source]] and abs(x[1][at[start]] - best[at[start]]) < near
                 x[0] -= near_cost * close + same_cost * (x[1][at[kind]] == best[at[kind]])
-        if not settled:
-            return [(*rows[0], 0)]  # a mark: this key takes another try
+        if len(chosen) < k and bound is not None:
+            return None
         if strict and len(chosen) < k:
             raise ValueError(f"{len(chosen)} of {k} picks")
-        return [(*row, n) for n, row in enumerate(chosen, 1)]
+        return chosen
 
-    by = Window.partitionBy(*key).orderBy(*order)
-    done, rows, limit = [], df, shortlist
-    while True:
-        best = rows.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= limit + 1).drop("_r")
-        tried = stored(fold_sorted(best, key, order, lambda held, n=limit: choose(held, n), add={"pick": "long"}), "picks")
-        done.append(tried.where("pick > 0"))
-        open_ = tried.where("pick = 0").select(*[F.col(c).alias(f"_on_{c}") for c in key])
-        if open_.isEmpty():
-            return reduce(DataFrame.unionByName, done).withColumn("pick", F.col("pick").cast("int")).select(*df.columns, "pick")
-        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in key])
-        rows, limit = df.join(open_, same, "left_semi"), limit * MORE
+    return shortlisted(df, key, [F.desc(score), source, start, tie], choose, shortlist)
 
 
 def merge_duplicates(df: DataFrame, key: list[str], start: str, end: str, peak: str, better: list[str], id_: str, peak_gap: float, share: float, bucket: float | None = None) -> DataFrame:
@@ -147,9 +155,9 @@ def evenly_spaced(df: DataFrame, key: list[str], order: list, k: int, part: Colu
 
 
 def cohorts(df: DataFrame, key: list[str], positive: Column, order: str, n_pos: int, n_neg: int) -> DataFrame:
-    """The first positives and negatives of each key by ``order``."""
+    """The first positives and negatives of each key by ``order``. Tasks hand on no more than the larger number of each."""
     r = F.row_number().over(Window.partitionBy(*key, "positive").orderBy(order))
-    rows = df.withColumn("positive", positive).withColumn("_r", r)
+    rows = df.withColumn("positive", positive).withColumn("_r", r).where(F.col("_r") <= max(n_pos, n_neg))
     return rows.where(F.col("_r") <= F.when(F.col("positive"), n_pos).otherwise(n_neg)).drop("_r")
 
 
@@ -173,18 +181,24 @@ def namespaced_union(parts: dict[str, DataFrame], id_: str, same: list[str]) ->
     return out
 
 
-def spaced_choice(df: DataFrame, key: list[str], t: str, score: str, label: str, group: str, most: int, per_group: int, gap: float) -> DataFrame:
-    """By falling score (earlier first): at most ``most`` a key and ``per_group`` a group, no label twice, all at least ``gap`` apart."""
+def spaced_choice(df: DataFrame, key: list[str], t: str, score: str, label: str, group: str, most: int, per_group: int, gap: float, shortlist: int = SHORTLIST) -> DataFrame:
+    """By falling score (earlier first): at most ``most`` a key and ``per_group`` a group, no label twice, all at least ``gap`` apart.
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for i, r in pdf.sort_values([score, t], ascending=[False, True]).iterrows():
-            full = len(kept) >= most or sum(r[group] == o[group] for _, o in kept) >= per_group
-            if not full and all(abs(r[t] - o[t]) >= gap and r[label] != o[label] for _, o in kept):
-                kept.append((i, r))
-        return pdf.loc[[i for i, _ in kept]]
-
-    return df.groupBy(*key).applyInPandas(choose, df.schema)
+    A key's choice is made among its best rows; where they don't fill its places and more are left, among more of them.
+    """
+    at = {c: df.columns.index(c) for c in (t, label, group)}
+
+    def choose(rows: list[tuple], limit: int) -> list[tuple] | None:
+        kept: list[tuple] = []
+        for row in rows[:limit]:
+            crowded = sum(row[at[group]] == x[at[group]] for x in kept) >= per_group
+            if not crowded and all(abs(row[at[t]] - x[at[t]]) >= gap and row[at[label]] != x[at[label]] for x in kept):
+                kept.append(row)
+                if len(kept) == most:
+                    return kept
+        return kept if len(rows) <= limit else None
+
+    return shortlisted(df, key, [F.desc(score), t, label, group], choose, shortlist).drop("pick")
 
 
 def expand_over(spans: DataFrame, parts: DataFrame, key: list[str], span_id: str, start: str = "start", end: str = "end", bucket: float | None = None) -> DataFrame:

@@ -60,12 +60,18 @@ def missing_runs(df: DataFrame, key: list[str], pos: str, present: Column, longe
     return gaps.where((F.col("start") > F.col("_lo")) & (F.col("end") < F.col("_hi")) & (F.col("n") <= longest)).drop("_lo", "_hi", "peak")
 
 
-def split_at(intervals: DataFrame, cores: DataFrame, key: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Cut intervals midway between successive cores that both lie within them."""
+def split_at(intervals: DataFrame, cores: DataFrame, key: list[str], start: str = "start", end: str = "end", width: float | None = None) -> DataFrame:
+    """Cut intervals midway between successive cores that both lie within them. With ``width``, a typical length, intervals meet only the cores of the buckets that they touch."""
     w = _by(key, "core_start")
     cuts = cores.select(*key, F.col(start).alias("core_start"), F.col(end).alias("core_end")).withColumn("next", F.lead("core_start").over(w))
     cuts = cuts.where("next is not null").select(*key, ((F.col("core_end") + F.col("next")) / 2).alias("cut"), "core_start", "next")
-    met = intervals.join(cuts, key, "left")
+    if width:
+        bucket = lambda c: F.floor(F.col(c) / F.lit(width))
+        dealt = intervals.withColumn("_b", F.explode(F.sequence(bucket(start), bucket(end))))
+        near = cuts.withColumn("_b", bucket("core_start"))
+        met = same_key_join(dealt, near, [*key, "_b"])
+    else:
+        met = intervals.join(cuts, key, "left")
     inside = met.withColumn("cut", F.when((F.col("core_start") >= F.col(start)) & (F.col("next") < F.col(end)), F.col("cut")))
     points = inside.groupBy(*key, start, end).agg(F.array_sort(F.collect_set("cut")).alias("cuts"))
     edges = F.concat(F.array(F.col(start).cast("double")), F.col("cuts"), F.array(F.col(end).cast("double")))

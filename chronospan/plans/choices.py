@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chronospan.functions import scalars as C
 from chronospan.operators import choices as H
+from chronospan.operators import joins as J
 from chronospan.operators import motion as V
 from chronospan.operators import select as S
 from chronospan.operators import signals as G
@@ -107,5 +109,57 @@ def g13_impulses(spark, sf_dir):
     return found.select("user_id", F.round("t", 6).alias("t"), F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), F.round("jump", 6).alias("jump"), F.round("error", 6).alias("error"), "left_out")
 
 
-QUERIES = {"g13_impulses": g13_impulses, "h4_distinct": h4_distinct, "e21_pairs": e21_pairs, "e7_expand": e7_expand, "g16_detail": g16_detail, "l19_alignment": l19_alignment}
-ORACLE_SQL = {"h4_distinct": H4, "e21_pairs": E21, "e7_expand": E7, "g16_detail": G16, "l19_alignment": L19}
+def h5_cues(spark, sf_dir):
+    e = events(spark, sf_dir).select("user_id", "event_id", "us", "k", (F.col("event_id") % 7).alias("label"), F.floor(F.col("us") / DAY).alias("day"))
+    return S.spaced_choice(e, ["user_id"], "us", "k", "label", "day", 4, 1, 36 * HOUR).select("user_id", "event_id")
+
+
+H5 = f"""WITH RECURSIVE {EV}, c AS (SELECT user_id, list(struct_pack(t := us, label := event_id % 7, day := us // 86400000000, id := event_id) ORDER BY k DESC, us, event_id % 7) AS l FROM e GROUP BY 1),
+r AS (SELECT user_id, l, 0 AS i, l[1:0] AS kept FROM c
+ UNION ALL SELECT user_id, l, i + 1, CASE WHEN len(list_filter(kept, lambda x: x.day = l[i + 1].day)) < 1 AND len(list_filter(kept, lambda x: abs(x.t - l[i + 1].t) < 129600000000 OR x.label = l[i + 1].label)) = 0 THEN list_append(kept, l[i + 1]) ELSE kept END
+ FROM r WHERE i < len(l) AND len(kept) < 4)
+SELECT user_id, unnest(list_transform(kept, lambda x: x.id)) AS event_id FROM (SELECT user_id, arg_max(kept, i) AS kept FROM r GROUP BY 1)"""
+
+
+def g23_snap(spark, sf_dir):
+    e = events(spark, sf_dir)
+    cuts = e.where("event_type = 'error'").select(
+        "user_id", "event_id", (F.col("us") - HOUR).alias("lead"), (F.col("us") + HOUR).alias("tail"),
+        F.least(F.col("us") - HOUR, F.col("us") - (F.col("k") % 3 + 1) * HOUR).alias("left"), F.greatest(F.col("us") + HOUR, F.col("us") + F.col("k") * 60_000_000).alias("right"),
+    )
+    return J.snapped_outwards(cuts, e, ["user_id"], "lead", "tail", "us", ("left", "right"), WEEK, 0).select("event_id", "lead", "tail")
+
+
+G23 = f"""WITH {EV}, c AS (SELECT user_id, event_id, us - 3600000000 AS lead, us + 3600000000 AS tail, least(us - 3600000000, us - (k % 3 + 1) * 3600000000) AS l, greatest(us + 3600000000, us + k * 60000000) AS r FROM e WHERE event_type = 'error')
+SELECT event_id, coalesce((SELECT max(us) FROM e WHERE e.user_id = c.user_id AND us <= l), lead) AS lead, coalesce((SELECT min(us) FROM e WHERE e.user_id = c.user_id AND us >= r), tail) AS tail FROM c"""
+
+
+def g15_hints(spark, sf_dir):
+    p = placed(events(spark, sf_dir)).select("user_id", (F.col("pos") / 16.0).alias("t"), (F.col("value") / 250).alias("x"), (F.col("k") / 100.0).alias("y"))
+    spans = p.groupBy("user_id").agg(F.lit(0.0).alias("start"), F.max("t").alias("end"))
+    h = V.hint_windows(p, spans, ["user_id"], "t", "x", "y")
+    return h.select("user_id", *[F.round(c, 6).alias(c) for c in ("start", "end", "x0", "y0", "x1")])
+
+
+G15 = f"""WITH {EV}, p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) / 16.0::DOUBLE AS t, value / 250 AS x, k / 100.0::DOUBLE AS y FROM e),
+s AS (SELECT user_id, max(t) AS b, greatest(1, ceil(max(t) / 1.2::DOUBLE)) AS n FROM p GROUP BY 1), w AS (SELECT user_id, b / n AS w, unnest(range(n::INT)) AS win FROM s),
+m AS (SELECT w.user_id, win, win * w AS lo, (win + 1) * w AS hi, t, x, y, t - lag(t) OVER (PARTITION BY w.user_id, win ORDER BY t) AS hole FROM w JOIN p ON p.user_id = w.user_id AND t >= win * w - 0.25 AND t <= (win + 1) * w + 0.25),
+b AS (SELECT user_id, lo, hi, count(*) AS n, min(t) AS t0, max(t) AS t1, max(hole) AS hole, min(x) AS x0, max(x) AS x1, min(y) AS y0 FROM m GROUP BY user_id, win, lo, hi),
+z AS (SELECT *, least(1.0, greatest(0.42::DOUBLE, x1 - x0 + 0.28::DOUBLE)) AS wide, greatest(lo, t0) AS a, least(hi, t1) AS e FROM b WHERE n >= 3 AND t0 <= lo + 0.2 AND t1 >= hi - 0.2 AND hole <= 0.35),
+f AS (SELECT *, greatest(0.0, least(1 - wide, (x0 + x1) / 2 - wide / 2)) AS l FROM z WHERE wide <= 0.82 AND a < e)
+SELECT user_id, round(a, 6) AS "start", round(e, 6) AS "end", round(l, 6) AS x0, round(greatest(0.0, least(0.35::DOUBLE, y0 - 0.12::DOUBLE)), 6) AS y0, round(l + wide, 6) AS x1 FROM f"""
+
+
+def l29_pool(spark, sf_dir):
+    """Clips of a timeline as a pool to judge: padded, within the recording, with an id of their own."""
+    e = events(spark, sf_dir)
+    whole = e.groupBy("user_id").agg(F.min("us").alias("low"), F.max("us").alias("high"))
+    clip = C.padded_span(F.col("us"), F.col("us") + F.col("k") * 60_000_000, 2 * HOUR, 3 * HOUR, F.col("low"), F.col("high"))
+    return e.join(whole, "user_id").select(C.item_digest(F.lit("pool"), "user_id", "event_id").alias("item"), "event_type", clip["start"].alias("clip_start"), clip["end"].alias("clip_end"))
+
+
+L29 = f"""WITH {EV}, w AS (SELECT *, min(us) OVER (PARTITION BY user_id) AS low, max(us) OVER (PARTITION BY user_id) AS high FROM e)
+SELECT left(sha256(concat_ws('|', 'pool', user_id::VARCHAR, event_id::VARCHAR)), 20) AS item, event_type, greatest(low, us - 7200000000) AS clip_start, least(high, us + k * 60000000 + 10800000000) AS clip_end FROM w"""
+
+QUERIES = {"h5_cues": h5_cues, "g23_snap": g23_snap, "g15_hints": g15_hints, "l29_pool": l29_pool, "g13_impulses": g13_impulses, "h4_distinct": h4_distinct, "e21_pairs": e21_pairs, "e7_expand": e7_expand, "g16_detail": g16_detail, "l19_alignment": l19_alignment}
+ORACLE_SQL = {"h5_cues": H5, "g23_snap": G23, "g15_hints": G15, "l29_pool": L29, "h4_distinct": H4, "e21_pairs": E21, "e7_expand": E7, "g16_detail": G16, "l19_alignment": L19}

@@ -39,6 +39,16 @@ v AS (SELECT c_custkey, unnest([CASE WHEN n = 0 THEN 'missing' END, CASE WHEN c_
 SELECT * FROM v WHERE rule IS NOT NULL"""
 
 
+def d13_review_rules(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
+    rules = K.review_rules((F.col("n_chars") % 130).cast("double"), (F.col("doc_id") % 13) / 12.5, F.col("text"), F.when(F.col("doc_id") % 11 > 0, F.col("source")))
+    return R.violations(d, ["doc_id"], rules)
+
+
+D13R = f"""WITH v AS (SELECT doc_id, {_listed({"score": "n_chars % 130 > 100", "confidence": "doc_id % 13 / 12.5 > 1", "observation": "text IS NULL OR NOT length(trim(text)) BETWEEN 1 AND 800", "uncertainty": "doc_id % 11 = 0 OR source IS NULL OR NOT length(trim(source)) BETWEEN 1 AND 800"})} FROM documents)
+SELECT * FROM v WHERE rule IS NOT NULL"""
+
+
 def d15_cues(spark, sf_dir):
     e = events(spark, sf_dir).where("event_type = 'error'")
     cues = e.select("user_id", (F.col("event_id") % 50).alias("cue"), (F.floor(F.col("us") / HOUR) % 100).cast("double").alias("at"), F.lit(0.0).alias("a"), (F.col("k") / 18).alias("b"), F.lit(99.0).alias("whole"), "event_id")
@@ -130,9 +140,9 @@ def d40_fallback(spark, sf_dir):
 D40 = f"""WITH {EV} SELECT user_id, us // 3600000000 AS hour FROM e GROUP BY ALL HAVING NOT bool_or(event_type = 'view') AND NOT bool_or(event_type = 'click' AND k / 100 >= 0.25)"""
 
 QUERIES = {
-    "d12_proposals": d12_proposals, "d13_reviews": d13_reviews, "d15_cues": d15_cues, "d16_thresholds": d16_thresholds, "d25_windows": d25_windows, "d27_predictions": d27_predictions,
+    "d12_proposals": d12_proposals, "d13_reviews": d13_reviews, "d13_review_rules": d13_review_rules, "d15_cues": d15_cues, "d16_thresholds": d16_thresholds, "d25_windows": d25_windows, "d27_predictions": d27_predictions,
     "d28_timing": d28_timing, "d29_ratings": d29_ratings, "d33_decisions": d33_decisions, "d40_fallback": d40_fallback,
 }
 ORACLE_SQL = {
-    "d12_proposals": D12, "d13_reviews": D13, "d15_cues": D15, "d16_thresholds": D16, "d25_windows": D25, "d27_predictions": D27, "d28_timing": D28, "d29_ratings": D29, "d33_decisions": D33, "d40_fallback": D40,
+    "d12_proposals": D12, "d13_reviews": D13, "d13_review_rules": D13R, "d15_cues": D15, "d16_thresholds": D16, "d25_windows": D25, "d27_predictions": D27, "d28_timing": D28, "d29_ratings": D29, "d33_decisions": D33, "d40_fallback": D40,
 }

@@ -139,9 +139,8 @@ C3 = f"""WITH {EV} SELECT user_id, us // 86400000000 AS day, (count(*) FILTER (k
 
 
 def c5_summary(spark, sf_dir):
-    s = spans(spark, sf_dir).groupBy("user_id").agg(F.collect_list(F.struct("start", "end")).alias("gaps"), F.array_sort(F.collect_list("event_id")).alias("ids"))
-    x = V.bounded_summary(F.col("gaps"), F.col("ids"))
-    return s.select("user_id", x["n_gaps"].alias("n_gaps"), F.array_join(F.transform(x["longest"], lambda g: g["start"].cast("string")), ",").alias("longest"), F.array_join(F.transform(x["examples"], lambda i: i.cast("string")), ",").alias("examples"))
+    s = V.summary_of(spans(spark, sf_dir), ["user_id"], "start", "end", "event_id")
+    return s.select("user_id", F.col("n").cast("int").alias("n_gaps"), F.array_join(F.transform("longest", lambda g: g["start"].cast("string")), ",").alias("longest"), F.array_join(F.transform("examples", lambda i: i.cast("string")), ",").alias("examples"))
 
 
 C5 = f"""WITH {EV}, {SP}, l AS (SELECT user_id, list(a ORDER BY b - a DESC, a) AS g, list(event_id ORDER BY event_id) AS i FROM s GROUP BY 1)

@@ -47,7 +47,7 @@ SELECT reason, count(*) AS n, min(event_id) AS first_id FROM r WHERE reason IS N
 
 def d21_coverage(spark, sf_dir):
     e = events(spark, sf_dir)
-    return R.coverage(e, ["user_id"], "us", F.lit(1704067200000000), F.lit(1704067200000000 + 30 * 24 * HOUR), 36 * HOUR, 3)
+    return R.coverage(e, ["user_id"], "us", F.lit(1704067200000000), F.lit(1704067200000000 + 30 * 24 * HOUR), 36 * HOUR, 3, 7 * 24 * HOUR)
 
 
 D21 = f"""WITH {EV}, g AS (SELECT *, us - lag(us) OVER (PARTITION BY user_id ORDER BY us) AS gap FROM e),

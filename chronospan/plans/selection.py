@@ -62,6 +62,19 @@ def i3_merge(spark, sf_dir):
     return S.merge_duplicates(s, ["user_id", "event_type"], "start", "end", "peak", ["value"], "event_id", 2.0 * HOUR, 0.6, 96.0 * HOUR).select("user_id", "event_type", "event_id", F.array_join("ids", ",").alias("ids"))
 
 
+#: Rows in order, each against those kept: the newest it duplicates takes its id, and its place if it is worth less.
+I3 = f"""WITH RECURSIVE {EV}, s AS (SELECT event_id, user_id, event_type, value, us AS a, us + 3600000000 + k * 60000000 AS b FROM e WHERE event_type IN ('purchase', 'error')),
+o AS (SELECT user_id, event_type, struct_pack(a := a, b := b, p := (a + b) / 2, v := value, id := event_id, ids := [event_id]) AS x, row_number() OVER (PARTITION BY user_id, event_type ORDER BY a, b, event_id) AS i FROM s),
+r AS (SELECT user_id, event_type, i, [x] AS kept FROM o WHERE i = 1
+ UNION ALL SELECT o.user_id, o.event_type, o.i, CASE WHEN spot IS NULL THEN list_append(kept, x) ELSE list_transform(range(1, len(kept) + 1), lambda j: CASE WHEN j <> spot THEN kept[j] ELSE struct_pack(
+   a := CASE WHEN x.v > kept[j].v THEN x.a ELSE kept[j].a END, b := CASE WHEN x.v > kept[j].v THEN x.b ELSE kept[j].b END, p := CASE WHEN x.v > kept[j].v THEN x.p ELSE kept[j].p END,
+   v := CASE WHEN x.v > kept[j].v THEN x.v ELSE kept[j].v END, id := CASE WHEN x.v > kept[j].v THEN x.id ELSE kept[j].id END, ids := list_sort(list_append(kept[j].ids, x.id))) END) END
+ FROM r JOIN o ON o.user_id = r.user_id AND o.event_type = r.event_type AND o.i = r.i + 1,
+  LATERAL (SELECT list_max(list_filter(range(1, len(kept) + 1), lambda j: abs(x.p - kept[j].p) <= 7200000000 AND (least(x.b, kept[j].b) - greatest(x.a, kept[j].a)) / least(x.b - x.a, kept[j].b - kept[j].a) >= 0.6)) AS spot) z),
+g AS (SELECT user_id, event_type, arg_max(kept, i) AS kept FROM r GROUP BY user_id, event_type), l AS (SELECT user_id, event_type, unnest(kept) AS x FROM g)
+SELECT user_id, event_type, x.id AS event_id, array_to_string(x.ids, ',') AS ids FROM l"""
+
+
 def h9_cohorts(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "lang", "quality")
     return S.cohorts(d, ["lang"], F.col("quality") == 1, "doc_id", 10, 30)
@@ -139,4 +152,4 @@ QUERIES = {
     "h14_shuffled": h14_shuffled, "h15_blind_pool": h15_blind_pool, "i1_union": i1_union, "i3_merge": i3_merge, "i4_best_per_key": i4_best_per_key,
     "i6_set_difference": i6_set_difference, "i7_split_guard": i7_split_guard,
 }
-ORACLE_SQL = {"h1_shortlist": H1, "h2_diverse": H2, "h3_greedy": H3, "h6_best_each": H6, "h9_cohorts": H9, "h10_even": H10, "h14_shuffled": H14, "h15_blind_pool": H15, "i1_union": I1, "i4_best_per_key": I4, "i6_set_difference": I6, "i7_split_guard": I7}
+ORACLE_SQL = {"h1_shortlist": H1, "h2_diverse": H2, "h3_greedy": H3, "h6_best_each": H6, "h9_cohorts": H9, "h10_even": H10, "h14_shuffled": H14, "h15_blind_pool": H15, "i1_union": I1, "i3_merge": I3, "i4_best_per_key": I4, "i6_set_difference": I6, "i7_split_guard": I7}

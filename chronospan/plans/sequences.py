@@ -159,7 +159,7 @@ def g3_split(spark, sf_dir):
     e = events(spark, sf_dir)
     day = e.groupBy("user_id").agg(F.min("us").alias("start"), (F.max("us") + 1).alias("end"))
     cores = Q.bursts(e.where("value > 12"), ["user_id"], "us", 12 * HOUR, 2, "event_id", WEEK).select("user_id", "start", "end")
-    return Q.split_at(day, cores, ["user_id"]).select("user_id", F.col("start").cast("long"), F.col("end").cast("long"))
+    return Q.split_at(day, cores, ["user_id"], width=WEEK).select("user_id", F.col("start").cast("long"), F.col("end").cast("long"))
 
 
 G3 = f"""WITH {EV}, d AS (SELECT user_id, min(us) AS a, max(us) + 1 AS b FROM e GROUP BY 1),
