@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +85,20 @@ class Stored:
         fs.delete(p, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of fewer files than there are cores over as many tasks as cores: a small file is one task's, however long its texts take."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
+def null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join in which null keys are equal; the left side's keys stay."""
+    other = right.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in right.columns])
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+    met = left.join(other, same, how)
+    return met if how in ("left_semi", "left_anti") else met.drop(*[f"_on_{c}" for c in on])
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     return Stored(df, name).df
 

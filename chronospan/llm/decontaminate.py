@@ -5,7 +5,8 @@ left is lower-cased and freed of punctuation. A text has three forms with the
 same positions: ``FIRM`` takes capitalised words right after a lower-case one
 for names, ``LOOSE`` every capitalised word (names also start sentences and
 follow brackets, quotes and numbers), and the exact form has no placeholder.
-Windows of ``WINDOW`` tokens of each form of all documents are hash-joined with
+Tokens are parted by white space of any kind; in scripts without blanks each
+character is one. Windows of ``WINDOW`` tokens of each form of all documents are hash-joined with
 those of the benchmark items. Windows with more placeholders than
 ``MOST_SLOTS`` are hashed in the exact form alone, and an item of fewer than
 ``WINDOW`` tokens is one exact window of its own length.
@@ -20,7 +21,8 @@ make a ``verbatim`` copy, others a ``reparameterised`` one.
 The units are ``UNITS``. The benchmark's windows are sent to every executor
 while they are small, else joined by shuffle.
 
-Defined results: null text and items without a token match nothing; items of
+Defined results: documents of a null id are documents like others, and texts of one id are looked at each for itself: a
+finding is of the id, but only the texts that hold an item go. Null text and items without a token match nothing; items of
 fewer than ``WINDOW`` tokens match exactly only, however short; items whose
 windows all have more than ``MOST_SLOTS`` placeholders match exactly only;
 equal rows are one document or item; empty tables give no rows; other columns
@@ -33,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, maybe_broadcast, words
+from .common import Stored, maybe_broadcast, null_safe, spread, words
 
 WINDOW = 8
 MOST_SLOTS = 4
@@ -50,23 +52,36 @@ _UNIT = "\ue000"
 FIRM, LOOSE = "firm", "loose"
 _SLOT = {FIRM: f"^[{_NUMBER}-{_NAME}]", LOOSE: f"^[{_NUMBER}-{_CAPITAL}]"}
 _SIGNS = f"[{_NUMBER}-{_CAPITAL}]"
-_DIGITS = rf"(?<![\p{{L}}\p{{N}}{_NUMBER}{_QUANTITY}])[$€£]?(\d[\d.,:/]*)"
+#: A look ahead comes first, as it is what most places fail.
+_DIGITS = rf"(?=[$€£\d])(?<![\p{{L}}\p{{N}}{_NUMBER}{_QUANTITY}])[$€£]?(\d[\d.,:/]*)"
+#: White space beyond ASCII, and signs of no width.
+_BLANKS = "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_NO_WIDTH = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+#: Characters of scripts without blanks: Thai to Tibetan, Burmese, Khmer, and Han, Kana and their signs.
+_UNSPACED = "[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u30ff\u3400-\u9fff\uf900-\ufaff]"
 _PUNCTUATION = "!\"#&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’…¿¡" + _UNIT
 
 
+def parted(text: Column) -> Column:
+    """A text whose white space is blanks, with blanks round each character of a script without them."""
+    odd = text.rlike("[\u0085\u00a0\u00ad\u0e00-\uffff]")  # all that the next line could change, and a little more
+    plain = F.regexp_replace(F.translate(text, _BLANKS + _NO_WIDTH, " " * len(_BLANKS)), f"({_UNSPACED})", " $1 ")
+    return F.when(odd, plain).otherwise(text)
+
+
 def signed(text: Column) -> Column:
     """A text whose placeholders are their sign and what they stand for, lower-cased and freed of punctuation."""
-    found = F.regexp_replace(text, rf"{_DIGITS}(?:\s?({UNITS})(?![\p{{L}}\p{{N}}]))?", f" {_NUMBER}$1{_UNIT}$2 ")
+    found = F.regexp_replace(text, rf"{_DIGITS}(?:\s?((?i:{UNITS}))(?![\p{{L}}\p{{N}}]))?", f" {_NUMBER}$1{_UNIT}$2 ")
     numbers = F.regexp_replace(found, rf"{_NUMBER}(\d[\d.,:/]*){_UNIT}(?! )", f"{_QUANTITY}$1_")
     digits = F.when(text.rlike(r"\d"), numbers).otherwise(text)
-    names = F.regexp_replace(digits, r"(?<=\p{Ll} |\p{Ll}, )(\p{Lu}[\p{L}\p{M}]*)", f"{_NAME}$1")
+    names = F.regexp_replace(digits, r"(?=\p{Lu})(?<=\p{Ll} |\p{Ll}, )(\p{Lu}[\p{L}\p{M}]*)", f"{_NAME}$1")
     capitals = F.regexp_replace(names, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}\p{{N}}{_NAME}])(\p{{Lu}}[\p{{L}}\p{{M}}]*)", f"{_CAPITAL}$1")
     return F.lower(F.translate(capitals, _PUNCTUATION, ""))
 
 
 def canonical(text: Column) -> Column:
     """Tokens of a text; a placeholder's token is its sign and what it stands for."""
-    return words(signed(text))
+    return words(signed(parted(text)))
 
 
 def bare(token: Column) -> Column:
@@ -90,7 +105,8 @@ def hashed(rows: DataFrame, keys: list[str]) -> DataFrame:
     Tokens without signs are split from the text once more, as many and in the
     same places; so only plain hashes and numbers are handled token by token.
     """
-    texts = rows.where("text is not null").select(*keys, signed(F.col("text")).alias("signed"))
+    whole = rows.where("text is not null").select(*keys, parted(F.col("text")).alias("text"))
+    texts = whole.select(*keys, signed(F.col("text")).alias("signed"))
     tokens = texts.select(
         *keys, F.transform(words(F.col("signed")), lambda t: F.ascii(t)).alias("sign"), F.transform(words(bare(F.col("signed"))), lambda t: F.xxhash64(t)).alias("x")
     )
@@ -126,44 +142,59 @@ def item_windows(items: DataFrame) -> DataFrame:
 
 
 def doc_windows(docs: DataFrame, short: list[int]) -> DataFrame:
-    """Rows (doc_id, pos, h) of the windows of all forms, and of exact windows of the lengths ``short``."""
-    texts = hashed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
+    """Rows (doc_id, copy, pos, h) of the windows of all forms, and of exact windows of the lengths ``short``."""
+    texts = hashed(docs.select("doc_id", "copy", "text"), ["doc_id", "copy"])
     least = min([WINDOW, *short])
-    placed = texts.where(F.size("x") >= least).select("doc_id", "x", "f", "l", F.explode(F.sequence(F.lit(0), F.size("x") - least)).alias("pos"))
-    w = placed.select("doc_id", "pos", *[window(form).alias(form) for form in "xfl"], *[window("x", k).alias(f"x{k}") for k in short])
+    placed = texts.where(F.size("x") >= least).select("doc_id", "copy", "x", "f", "l", F.explode(F.sequence(F.lit(0), F.size("x") - least)).alias("pos"))
+    w = placed.select("doc_id", "copy", "pos", *[window(form).alias(form) for form in "xfl"], *[window("x", k).alias(f"x{k}") for k in short])
     firm, loose = F.when(F.col("f") != F.col("x"), F.col("f")), F.when((F.col("l") != F.col("f")) & (F.col("l") != F.col("x")), F.col("l"))
-    return w.select("doc_id", "pos", F.explode(F.array("x", firm, loose, *[f"x{k}" for k in short])).alias("h")).where("h is not null")
+    return w.select("doc_id", "copy", "pos", F.explode(F.array("x", firm, loose, *[f"x{k}" for k in short])).alias("h")).where("h is not null")
+
+
+#: What tells a document's text: its id and the hash of its text, as an id may be null or stand for several texts.
+COPY = ["doc_id", "copy"]
+
 
+def copies(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, copy, text) of the documents with a text."""
+    return docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text")
 
-def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Rows (doc_id, item_id, shift, item_windows): diagonals that may cover enough of an item."""
+
+def matches(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows (doc_id, copy, item_id, shift, item_windows): diagonals of ``copies`` that may cover enough of an item."""
     known = Stored(item_windows(items), "item_windows")
     short = sorted(r.k for r in known.df.where(F.col("k") < WINDOW).select("k").distinct().collect())
-    met = doc_windows(docs, short).join(maybe_broadcast(known), "h")
-    diagonal = met.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
+    met = doc_windows(texts, short).join(maybe_broadcast(known), "h")
+    diagonal = met.groupBy(*COPY, "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.max("item_windows").alias("item_windows"), F.max("coded").alias("coded"), F.countDistinct("item_pos").alias("n")
     )
     return diagonal.where((F.col("n") >= ENOUGH) | (F.col("n") >= SHARE * F.col("coded"))).drop("coded", "n")
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Rows (doc_id, item_id, n_windows, item_windows, n_slots, kind), one a document and item found in it."""
-    found = Stored(matches(docs, items), "leak_matches")
-    hit = docs.join(maybe_broadcast(Stored(found.df.select("doc_id").distinct(), "leak_docs")), "doc_id", "left_semi")
-    doc_tokens = hit.where("text is not null").select(F.col("doc_id").cast("long"), canonical(F.col("text")).alias("dt"))
+def leaky(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows (doc_id, copy, item_id, best) of the texts in which an item is found."""
+    texts = copies(spread(docs))
+    found = Stored(matches(texts, items), "leak_matches")
+    hit = null_safe(texts, maybe_broadcast(Stored(found.df.select(*COPY).distinct(), "leak_docs")), COPY, "left_semi")
+    doc_tokens = hit.dropDuplicates(COPY).select(*COPY, canonical(F.col("text")).alias("dt"))
     item_tokens = items.where("text is not null").select("item_id", canonical(F.col("text")).alias("it")).distinct()
-    both = found.df.join(doc_tokens, "doc_id").join(maybe_broadcast(Stored(item_tokens, "item_tokens")), "item_id")
+    both = null_safe(found.df, doc_tokens, COPY).join(maybe_broadcast(Stored(item_tokens, "item_tokens")), "item_id")
     spot = F.transform("it", lambda t, i: F.struct(t.alias("i"), F.when(i + F.col("shift") >= 0, F.get("dt", i + F.col("shift"))).alias("d")))
     # An item of fewer tokens than a window identifies itself by all its values alone.
     short = F.size("it") < WINDOW
-    pieces = both.select("doc_id", "item_id", "item_windows", F.least(F.size("it"), F.lit(WINDOW)).alias("k"), short.alias("short"), spot.alias("spot"))
+    pieces = both.select(*COPY, "item_id", "item_windows", F.least(F.size("it"), F.lit(WINDOW)).alias("k"), short.alias("short"), spot.alias("spot"))
     aligned = Stored(pieces, "leak_pieces").df  # read for either form; texts are canonicalised once
     forms = [_judged(aligned, form, rank) for rank, form in ((1, FIRM), (0, LOOSE))]
     checked = forms[0].unionByName(forms[1])
     enough = checked.where((F.col("n_windows") >= ENOUGH) | (F.col("n_windows") >= SHARE * F.col("item_windows")))
     ways = F.size(F.array_distinct(F.transform("pairs", lambda s: s["i"])))
     best = F.max(F.struct("n_windows", "same", "rank", "n_slots", "item_windows")).alias("best")
-    return enough.where(ways == F.size("pairs")).groupBy("doc_id", "item_id").agg(best).select(
+    return enough.where(ways == F.size("pairs")).groupBy(*COPY, "item_id").agg(best)
+
+
+def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows (doc_id, item_id, n_windows, item_windows, n_slots, kind), one a document id and item found in it."""
+    return leaky(docs, items).groupBy("doc_id", "item_id").agg(F.max("best").alias("best")).select(
         "doc_id", "item_id", "best.n_windows", "best.item_windows", "best.n_slots", F.when(F.col("best.same"), "verbatim").otherwise("reparameterised").alias("kind")
     )
 
@@ -179,11 +210,12 @@ def _judged(aligned: DataFrame, form: str, rank: int) -> DataFrame:
     spots = F.slice("spot", first + 1, last - first)
     slots = F.filter(spots, lambda s: s["i"].rlike(_SLOT[form]) & F.coalesce(templated(s["i"], form) == templated(s["d"], form), F.lit(False)))
     values = F.transform(slots, lambda s: F.struct(bare(s["i"]).alias("i"), bare(s["d"]).alias("d")))
-    held = ranged.select("doc_id", "item_id", "item_windows", F.size("starts").alias("n_windows"), F.size(slots).alias("n_slots"), F.array_distinct(values).alias("pairs"))
+    held = ranged.select(*COPY, "item_id", "item_windows", F.size("starts").alias("n_windows"), F.size(slots).alias("n_slots"), F.array_distinct(values).alias("pairs"))
     return held.withColumn("same", F.forall("pairs", lambda s: s["i"] == s["d"])).withColumn("rank", F.lit(rank))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no item is found."""
-    lost = Stored(leaks(docs, items).select("doc_id").distinct(), "leaky_docs")
-    return docs.join(maybe_broadcast(lost), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose text holds no item."""
+    lost = maybe_broadcast(Stored(leaky(docs, items).select(*COPY).distinct(), "leaky_docs"))
+    other = lost.select(F.col("doc_id").alias("_lost"), F.col("copy").alias("_copy"))
+    return docs.join(other, F.col("doc_id").cast("long").eqNullSafe(F.col("_lost")) & F.xxhash64("text").eqNullSafe(F.col("_copy")), "left_anti")
