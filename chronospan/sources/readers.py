@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import json
+import re
+import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from chronospan.functions.rules import duplicates, require_empty
 from chronospan.functions.scalars import redacted, source_name
@@ -58,6 +64,35 @@ def digests(spark: SparkSession, directory: str) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+#: What an entry of an archive's directory says; ``problem`` is set for an archive that can't be read, which has no other values.
+ENTRIES = "path string, name string, is_dir boolean, bytes long, packed_bytes long, crc32 long, method int, offset long, encrypted boolean, problem string"
+
+
+def archive_entries(spark: SparkSession, directory: str) -> DataFrame:
+    """The central directories of the ZIP archives of a folder, a row an entry; nothing is unpacked.
+
+    An archive is one row of one task. One without a directory, or with names that lead out of its folder, is told by ``problem``.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[zZ][iI][pP]").load(directory).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = []
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as z:
+                        for e in z.infolist():
+                            out = e.filename.startswith(("/", "\\")) or ".." in e.filename.replace("\\", "/").split("/")
+                            rows.append((path, e.filename, e.is_dir(), e.file_size, e.compress_size, e.CRC, e.compress_type, e.header_offset, bool(e.flag_bits & 1), "name leads out" if out else None))
+                except (zipfile.BadZipFile, NotImplementedError, ValueError) as wrong:
+                    rows = [(path, *[None] * 8, str(wrong))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    schema = to_arrow_schema(spark.createDataFrame([], ENTRIES).schema)
+    return files.mapInArrow(run, ENTRIES)
+
+
 def verified_cache(manifest: DataFrame, actual: DataFrame) -> DataFrame:
     """Manifest rows (sha256, bytes, ...) whose file is there unchanged; the rest is to be computed anew."""
     return manifest.join(actual.select("sha256", "bytes"), ["sha256", "bytes"], "left_semi")
@@ -124,6 +159,26 @@ def write_json(df: DataFrame, path: str) -> None:
     checked.write.mode("overwrite").json(path)
 
 
+def write_frames(df: DataFrame, path: str) -> None:
+    """Frames as the three tables that :func:`frames`, :func:`ball` and :func:`aligned` read: ``detections`` (JSON lines), ``ball`` (CSV) and ``pts`` (text).
+
+    ``df`` has the columns of ``FRAMES`` and ``BALL`` and a clock ``pts``. A frame that is given twice, or has no clock, fails the write.
+    Each table is replaced by Spark's commit protocol; a line of ``pts`` is the frame and its clock.
+    """
+    names = lambda schema: [f.split()[0] for f in re.sub(r"<[^<>]*(?:<[^<>]*>[^<>]*)*>", "", schema).split(", ")]
+    require_empty(duplicates(df, ["frame"]), "frames given twice")
+    require_empty(df.where("frame is null or pts is null").select("frame", "pts"), "frames without a clock")
+    write_json(df.select(*names(FRAMES)), f"{path}/detections")
+    df.withColumn("Frame", F.col("frame")).select(*names(BALL)).write.mode("overwrite").option("header", True).csv(f"{path}/ball")
+    df.select(F.concat_ws(" ", "frame", F.col("pts").cast("string")).alias("value")).write.mode("overwrite").text(f"{path}/pts")
+
+
+def clocks(spark: SparkSession, path: str) -> DataFrame:
+    """(frame, pts) of the lines of a clock table; a line that isn't two numbers fails the read."""
+    parts = F.split("value", " ")
+    return spark.read.text(path).select(parts[0].cast("int").alias("frame"), parts[1].cast("double").alias("pts"))
+
+
 def write_buckets(df: DataFrame, path: str, t: str, width: float) -> None:
     """Parquet in folders of ``width`` seconds, so that a reader of a range opens only its buckets."""
     df.withColumn("bucket", F.floor(F.col(t) / width).cast("int")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)

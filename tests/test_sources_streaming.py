@@ -101,3 +101,43 @@ def test_documents_ledgers_and_dead_letters(spark, tmp_path):
     R.append_new(rows([1, 2]), ledger, ["id"])
     R.append_new(R.dead_letters(rows([2, 3, 3]), ["text"]), ledger, ["id"])
     assert sorted(map(tuple, spark.read.parquet(ledger).collect())) == [(1, "token=t1 ok"), (2, "token=t2 ok"), (3, "token=[redacted] ok")]
+
+
+def test_archive_directories_as_rows(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("audio/one.wav", b"x" * 1000)
+        z.writestr("audio/", b"")
+        z.writestr("../out.txt", b"y")
+    (tmp_path / "b.ZIP").write_bytes(b"not an archive")
+    (tmp_path / "c.txt").write_text("no archive by name")
+    got = {(r.path.rsplit("/", 1)[1], r.name): r for r in R.archive_entries(spark, str(tmp_path)).collect()}
+    one = got["a.zip", "audio/one.wav"]
+    assert len(got) == 4 and (one.bytes, one.method, one.is_dir, one.problem) == (1000, 8, False, None) and one.packed_bytes < 100
+    assert got["a.zip", "audio/"].is_dir and got["a.zip", "../out.txt"].problem == "name leads out" and "zip" in got["b.ZIP", None].problem
+
+
+def test_frames_written_as_three_tables_read_back(spark, tmp_path):
+    df = spark.range(5).select(
+        F.col("id").cast("int").alias("frame"), (F.col("id") / 25).alias("time_s"), F.lit("play").alias("state"), F.lit(0.5).alias("state_confidence"),
+        F.expr("array(named_struct('class', 'hit', 'confidence', 0.5D, 'xyxy', array(1D, 2D, 3D, 4D)))").alias("actions"), F.expr("array(named_struct('xyxy', array(1D, 2D, 3D, 4D), 'confidence', 0.9D))").alias("players"),
+        F.lit(1).alias("Visibility"), F.col("id").cast("double").alias("X"), F.lit(2.0).alias("Y"), F.lit(3).alias("Radius"), (F.col("id") / 25).alias("pts"),
+    )
+    at = str(tmp_path / "out")
+    R.write_frames(df, at)
+    back = R.aligned(R.frames(spark, f"{at}/detections"), R.ball(spark, f"{at}/ball"), R.clocks(spark, f"{at}/pts"))
+    assert sorted((r.frame, r.X, r.pts, r.actions[0]["class"]) for r in back.collect()) == [(i, float(i), i / 25, "hit") for i in range(5)]
+    with pytest.raises(ValueError, match="given twice"):
+        R.write_frames(df.union(df), at)
+
+
+def test_lines_wrap_whole_texts(spark, tmp_path):
+    import textwrap
+
+    from chronospan.plans import rules
+
+    texts = [" ".join(f"word{i}" for i in range(40)), "short", "", None, "x" * 90 + " tail\nnext  line"]
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.turn: r.lines for r in rules.c21_lines(spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else "/".join(textwrap.wrap(" ".join(t.split()), 16, break_long_words=False, break_on_hyphens=False)) for i, t in enumerate(texts)}
