@@ -1,17 +1,11 @@
 """Cases in which operators once did less than the whole job."""
 
 import random
-import textwrap
-import zlib
-
-import random
-import textwrap
 import zlib
 
 from pyspark.sql import functions as F
 
 from chronospan.llm import bpe, decontaminate, line_dedup, packing, sentence_spans
-from chronospan.plans import rules
 
 DOCS = "doc_id long, text string"
 ITEMS = "item_id long, text string"
@@ -108,13 +102,6 @@ def test_span_dedup_equals_all_runs_of_any_length(spark):
     assert len(want) >= 8 and {r.doc_id: {n for a, b in r.spans for n in range(a, b + 1)} for r in got} == want
 
 
-def test_lines_wrap_whole_texts(spark, tmp_path):
-    texts = [" ".join(f"word{i}" for i in range(40)), "short", "", None, "x" * 90 + " tail\nnext  line"]
-    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {r.turn: r.lines for r in rules.c21_lines(spark, str(tmp_path)).collect()}
-    assert got == {i: None if t is None else "/".join(textwrap.wrap(" ".join(t.split()), 16, break_long_words=False, break_on_hyphens=False)) for i, t in enumerate(texts)}
-
-
 def test_added_tokens_in_a_text_are_one_id(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
