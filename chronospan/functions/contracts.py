@@ -109,7 +109,7 @@ def cue_violations(cues: DataFrame, plan: list[str], id_: str, at: str, start: s
     """(plan, id, rule) of sound cues: number, ids, lengths of 0.1 to 5, end within the duration, no overlap with the cue before."""
     n, same = F.count(F.lit(1)).over(Window.partitionBy(*plan)), F.count(F.lit(1)).over(Window.partitionBy(*plan, id_))
     length = F.col(end) - F.col(start)
-    w = Window.partitionBy(*plan).orderBy(at, id_)
+    w = Window.partitionBy(*plan).orderBy(at, id_, length)  # cues alike in both go by their length
     rows = cues.withColumn("_n", n).withColumn("_same", same).withColumn("_before", F.lag(F.col(at) + length).over(w))
     return violations(rows, [*plan, id_], {
         "too_many": F.col("_n") > most, "repeated_id": F.col("_same") > 1, "length": ~finite_between(length, 0.1, 5.0),

@@ -50,13 +50,13 @@ SELECT * FROM v WHERE rule IS NOT NULL"""
 
 
 def d15_cues(spark, sf_dir):
-    e = events(spark, sf_dir).where("event_type = 'error'")
+    e = events(spark, sf_dir)
     cues = e.select("user_id", (F.col("event_id") % 50).alias("cue"), (F.floor(F.col("us") / HOUR) % 100).cast("double").alias("at"), F.lit(0.0).alias("a"), (F.col("k") / 18).alias("b"), F.lit(99.0).alias("whole"), "event_id")
     return K.cue_violations(cues, ["user_id"], "cue", "at", "a", "b", "whole", 20).groupBy("user_id", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-D15 = f"""WITH {EV}, c AS (SELECT user_id, event_id % 50 AS cue, (us // 3600000000 % 100)::DOUBLE AS t, k / 18 AS len FROM e WHERE event_type = 'error'),
-w AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, count(*) OVER (PARTITION BY user_id, cue) AS same, lag(t + len) OVER (PARTITION BY user_id ORDER BY t, cue) AS before FROM c),
+D15 = f"""WITH {EV}, c AS (SELECT user_id, event_id % 50 AS cue, (us // 3600000000 % 100)::DOUBLE AS t, k / 18 AS len FROM e),
+w AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, count(*) OVER (PARTITION BY user_id, cue) AS same, lag(t + len) OVER (PARTITION BY user_id ORDER BY t, cue, len) AS before FROM c),
 v AS (SELECT user_id, {_listed({"too_many": "n > 20", "repeated_id": "same > 1", "length": "NOT len BETWEEN 0.1 AND 5", "truncated": "t + len > 99", "overlap": "before > t"})} FROM w)
 SELECT user_id, rule, count(*) AS n FROM v WHERE rule IS NOT NULL GROUP BY ALL"""
 

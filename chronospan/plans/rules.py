@@ -135,12 +135,12 @@ SELECT conv_id, turn, length(regexp_replace(text, '[\p{M}\x{200C}\x{200D}\x{1F3F
 def c21_titles(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     mark = F.when(F.col("p_partkey") % 3 == 0, "，").when(F.col("p_partkey") % 3 == 1, "！").otherwise("")
-    title = F.concat(F.substring("p_name", 1, 4), mark, F.substring("p_name", 5, 80))
+    title = F.concat(F.substring("p_name", 1, 4), mark, F.expr("substring(p_name, 5)"))
     return p.select("p_partkey", F.array_join(C.title_lines(title), "/").alias("lines"))
 
 
-C21 = """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND length(p_name) > 4 THEN p_name[1:4] || '/' || p_name[5:80] WHEN p_partkey % 3 = 1 AND length(p_name) > 4 THEN p_name[1:4] || '！/' || p_name[5:80]
- WHEN length(t) > 9 THEN t[1:length(t) // 2] || '/' || t[length(t) // 2 + 1:] ELSE t END AS lines FROM (SELECT *, p_name[1:4] || CASE p_partkey % 3 WHEN 0 THEN '，' WHEN 1 THEN '！' ELSE '' END || p_name[5:80] AS t FROM part)"""
+C21 = """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND length(p_name) > 4 THEN p_name[1:4] || '/' || p_name[5:] WHEN p_partkey % 3 = 1 AND length(p_name) > 4 THEN p_name[1:4] || '！/' || p_name[5:]
+ WHEN length(t) > 9 THEN t[1:length(t) // 2] || '/' || t[length(t) // 2 + 1:] ELSE t END AS lines FROM (SELECT *, p_name[1:4] || CASE p_partkey % 3 WHEN 0 THEN '，' WHEN 1 THEN '！' ELSE '' END || p_name[5:] AS t FROM part)"""
 
 QUERIES = {
     "c20_units": c20_units, "c21_titles": c21_titles,

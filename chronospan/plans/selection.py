@@ -28,11 +28,11 @@ H6 = f"""WITH {EV} SELECT user_id, row_number() OVER w AS rank, event_id FROM e
 
 
 def h3_greedy(spark, sf_dir):
-    s = spans(spark, sf_dir).where("value > 20")
+    s = spans(spark, sf_dir)
     return S.greedy_non_overlapping(s, ["user_id"], "start", "end", "value", "event_id", 5, 96.0 * HOUR).select("user_id", "event_id", "pick")
 
 
-H3 = f"""WITH RECURSIVE {EV}, s AS (SELECT event_id, user_id, value, us AS a, us + 3600000000 + k * 60000000 AS b FROM e WHERE event_type IN ('purchase', 'error') AND value > 20),
+H3 = f"""WITH RECURSIVE {EV}, s AS (SELECT event_id, user_id, value, us AS a, us + 3600000000 + k * 60000000 AS b FROM e WHERE event_type IN ('purchase', 'error')),
 c AS (SELECT user_id, list(struct_pack(v := -value, a := a, id := event_id, b := b) ORDER BY -value, a, event_id) AS l FROM s GROUP BY 1),
 r AS (SELECT user_id, 1 AS pick, l[1] AS top, list_filter(l, lambda x: x.b <= l[1].a OR l[1].b <= x.a) AS rest FROM c
  UNION ALL SELECT user_id, pick + 1, rest[1], list_filter(rest, lambda x: x.b <= rest[1].a OR rest[1].b <= x.a) FROM r WHERE len(rest) > 0 AND pick < 5)
@@ -100,21 +100,21 @@ H14 = "SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER
 
 
 def h15_blind_pool(spark, sf_dir):
-    items = table(spark, sf_dir, "part").where("p_size <= 2").select("p_partkey", "p_size")
+    items = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     made = items.withColumn("condition", F.explode(F.array(F.lit("a"), F.lit("b")))).withColumn("rater", F.explode(F.sequence(F.lit(1), F.lit(3))))
     return made.select(C.item_digest(F.lit("v1"), "p_partkey").alias("item"), "condition", "rater", "p_size")
 
 
-H15 = "SELECT left(sha256(concat_ws('|', 'v1', p_partkey::VARCHAR)), 20) AS item, condition, rater, p_size FROM part, (SELECT unnest(['a', 'b']) AS condition), (SELECT unnest([1, 2, 3]) AS rater) WHERE p_size <= 2"
+H15 = "SELECT left(sha256(concat_ws('|', 'v1', p_partkey::VARCHAR)), 20) AS item, condition, rater, p_size FROM part, (SELECT unnest(['a', 'b']) AS condition), (SELECT unnest([1, 2, 3]) AS rater)"
 
 
 def i1_union(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice").withColumn("mode", F.lit("rules"))
-    parts = {p[0]: o.where(F.col("o_orderpriority") == p) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM")}
+    parts = {p[0]: o.where(F.col("o_orderpriority") == p) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")}
     return S.top_k(S.namespaced_union(parts, "o_orderkey", ["mode"]), [F.desc("o_totalprice"), "o_orderkey"], 100).select("o_orderkey", "part", "o_totalprice")
 
 
-I1 = """SELECT left(o_orderpriority, 1) || '__' || o_orderkey AS o_orderkey, left(o_orderpriority, 1) AS part, o_totalprice FROM orders WHERE left(o_orderpriority, 1) IN ('1', '2', '3')
+I1 = """SELECT left(o_orderpriority, 1) || '__' || o_orderkey AS o_orderkey, left(o_orderpriority, 1) AS part, o_totalprice FROM orders
 ORDER BY o_totalprice DESC, 1 LIMIT 100"""
 
 

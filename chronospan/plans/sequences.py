@@ -211,11 +211,11 @@ SELECT top.id AS event_id, user_id, event_type FROM r"""
 
 
 def g12_soft_targets(spark, sf_dir):
-    e = events(spark, sf_dir).where(F.col("event_type") == "purchase").withColumn("t", (F.col("us") - F.lit(1704067200000000)) / 3.6e9)
+    e = events(spark, sf_dir).withColumn("t", (F.col("us") - F.lit(1704067200000000)) / 3.6e9)
     return Q.soft_targets(e, ["user_id"], "t", 1.0, 2.0, 720).withColumn("target", F.round("target", 6))
 
 
-G12 = f"""WITH {EV}, t AS (SELECT user_id, (us - 1704067200000000) / 3.6e9 AS t FROM e WHERE event_type = 'purchase'),
+G12 = f"""WITH {EV}, t AS (SELECT user_id, (us - 1704067200000000) / 3.6e9 AS t FROM e),
 x AS (SELECT user_id, t, unnest(range(greatest(ceil(t - 6), 0)::BIGINT, least(floor(t + 6), 719)::BIGINT + 1)) AS frame FROM t)
 SELECT user_id, frame, round(max(exp(-0.5 * ((frame - t) / 2) * ((frame - t) / 2))), 6) AS target FROM x GROUP BY ALL"""
 
