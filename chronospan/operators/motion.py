@@ -6,14 +6,14 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .islands import carried, haloed, same_key_join
+from .joins import asof, neighbours
 from .quantiles import exact_quantiles
-from .sequence import sessionize
+from .sequence import sessionize, smooth_edges
 
 
 class Fit(NamedTuple):
@@ -145,26 +145,22 @@ def _stretch_sizes(rows: DataFrame, key: list[str], width: float) -> DataFrame:
     return same_key_join(begun.select(*key, "t", "_stretch"), sizes, [*key, "_stretch"]).select(*key, "t", "_size").distinct()
 
 
-def follow_path(df: DataFrame, key: list[str], t: str, x: str, rate: float, center: float, hold: float, width: int = 15) -> DataFrame:
+def follow_path(df: DataFrame, key: list[str], t: str, x: str, rate: float, center: float, hold: float, width: int = 15, bucket: float | None = None) -> DataFrame:
     """(key, t, x) at ``rate`` a second: interpolated, smoothed with repeated ends, and blended to ``center`` far from any sample.
 
-    Nearer than ``hold`` to a sample the path counts in full, from twice that on not at all.
+    Nearer than ``hold`` to a sample the path counts in full, from twice that on not at all. Each time finds the samples
+    before and after it by as-of joins, a ``bucket`` of time at a time if given; places are smoothed a block at a time.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(t)
-        ts, xs = pdf[t].to_numpy(float), pdf[x].to_numpy(float)
-        at = np.arange(int(np.floor((ts[-1] - ts[0]) * rate)) + 1) / rate + ts[0]
-        v = np.interp(at, ts, xs)
-        half = width // 2
-        v = np.convolve(np.pad(v, half, mode="edge"), np.ones(2 * half + 1) / (2 * half + 1), "valid")
-        right = np.clip(np.searchsorted(ts, at), 0, len(ts) - 1)
-        far = np.minimum(np.abs(at - ts[right]), np.abs(at - ts[np.maximum(right - 1, 0)]))
-        share = np.clip(2 - far / hold, 0, 1)
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in key}, "t": at, "x": share * v + (1 - share) * center})
-
-    kinds = dict(df.dtypes)
-    return df.groupBy(*key).applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in key), "t double, x double"]))
+    rows = df.where(F.col(t).isNotNull() & F.col(x).isNotNull()).select(*key, F.col(t).cast("double").alias("t"), F.col(x).cast("double").alias("_x"))
+    ends = rows.groupBy(*key).agg(F.min("t").alias("_a"), F.max("t").alias("_b"))
+    grid = ends.select(*key, "_a", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_b") - F.col("_a")) * rate))).alias("_i")).select(*key, "_i", (F.col("_i") / F.lit(float(rate)) + F.col("_a")).alias("t"))
+    before = asof(grid, rows, key, "t", "_x", False, True, None, bucket).withColumnRenamed("matched", "_x0").withColumnRenamed("matched_t", "_t0")
+    both = asof(before, rows, key, "t", "_x", True, True, None, bucket).withColumnRenamed("matched", "_x1").withColumnRenamed("matched_t", "_t1")
+    share = F.coalesce(F.try_divide(F.col("t") - F.col("_t0"), F.col("_t1") - F.col("_t0")), F.lit(0.0))
+    drawn = both.withColumn("_v", F.col("_x0") + (F.col("_x1") - F.col("_x0")) * share).withColumn("_far", F.least(F.col("t") - F.col("_t0"), F.col("_t1") - F.col("t")))
+    smooth = smooth_edges(drawn, key, "_i", "_v", width, "_s")
+    whole = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 - F.col("_far") / hold))
+    return smooth.select(*key, "t", (whole * F.col("_s") + (1 - whole) * center).alias("x"))
 
 
 def hint_boxes(df: DataFrame, key: list[str], t: str, x: str, y: str, start: Column, end: Column, longest: float, least: int) -> DataFrame:
@@ -204,16 +200,15 @@ def hint_windows(samples: DataFrame, spans: DataFrame, key: list[str], t: str, x
     return fits.select(*key, "start", "end", left.alias("x0"), top.alias("y0"), (left + F.col("_wide")).alias("x1"))
 
 
-def trusted_gaps(df: DataFrame, key: list[str], t: str, x: str, seen: Column, speed: float, longest: float, supports: int = 2) -> DataFrame:
+def trusted_gaps(df: DataFrame, key: list[str], t: str, x: str, seen: Column, speed: float, longest: float, supports: int = 2, bucket: float | None = None) -> DataFrame:
     """Unseen rows whose value fits between the seen rows around them.
 
     The gap between the anchors is at most ``longest``, the value within
     ``speed`` times the time to the nearer anchor of the line between them, and
     at least ``supports`` rows of the same gap fit.
     """
-    w = Window.partitionBy(*key).orderBy(t)
-    anchor = F.when(seen, F.struct(F.col(t).alias("t"), F.col(x).alias("x")))
-    rows = df.withColumn("_a", F.last(anchor, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_b", F.first(anchor, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    told = neighbours(df.withColumn("_v", F.struct(F.col(t).alias("t"), F.col(x).alias("x"))), key, t, seen, "_v", None, bucket).drop("_v")
+    rows = told.withColumnRenamed("previous", "_a").withColumnRenamed("following", "_b")
     line = F.col("_a.x") + (F.col("_b.x") - F.col("_a.x")) * (F.col(t) - F.col("_a.t")) / (F.col("_b.t") - F.col("_a.t"))
     near = F.least(F.col(t) - F.col("_a.t"), F.col("_b.t") - F.col(t))
     fits = ~seen & (F.col("_b.t") - F.col("_a.t") <= longest) & (F.abs(F.col(x) - line) <= speed * near)

@@ -126,8 +126,10 @@ def merge_duplicates(df: DataFrame, key: list[str], start: str, end: str, peak:
 
     def merge(rows: list[tuple]) -> list[tuple]:
         kept: list[list] = []
+        open_: list[list] = []  # those that a later row, which starts later, can still overlap
         for row in rows:
-            for x in reversed(kept):
+            open_ = [x for x in open_ if x[0][b] > row[a]]
+            for x in reversed(open_):
                 other = x[0]
                 meet, short = min(row[b], other[b]) - max(row[a], other[a]), min(row[b] - row[a], other[b] - other[a])
                 if abs(row[p] - other[p]) <= peak_gap and short > 0 and meet / short >= share:
@@ -137,6 +139,7 @@ def merge_duplicates(df: DataFrame, key: list[str], start: str, end: str, peak:
                     break
             else:
                 kept.append([row, {row[i]}])
+                open_.append(kept[-1])
         return [(*row, sorted(ids)) for row, ids in kept]
 
     cut = islands(df, key, start, end, 0, bucket)

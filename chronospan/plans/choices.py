@@ -161,5 +161,19 @@ def l29_pool(spark, sf_dir):
 L29 = f"""WITH {EV}, w AS (SELECT *, min(us) OVER (PARTITION BY user_id) AS low, max(us) OVER (PARTITION BY user_id) AS high FROM e)
 SELECT left(sha256(concat_ws('|', 'pool', user_id::VARCHAR, event_id::VARCHAR)), 20) AS item, event_type, greatest(low, us - 7200000000) AS clip_start, least(high, us + k * 60000000 + 10800000000) AS clip_end FROM w"""
 
-QUERIES = {"h5_cues": h5_cues, "g23_snap": g23_snap, "g15_hints": g15_hints, "l29_pool": l29_pool, "g13_impulses": g13_impulses, "h4_distinct": h4_distinct, "e21_pairs": e21_pairs, "e7_expand": e7_expand, "g16_detail": g16_detail, "l19_alignment": l19_alignment}
-ORACLE_SQL = {"h5_cues": H5, "g23_snap": G23, "g15_hints": G15, "l29_pool": L29, "h4_distinct": H4, "e21_pairs": E21, "e7_expand": E7, "g16_detail": G16, "l19_alignment": L19}
+def g10_follow(spark, sf_dir):
+    """Each user's values as a path in days, followed at four places a day."""
+    e = events(spark, sf_dir).groupBy("user_id", (F.col("us") / DAY).alias("t")).agg(F.max("value").alias("x"))
+    got = V.follow_path(e, ["user_id"], "t", "x", 4.0, 20.0, 0.25, 5, 7.0)
+    return got.select("user_id", F.round("t", 6).alias("t"), F.round("x", 6).alias("x"))
+
+
+G10 = f"""WITH {EV}, p AS (SELECT user_id, us / 86400000000::DOUBLE AS t, max(value) AS x FROM e GROUP BY ALL), s AS (SELECT user_id, min(t) AS a, max(t) AS b FROM p GROUP BY 1),
+g AS (SELECT user_id, a, unnest(range(floor((b - a) * 4)::BIGINT + 1)) AS i FROM s), h AS (SELECT user_id, i, i / 4.0::DOUBLE + a AS t FROM g),
+l AS (SELECT h.*, p.t AS t0, p.x AS x0 FROM h ASOF JOIN p ON h.user_id = p.user_id AND h.t >= p.t), m AS (SELECT l.*, p.t AS t1, p.x AS x1 FROM l ASOF LEFT JOIN p ON l.user_id = p.user_id AND l.t <= p.t),
+v AS (SELECT user_id, i, t, x0 + coalesce((x1 - x0) * (t - t0) / nullif(t1 - t0, 0), 0) AS v, least(t - t0, t1 - t) AS far, max(i) OVER (PARTITION BY user_id) AS n FROM m),
+k AS (SELECT v.user_id, v.i, sum(w.v) / 5 AS s FROM v, (SELECT unnest([-2, -1, 0, 1, 2]) AS d) d JOIN v w ON w.user_id = v.user_id AND w.i = least(greatest(v.i + d, 0), v.n) GROUP BY ALL)
+SELECT user_id, round(t, 6) AS t, round(greatest(0, least(1, 2 - far / 0.25)) * s + (1 - greatest(0, least(1, 2 - far / 0.25))) * 20, 6) AS x FROM v JOIN k USING (user_id, i)"""
+
+QUERIES = {"g10_follow": g10_follow, "h5_cues": h5_cues, "g23_snap": g23_snap, "g15_hints": g15_hints, "l29_pool": l29_pool, "g13_impulses": g13_impulses, "h4_distinct": h4_distinct, "e21_pairs": e21_pairs, "e7_expand": e7_expand, "g16_detail": g16_detail, "l19_alignment": l19_alignment}
+ORACLE_SQL = {"g10_follow": G10, "h5_cues": H5, "g23_snap": G23, "g15_hints": G15, "l29_pool": L29, "h4_distinct": H4, "e21_pairs": E21, "e7_expand": E7, "g16_detail": G16, "l19_alignment": L19}
