@@ -51,12 +51,12 @@ def redacted(text: Column, mark: str = "[redacted]") -> Column:
     """``text`` with secrets masked: values of ``SECRET_NAMES`` after ``=`` or ``:``, what follows ``bearer``, and ``sk-`` keys.
 
     The text is cut once into words and what stands between them (blanks, quotes, commas, closing braces), which alternate; a word is
-    judged by itself and the two words before it.
+    judged by itself and the two words before it. The parts are bound, so a text is cut once however many words it has.
     """
     name = rf"(?i)\b(?:{'|'.join(SECRET_NAMES)})"
     parts = F.regexp_extract_all(text, F.lit(r"[^\s\x22',}]+|[\s\x22',}]+"), F.lit(0))
 
-    def judged(word: Column, i: Column) -> Column:
+    def judged(parts: Column, word: Column, i: Column) -> Column:
         before, earlier = (F.coalesce(F.get(parts, i - back), F.lit("")) for back in (2, 4))
         between = word.rlike(r"^[\s\x22',}]")
         is_bearer = lambda w: w.rlike(r"(?i)\bbearer$")
@@ -65,7 +65,8 @@ def redacted(text: Column, mark: str = "[redacted]") -> Column:
         inline = F.regexp_replace(F.regexp_replace(word, name + "[:=](?=.)(?!(?i:bearer)$).+$", "\u0001$0"), "\u0001([^:=]*[:=]).+$", f"$1{mark}")
         return F.when(between | separator, word).when(is_bearer(before) | (named & ~is_bearer(word)), F.lit(mark)).otherwise(F.regexp_replace(inline, r"\bsk-[A-Za-z0-9_-]{8,}", mark))
 
-    return F.when(text.isNotNull(), F.array_join(F.transform(parts, judged), ""))
+    masked = F.transform(F.array(parts), lambda held: F.array_join(F.transform(held, lambda word, i: judged(held, word, i)), ""))[0]
+    return F.when(text.isNotNull(), masked)
 
 
 def even_indices(n: Column, k: int) -> Column:
