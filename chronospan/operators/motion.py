@@ -75,6 +75,123 @@ def kink_at(t: np.ndarray, xy: np.ndarray, center: float, interval: float, rule:
     return float(center), float(before[-1]), float(after[0]), jump, fit.error, float(fit.velocity[0]), float(fit.velocity[1]), fit.left_out
 
 
+#: Samples of the fits that are worked out at a time.
+CELLS = 1 << 19
+
+
+def _quantile(off: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
+    """``np.quantile`` of the first ``n`` numbers of each row, in the same steps; beyond them a row has infinities."""
+    ordered = np.sort(off, axis=1)
+    place = (n - 1) * share
+    low = np.floor(place).astype(int)
+    rows, g = np.arange(len(n)), place - low
+    a, b = ordered[rows, low], ordered[rows, np.minimum(low + 1, n - 1)]
+    return np.where(g >= 0.5, b - (b - a) * (1 - g), a + (b - a) * g)
+
+
+def _solved(terms: np.ndarray, xy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least squares of each matrix, and whether its columns are well apart; what others are told is of no use."""
+    q, r = np.linalg.qr(terms)
+    size = np.abs(np.diagonal(r, axis1=1, axis2=2))
+    sound = size.min(1) > 1e-7 * size.max(1)
+    r = np.where(sound[:, None, None], r, np.eye(r.shape[1]))
+    return np.linalg.solve(r, q.transpose(0, 2, 1) @ xy), sound
+
+
+def local_fits(d: np.ndarray, xy: np.ndarray, n: np.ndarray, share: float = 0.85, least_error: float = 0.004) -> tuple[np.ndarray, ...]:
+    """(terms, error, left out, sound) of :func:`local_fit` with a kink, of many paths at once; the first ``n`` places of a row are samples."""
+    there = np.arange(d.shape[1]) < n[:, None]
+    terms = np.stack([np.ones_like(d), d, d * d, np.maximum(d, 0)], 2) * there[:, :, None]
+    xy = xy * there[:, :, None]
+
+    def distance(solved: np.ndarray) -> np.ndarray:
+        gap = terms @ solved - xy
+        return np.where(there, np.hypot(gap[:, :, 0], gap[:, :, 1]), np.inf)
+
+    solved, sound = _solved(terms, xy)
+    off = distance(solved)
+    near = there & (off <= np.maximum(least_error, _quantile(off, n, share))[:, None])
+    again = np.flatnonzero((near.sum(1) >= terms.shape[2] + 3) & (near.sum(1) < n))
+    if len(again):
+        kept = near[again][:, :, None]
+        solved[again], well = _solved(terms[again] * kept, xy[again] * kept)
+        sound[again] &= well
+        off = distance(solved)
+    return solved, _quantile(off, n, share), (there & ~near).sum(1), sound
+
+
+def kinks(center: np.ndarray, interval: np.ndarray, counts: np.ndarray, t: np.ndarray, x: np.ndarray, y: np.ndarray, rule: Impulses) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(places, columns of :func:`kink_at`) of the impulses at the centers and midway to the next sample.
+
+    Each center has the next ``counts`` samples (t, x, y), of which those of its own unbroken stretch count.
+    """
+    low, times, most = rule.gap
+    row = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((t, row))
+    t, x, y = t[order], x[order], y[order]
+    limit = np.minimum(most, np.maximum(low, interval * times))
+    new = np.ones(len(t), bool)
+    new[1:] = (row[1:] != row[:-1]) | (t[1:] - t[:-1] > limit[row[1:]])
+    stretch = np.cumsum(new)
+    start = np.cumsum(counts) - counts
+    here = start + np.bincount(row, t < center[row], len(counts)).astype(int)
+    following = np.minimum(here + 1, max(len(t) - 1, 0))
+    between = np.flatnonzero((here + 1 < len(t)) & (stretch[following] == stretch[here]))
+    owner = np.concatenate([np.arange(len(counts)), between])
+    at = np.concatenate([center, (center[between] + t[following[between]]) / 2])
+    order = np.lexsort((at, owner))
+    owner, at = owner[order], at[order]
+
+    n = counts[owner]
+    number = np.repeat(np.arange(len(owner)), n)
+    sample = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - start[owner], n)
+    reach = np.maximum(rule.reach[0], interval * rule.reach[1])[owner]
+    near = (stretch[sample] == stretch[here[owner]][number]) & (np.abs(t[sample] - at[number]) <= reach[number])
+    number, sample = number[near], sample[near]
+    n, ts = np.bincount(number, minlength=len(owner)), t[sample]
+    first = np.cumsum(n) - n
+    aside = interval[owner] * rule.exclude
+    before = np.bincount(number, ts < (at - aside)[number], len(owner)).astype(int)
+    after = np.bincount(number, ts > (at + aside)[number], len(owner)).astype(int)
+    some = np.flatnonzero(np.minimum(before, after) >= rule.side)
+    b0, b1, a0, a1 = (ts[first[some] + k] for k in (0, before[some] - 1, n[some] - after[some], n[some] - 1))
+    wide = np.minimum(b1 - b0, a1 - a0) >= rule.side_span
+    some, b1, a0 = some[wide], b1[wide], a0[wide]
+
+    hits, found = [], []
+    some_n = n[some]
+    by_size = np.argsort(some_n, kind="stable")
+    while len(by_size):
+        widest = int(some_n[by_size[-1]])
+        part, by_size = by_size[-max(1, CELLS // widest) :], by_size[: -max(1, CELLS // widest)]
+        k = some[part]
+        cell = np.minimum(first[k][:, None] + np.arange(widest), len(sample) - 1)
+        pick = sample[cell]
+        xy = np.stack([x[pick], y[pick]], 2)
+        there = np.arange(widest) < n[k][:, None]
+        finite = (np.isfinite(t[pick]) & np.isfinite(xy).all(2) | ~there).all(1)
+        xy = np.where(there[:, :, None] & finite[:, None, None], xy, 0.0)
+        d = np.where(there & finite[:, None], t[pick] - at[k][:, None], 0.0)
+        solved, error, left, sound = local_fits(d, xy, n[k])
+        sound &= finite
+        jump, velocity = solved[:, 3], solved[:, 1]
+        length = np.hypot(jump[:, 0], jump[:, 1])
+        fastest = np.maximum(np.hypot(velocity[:, 0], velocity[:, 1]), np.hypot(*(velocity + jump).T))
+        good = np.flatnonzero(sound & ~((error > rule.error) | (length < rule.jump) | (fastest > rule.speed)))
+        hits.append(k[good])
+        found.append(np.stack([at[k[good]], b1[part[good]], a0[part[good]], length[good], error[good], velocity[good, 0], velocity[good, 1], left[good]], 1))
+        for i in np.flatnonzero(~sound):  # columns that depend on each other, or no numbers
+            own = sample[first[k[i]] : first[k[i]] + n[k[i]]]
+            hit = kink_at(t[own], np.stack([x[own], y[own]], 1), float(at[k[i]]), float(interval[owner[k[i]]]), rule)
+            if hit:
+                hits.append(k[i : i + 1])
+                found.append(np.array([hit], float))
+    if not hits:
+        return np.empty(0, int), []
+    columns = np.concatenate(found).T
+    return owner[np.concatenate(hits)], [*columns[:7], columns[7].astype(int)]
+
+
 def impulses(df: DataFrame, key: list[str], t: str, x: str, y: str, rule: Impulses = Impulses(), parts: int = 16) -> DataFrame:
     """(key, t, start, end, jump, error, vx, vy, left_out): times at which a path's velocity changes at once, as by a contact.
 
@@ -94,38 +211,29 @@ def impulses(df: DataFrame, key: list[str], t: str, x: str, y: str, rule: Impuls
     counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     known = same_key_join(same_key_join(rows, counts, key), intervals, key).where((F.col("_n") >= rule.samples) & (F.col("_interval") > 0) & (F.col("_interval") <= rule.interval))
     # Stretches by the longest gap of any key first; the key's own, which is no longer, cuts within them below.
-    near = haloed(known, key, "t", width, widest, widest)
+    broken = F.least(F.lit(most), F.greatest(F.lit(low), F.col("_interval") * times))
+    sized = same_key_join(known, _stretch_sizes(known.withColumn("_gap", broken), key, width), [*key, "t"])  # before samples are gathered, which are many times the rows
+    near = haloed(sized, key, "t", width, widest, widest)
     micros = int(widest * 1e6) + 2  # frames of a window are whole numbers
     w = Window.partitionBy(*key, "_part").orderBy(F.round(F.col("t") * 1e6).cast("long")).rangeBetween(-micros, micros)
     local = near.withColumn("_near", F.collect_list(F.struct("t", "x", "y")).over(w)).where("_own")
-    broken = F.least(F.lit(most), F.greatest(F.lit(low), F.col("_interval") * times))
-    sized = same_key_join(local, _stretch_sizes(known.withColumn("_gap", broken), key, width), [*key, "t"])
-    names = [c for c in ("t", "_interval", "_near")]
+    names = ["t", "_interval", "_near"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, found = [], []
-            for i, (time, interval, held) in enumerate(zip(*(batch.column(c) for c in names), strict=True)):
-                c, dt = time.as_py(), interval.as_py()
-                ts, xs, ys = (held.values.field(j).to_numpy(zero_copy_only=False) for j in range(3))
-                order = np.argsort(ts, kind="stable")
-                ts, xy = ts[order], np.stack([xs, ys], 1)[order]
-                cut = np.flatnonzero(np.diff(ts) > min(most, max(low, dt * times)))
-                here = int(np.searchsorted(ts, c))
-                a, b = int(max((k + 1 for k in cut if k < here), default=0)), int(min((k + 1 for k in cut if k >= here), default=len(ts)))
-                centers = [c, (c + ts[here + 1]) / 2] if here + 1 < b else [c]
-                for hit in (kink_at(ts[a:b], xy[a:b], center, dt, rule) for center in centers):
-                    if hit:
-                        at.append(i)
-                        found.append(hit)
-            if found:
+            center, interval = (batch.column(c).to_numpy(zero_copy_only=False) for c in names[:2])
+            held = batch.column("_near")
+            ends = held.offsets.to_numpy()
+            flat = [x[ends[0] : ends[-1]] for x in (held.values.field(j).to_numpy(zero_copy_only=False) for j in range(3))]
+            at, found = kinks(center, interval, np.diff(ends), *flat, rule)
+            if len(at):
                 kinds = [pa.float64()] * 7 + [pa.int64()]
-                arrays = [pa.array(v, k) for v, k in zip(zip(*found, strict=True), kinds, strict=True)]
+                arrays = [pa.array(v, k) for v, k in zip(found, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(at)) for k in key), *arrays], [*key, *FOUND])
 
     kinds = dict(df.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in key), *(f"{c} {'long' if c == 'left_out' else 'double'}" for c in FOUND)])
-    hits = sized.where(F.col("_size") >= rule.samples).select(*key, *names).mapInArrow(run, schema)
+    hits = local.where(F.col("_size") >= rule.samples).select(*key, *names).mapInArrow(run, schema)
     groups = sessionize(hits, key, "t", rule.apart, "error", out="_group", bucket=width)
     best = groups.groupBy(*key, "_group").agg(F.min(F.struct("error", "t", "jump", "vx", "vy", "left_out")).alias("b"), F.min("start").alias("start"), F.max("end").alias("end"))
     return best.select(*key, "b.t", "start", "end", "b.jump", "b.error", "b.vx", "b.vy", "b.left_out")
