@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, maybe_broadcast, null_safe, spread, words
+from .common import Stored, maybe_broadcast, null_safe, spread
 
 WINDOW = 8
 MOST_SLOTS = 4
@@ -59,6 +59,7 @@ _BLANKS = "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2
 _NO_WIDTH = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 #: Characters of scripts without blanks: Thai to Tibetan, Burmese, Khmer, and Han, Kana and their signs.
 _UNSPACED = "[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u30ff\u3400-\u9fff\uf900-\ufaff]"
+_WHITE = "\t\n\v\f\r"
 _PUNCTUATION = "!\"#&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’…¿¡" + _UNIT
 
 
@@ -70,18 +71,23 @@ def parted(text: Column) -> Column:
 
 
 def signed(text: Column) -> Column:
-    """A text whose placeholders are their sign and what they stand for, lower-cased and freed of punctuation."""
+    """A text whose placeholders are their sign and what they stand for, lower-cased and freed of punctuation; its white space is blanks."""
     found = F.regexp_replace(text, rf"{_DIGITS}(?:\s?((?i:{UNITS}))(?![\p{{L}}\p{{N}}]))?", f" {_NUMBER}$1{_UNIT}$2 ")
     numbers = F.regexp_replace(found, rf"{_NUMBER}(\d[\d.,:/]*){_UNIT}(?! )", f"{_QUANTITY}$1_")
     digits = F.when(text.rlike(r"\d"), numbers).otherwise(text)
     names = F.regexp_replace(digits, r"(?=\p{Lu})(?<=\p{Ll} |\p{Ll}, )(\p{Lu}[\p{L}\p{M}]*)", f"{_NAME}$1")
     capitals = F.regexp_replace(names, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}\p{{N}}{_NAME}])(\p{{Lu}}[\p{{L}}\p{{M}}]*)", f"{_CAPITAL}$1")
-    return F.lower(F.translate(capitals, _PUNCTUATION, ""))
+    return F.lower(F.translate(capitals, _WHITE + _PUNCTUATION, " " * len(_WHITE)))
 
 
 def canonical(text: Column) -> Column:
     """Tokens of a text; a placeholder's token is its sign and what it stands for."""
-    return words(signed(parted(text)))
+    return _tokens(signed(parted(text)))
+
+
+def _tokens(signed: Column) -> Column:
+    """Tokens of a signed text, which are parted by blanks alone."""
+    return F.array_remove(F.split(F.coalesce(signed, F.lit("")), " "), "")
 
 
 def bare(token: Column) -> Column:
@@ -108,7 +114,7 @@ def hashed(rows: DataFrame, keys: list[str]) -> DataFrame:
     whole = rows.where("text is not null").select(*keys, parted(F.col("text")).alias("text"))
     texts = whole.select(*keys, signed(F.col("text")).alias("signed"))
     tokens = texts.select(
-        *keys, F.transform(words(F.col("signed")), lambda t: F.ascii(t)).alias("sign"), F.transform(words(bare(F.col("signed"))), lambda t: F.xxhash64(t)).alias("x")
+        *keys, F.transform(_tokens(F.col("signed")), lambda t: F.ascii(t)).alias("sign"), F.transform(_tokens(bare(F.col("signed"))), lambda t: F.xxhash64(t)).alias("x")
     )
     number, name, capital = ord(_NUMBER), ord(_NAME), ord(_CAPITAL)
     firm = F.zip_with("sign", "x", lambda s, h: F.when(s.between(number, name), s.cast("long")).otherwise(h))
@@ -118,7 +124,7 @@ def hashed(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def window(form: str, k: int = WINDOW) -> Column:
     """Hash of the ``k`` tokens from position ``pos`` on; null where the text ends before."""
-    return F.when(F.col("pos") <= F.size(form) - k, F.xxhash64(*[F.get(F.col(form), F.col("pos") + j) for j in range(k)]))
+    return F.when(F.col(form).isNotNull() & (F.col("pos") <= F.size(form) - k), F.xxhash64(*[F.get(F.col(form), F.col("pos") + j) for j in range(k)]))
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -145,9 +151,11 @@ def doc_windows(docs: DataFrame, short: list[int]) -> DataFrame:
     """Rows (doc_id, copy, pos, h) of the windows of all forms, and of exact windows of the lengths ``short``."""
     texts = hashed(docs.select("doc_id", "copy", "text"), ["doc_id", "copy"])
     least = min([WINDOW, *short])
+    # A form that a whole text has no sign of is left out, not hashed at each place.
+    texts = texts.withColumn("l", F.when((F.col("l") != F.col("f")) & (F.col("l") != F.col("x")), F.col("l"))).withColumn("f", F.when(F.col("f") != F.col("x"), F.col("f")))
     placed = texts.where(F.size("x") >= least).select("doc_id", "copy", "x", "f", "l", F.explode(F.sequence(F.lit(0), F.size("x") - least)).alias("pos"))
     w = placed.select("doc_id", "copy", "pos", *[window(form).alias(form) for form in "xfl"], *[window("x", k).alias(f"x{k}") for k in short])
-    firm, loose = F.when(F.col("f") != F.col("x"), F.col("f")), F.when((F.col("l") != F.col("f")) & (F.col("l") != F.col("x")), F.col("l"))
+    firm, loose = F.when(F.col("f") != F.col("x"), F.col("f")), F.when(~F.col("l").eqNullSafe(F.col("f")) & (F.col("l") != F.col("x")), F.col("l"))
     return w.select("doc_id", "copy", "pos", F.explode(F.array("x", firm, loose, *[f"x{k}" for k in short])).alias("h")).where("h is not null")
 
 
