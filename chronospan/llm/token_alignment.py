@@ -25,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
@@ -41,8 +41,8 @@ BUCKETS_EACH = 4
 SLICE = 256
 #: Largest table of pair counts, in bytes of Parquet, that is sent to every executor.
 COUNTS_BYTES = 16 << 20
-#: Lets joins on (document, end) use that both sides are dealt by document.
-_CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
+#: Joins on (document, end) use that both sides are dealt by document, and lists of a document's cuts that the join has sorted them.
+_SETTINGS = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.replaceHashWithSortAgg": "true"}
 
 
 def default_piece_model() -> str:
@@ -146,10 +146,10 @@ def _lengths(spark: SparkSession, pieces: list[bytes], name: str) -> DataFrame:
 
 
 def ends(dealt: DataFrame, ids: str, at: str, id_: str, lengths: DataFrame) -> DataFrame:
-    """(key, at, id_, end): one side's tokens with the byte that each ends at."""
+    """(key, at, end): one side's tokens by place with the byte that each ends at."""
     tokens = dealt.select("key", F.posexplode(ids).alias(at, "_id")).select("key", at, (F.col("_id").cast("int") + SHIFT).alias(id_)).join(lengths, id_)
     so_far = Window.partitionBy("key").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    return tokens.select("key", at, id_, F.sum("n_bytes").over(so_far).alias("end"))
+    return tokens.select("key", at, F.sum("n_bytes").over(so_far).alias("end"))
 
 
 class Bucketed:
@@ -180,33 +180,48 @@ def align(dealt: DataFrame, lengths_a: DataFrame, lengths_b: DataFrame) -> DataF
     return dealt.join(listed, "key", "left")
 
 
-def a_at(cut: Column) -> Column:
-    return F.shiftright(cut, 32).cast("int")
-
-
-def b_at(cut: Column) -> Column:
-    return cut.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+@lru_cache(maxsize=2)
+def _written(n: int) -> np.ndarray:
+    """The ids up to ``n`` as text before a comma, then before a bar, then before a semicolon."""
+    return np.array([f"{i}{after}" for after in ",|;" for i in range(n)], object)
 
 
-def links(a: str = "a", b: str = "b", cuts: str = "cuts") -> Column:
-    """The pairs (a_id, b_id) of tokens of ``align`` whose bytes end together, in order."""
-    id_ = lambda ids, at: (F.get(F.col(ids), at).cast("int") + SHIFT)
-    return F.transform(cuts, lambda c: F.struct(id_(a, a_at(c)).alias("a_id"), id_(b, b_at(c)).alias("b_id")))
+def _group_text(a: np.ndarray, b: np.ndarray, a_at: np.ndarray, b_at: np.ndarray, n: int) -> str:
+    """The groups of ids below ``n`` that end at the places ``a_at`` and ``b_at`` as text: ``a1,a2|b1;a3|b2,b3``."""
+    if not len(a_at):
+        return ""
+    from_a = np.arange(a_at[-1] + 1) + np.repeat(np.r_[0, b_at[:-1] + 1], np.diff(a_at, prepend=-1))
+    from_b = np.arange(b_at[-1] + 1) + np.repeat(a_at + 1, np.diff(b_at, prepend=-1))
+    out = np.empty(len(from_a) + len(from_b), np.int32)
+    out[from_a], out[from_b] = a[: len(from_a)], b[: len(from_b)]
+    out[from_a[a_at]] += n
+    out[from_b[b_at]] += 2 * n
+    return "".join(_written(n)[out].tolist())[:-1]
 
 
-def group_text(a: str = "a", b: str = "b", cuts: str = "cuts") -> tuple[list[Column], Column]:
-    """Columns ``_a`` and ``_b`` of ids as text, and with them the groups of ``align`` as text: ``a1,a2|b1;a3|b2,b3``."""
-    names = [F.transform(x, lambda i: (i.cast("int") + SHIFT).cast("string")) for x in (a, b)]
+def grouped(aligned: DataFrame, n: int) -> DataFrame:
+    """(key, doc_id, n_a, n_b, groups, links) of ``align``, ids being below ``n``: the groups as text, and the pairs (a_id, b_id) of tokens that end together, in order."""
 
-    def one_side(ids: Column, last: Column, before: Column) -> Column:
-        start = F.coalesce(before + 1, F.lit(0))
-        return F.when(start == last, F.get(ids, last)).otherwise(F.array_join(F.slice(ids, start + 1, last - start + 1), ","))
+    def lists(column: pa.ListArray) -> list[np.ndarray]:
+        flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        return [flat[i:j] for i, j in zip(offsets, offsets[1:])]
 
-    def one_group(cut: Column, i: Column) -> Column:
-        before = F.get(F.col(cuts), i - 1)  # null for the first
-        return F.concat(one_side(F.col("_a"), a_at(cut), a_at(before)), F.lit("|"), one_side(F.col("_b"), b_at(cut), b_at(before)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                a, b = ([x.astype(np.int32) + SHIFT for x in lists(part.column(c))] for c in ("a", "b"))
+                cuts = lists(part.column("cuts"))
+                places = [(c >> 32, c & ((1 << 32) - 1)) for c in cuts]
+                text = [_group_text(x, y, *p, n) for x, y, p in zip(a, b, places, strict=True)]
+                ids = [pa.array(np.concatenate([x[p[side]] for x, p in zip(all_, places, strict=True)])) for side, all_ in enumerate((a, b))]
+                offsets = pa.array(np.cumsum([0, *map(len, cuts)], dtype=np.int32))
+                pairs = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(ids, ["a_id", "b_id"]))
+                sizes = [pa.array(list(map(len, x)), pa.int64()) for x in (a, b)]
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), *sizes, pa.array(text, pa.string()), pairs], ["key", "doc_id", "n_a", "n_b", "groups", "links"])
 
-    return names, F.array_join(F.transform(cuts, one_group), ";")
+    rows = aligned.select("key", "doc_id", "a", "b", F.coalesce("cuts", F.array().cast("array<long>")).alias("cuts"))
+    return rows.mapInArrow(run, "key long, doc_id long, n_a long, n_b long, groups string, links array<struct<a_id: int, b_id: int>>")
 
 
 def linked_pairs(linked: DataFrame) -> DataFrame:
@@ -220,21 +235,22 @@ def alignment_report(docs: DataFrame, vocabulary: str | None = None, model: str
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of all documents."""
     spark, vocabulary, model = docs.sparkSession, vocabulary or bpe.default_vocabulary(), model or default_piece_model()
     one, two = load(vocabulary, model)
-    names, text = group_text()
     held = Bucketed(encoded(docs, vocabulary, model), "key", "token_alignment")
-    was = spark.conf.get(_CO_PARTITION)
-    spark.conf.set(_CO_PARTITION, "false")
+    was = {k: spark.conf.get(k) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
     try:
-        aligned = align(held.df, _lengths(spark, one.bytes, "a_id"), _lengths(spark, two.bytes, "b_id")).withColumn("_a", names[0]).withColumn("_b", names[1])
-        digest = F.when(F.col("cuts").isNotNull(), F.sha2(text, 256)).otherwise(F.lit(""))
-        told = Stored(aligned.select("key", "doc_id", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), digest.alias("groups_sha256"), links().alias("links")), "aligned").df
+        aligned = align(held.df, _lengths(spark, one.bytes, "a_id"), _lengths(spark, two.bytes, "b_id"))
+        digest = F.when(F.col("groups") != "", F.sha2("groups", 256)).otherwise(F.lit(""))
+        told = Stored(grouped(aligned, max(len(one.bytes), len(two.bytes))).select("key", "doc_id", "n_a", "n_b", digest.alias("groups_sha256"), "links"), "aligned").df
     finally:
-        spark.conf.set(_CO_PARTITION, was)
+        for k, v in was.items():
+            spark.conf.set(k, v)
         held.drop()
     each = told.select("key", F.inline("links"))
     pairs = Stored(linked_pairs(each), "linked_pairs")
     rated = each.join(maybe_broadcast(pairs, COUNTS_BYTES), ["a_id", "b_id"])
     sums = rated.groupBy("key").agg(F.count_if("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    n = F.coalesce(F.size("links"), F.lit(0)).cast("long")
+    n = F.size("links").cast("long")
     met = told.withColumn("n_links", n).drop("links").join(sums, "key", "left").fillna(0, ["n_best", "count_sum"])
     return met.select("doc_id", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", "n_best", "count_sum", "groups_sha256")

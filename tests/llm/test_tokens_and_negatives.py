@@ -169,3 +169,16 @@ def test_the_queries_read_whole_tables(spark, name):
         assert got.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
     else:
         assert got.select("anchor_id").where("anchor_id % 100 <> 0").count() == 0 and got.count() > 0
+
+
+def test_groups_as_text_equal_groups_cut_one_by_one():
+    rng = np.random.default_rng(4)
+    for size in (1, 2, 9, 400):
+        a, b = (rng.integers(0, 70_000, 3 * size).astype(np.int32) for _ in "ab")
+        a_at, b_at = (np.sort(rng.choice(3 * size, size, replace=False)) for _ in "ab")
+        want, last = [], (-1, -1)
+        for i, j in zip(a_at, b_at):
+            want.append(",".join(map(str, a[last[0] + 1 : i + 1])) + "|" + ",".join(map(str, b[last[1] + 1 : j + 1])))
+            last = i, j
+        assert token_alignment._group_text(a, b, a_at, b_at, 70_000) == ";".join(want)
+    assert token_alignment._group_text(a, b, a_at[:0], b_at[:0], 70_000) == ""
