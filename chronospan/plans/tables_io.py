@@ -60,9 +60,12 @@ def j12_prefix(spark, sf_dir):
 
 
 def j12_stream(spark, sf_dir):
-    """The same rows by a stream over the scored events, four files a batch, as fast as they come."""
+    """The same rows by a stream over the scored events, four files a batch, as fast as they come.
+
+    A user's events are in one file, so that its state is read and written in one batch, however many batches there are.
+    """
     rows, path = _scored(spark, sf_dir), scratch(spark, "scored")
-    rows.write.parquet(path)
+    rows.repartition("user_id").write.parquet(path)
     name, store = P.STATE_STORE
     was = spark.conf.get(name)
     spark.conf.set(name, store)

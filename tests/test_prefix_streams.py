@@ -106,3 +106,18 @@ def test_requests_are_served_from_a_stream_within_bounded_state(spark, state_sto
     want = {(u, i): sorted(c for v, c in seen if v == u and a <= c < b) or [None] for u, i, a, b in asked}
     assert len(got) == sum(map(len, want.values())) and all(x[2] in want[x[0], x[1]] for x in got)
     assert max(held) < (len(asked) + len(seen)) / 2
+
+
+def test_a_users_events_are_in_one_file_of_the_stream(spark, state_store):
+    from chronospan.plans import tables_io
+    from chronospan.session import shared_folder
+
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        n = tables_io.j12_stream(spark, "/root/testdata/sf0.001").count()
+    finally:
+        spark.conf.unset(coalesce)
+    scored = spark.read.parquet(f"{shared_folder(spark)}/chronospan/{spark.sparkContext.applicationId}/scored-*").withColumn("file", F.input_file_name())
+    files, pairs, users = scored.agg(F.countDistinct("file"), F.countDistinct("file", "user_id"), F.countDistinct("user_id")).first()
+    assert n and files > 1 and pairs == users
