@@ -1,14 +1,14 @@
 """Cross-tokenizer alignment by relational steps (operator 12).
 
-Two tokenizers cut the same bytes. Their tokens are exploded with their places,
-running sums of token lengths give every token's end, and an equi join on
+Two tokenizers cut the same bytes. A document is encoded with the byte that each
+token ends at, the running sum of token lengths. Tokens are exploded with their places and ends, and an equi join on
 document and end finds the places where both cut. The running number of cuts is the group of
 a token: a group is the shortest stretch that both sides cut alike. A range of
 places between two cuts gives the group's tokens of each side.
 
-Encoded documents are stored once in buckets of a key of their own, so that all joins
-and windows of tokens stay where their document is; only documents and linked
-pairs of ids are shuffled, not tokens.
+Documents are dealt by a key of their own, encoded there and stored once in buckets of it, so that the join
+of tokens stays where their document is; only texts and linked
+pairs of ids are shuffled, not tokens. Buckets are in the order of keys, so the join sorts what is nearly sorted.
 
 Defined results: null and empty texts, and texts whose bytes a tokenizer
 doesn't give back, have no tokens: zeros and an empty digest. Equal rows
@@ -20,12 +20,12 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
@@ -112,7 +112,7 @@ def load(vocabulary: str, model: str) -> tuple[Bytes, Pieces]:
 
 
 def encoded(docs: DataFrame, vocabulary: str, model: str) -> DataFrame:
-    """(key, doc_id, a, b): a key of its own for each row and its ids by both tokenizers, empty where their bytes differ from a blank and the text.
+    """(key, doc_id, a, b, a_end, b_end) of documents (key, doc_id, text): ids by both tokenizers and the bytes they end at, empty where their bytes differ from a blank and the text.
 
     Byte-level tokens give a text back; pieces do where none is unknown and the text holds no blank sign of the model's own.
     Ids are held less ``SHIFT``, in two bytes where the vocabularies allow it.
@@ -121,47 +121,46 @@ def encoded(docs: DataFrame, vocabulary: str, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = load(vocabulary, model)
+        sizes = [np.fromiter(map(len, t.bytes), np.int32, len(t.bytes)) for t in (one, two)]
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                texts = [t if t and "▁" not in t else "" for t in part.column(1).to_pylist()]
+                texts = [t if t and "▁" not in t else "" for t in part.column(2).to_pylist()]
                 a = [np.frombuffer(one.encode(t) if t else b"", np.int32) for t in texts]
                 b = [np.frombuffer(x if t else b"", np.int32) for t, x in zip(texts, two.encode(texts), strict=True)]
                 same = [not (y == two.unknown).any() for y in b]
-                lists = []
-                for side in (a, b):
+                lists, running = [], []
+                for side, n_bytes in zip((a, b), sizes, strict=True):
                     kept = [x if ok else x[:0] for x, ok in zip(side, same, strict=True)]
-                    offsets = np.cumsum([0, *map(len, kept)], dtype=np.int32)
-                    lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array((np.concatenate(kept) - SHIFT).astype(kind[1]))))
-                yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["doc_id", "a", "b"])
+                    offsets = pa.array(np.cumsum([0, *map(len, kept)], dtype=np.int32))
+                    lists.append(pa.ListArray.from_arrays(offsets, pa.array((np.concatenate(kept) - SHIFT).astype(kind[1]))))
+                    running.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.cumsum(n_bytes[x], dtype=np.int32) for x in kept]))))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists, *running], ["key", "doc_id", "a", "b", "a_end", "b_end"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, a array<{kind[0]}>, b array<{kind[0]}>")
-    return rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", "a", "b")
+    return docs.mapInArrow(run, f"key long, doc_id long, a array<{kind[0]}>, b array<{kind[0]}>, a_end array<int>, b_end array<int>")
 
 
-def _lengths(spark: SparkSession, pieces: list[bytes], name: str) -> DataFrame:
-    """(name, n_bytes) of a vocabulary, which bounds its size."""
-    rows = pa.table({name: pa.array(range(len(pieces)), pa.int32()), "n_bytes": pa.array(map(len, pieces), pa.int32())})
-    return F.broadcast(spark.createDataFrame(rows))
-
-
-def ends(dealt: DataFrame, ids: str, at: str, id_: str, lengths: DataFrame) -> DataFrame:
+def ends(dealt: DataFrame, side: str) -> DataFrame:
     """(key, at, end): one side's tokens by place with the byte that each ends at."""
-    tokens = dealt.select("key", F.posexplode(ids).alias(at, "_id")).select("key", at, (F.col("_id").cast("int") + SHIFT).alias(id_)).join(lengths, id_)
-    so_far = Window.partitionBy("key").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    return tokens.select("key", at, F.sum("n_bytes").over(so_far).alias("end"))
+    return dealt.select("key", F.posexplode(f"{side}_end").alias(f"{side}_at", "end"))
 
 
 class Bucketed:
-    """A DataFrame written once to the shared folder in buckets of ``key``, and read back from there."""
+    """Rows made of ``df`` by ``make``, which keeps ``key``, in buckets of it: written once to the shared folder, and read back from there.
+
+    ``df`` is dealt before, so what is made isn't shuffled. The integers ``rising`` are held as differences.
+    """
 
-    def __init__(self, df: DataFrame, key: str, name: str):
+    def __init__(self, df: DataFrame, make: Callable[[DataFrame], DataFrame], key: str, rising: list[str], name: str):
         self.spark, self.name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
         n = BUCKETS_EACH * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        columns = ", ".join(f"{c} {kind}" for c, kind in df.dtypes)
-        self.spark.sql(f"CREATE TABLE {self.name} ({columns}) USING parquet OPTIONS (compression 'zstd') CLUSTERED BY ({key}) INTO {n} BUCKETS LOCATION '{scratch_path(self.spark, name)}'")
+        made = make(df.repartition(n, key))
+        columns = ", ".join(f"{c} {kind}" for c, kind in made.dtypes)
+        options = ", ".join(["compression 'zstd'", "'parquet.writer.version' 'v2'", *[f"'parquet.enable.dictionary#{c}.list.element' 'false'" for c in rising]])
+        buckets = f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {n} BUCKETS"
+        self.spark.sql(f"CREATE TABLE {self.name} ({columns}) USING parquet OPTIONS ({options}) {buckets} LOCATION '{scratch_path(self.spark, name)}'")
         with shuffle_files_deleted(self.spark):
-            df.repartition(n, key).write.insertInto(self.name)
+            made.write.insertInto(self.name)
         self.df = self.spark.table(self.name)
 
     def drop(self) -> None:
@@ -169,15 +168,15 @@ class Bucketed:
         self.spark.sql(f"DROP TABLE {self.name}")
 
 
-def align(dealt: DataFrame, lengths_a: DataFrame, lengths_b: DataFrame) -> DataFrame:
+def align(dealt: DataFrame) -> DataFrame:
     """(key, doc_id, a, b, cuts) of ``encoded`` rows in buckets of key: ``cuts`` lists in order the places of the tokens that end together, a's above b's 32 bits.
 
     The running number of a cut, its place in the list, is its group: the tokens after the places of the cut before, up to its own.
     """
-    cuts = ends(dealt, "a", "a_at", "a_id", lengths_a).join(ends(dealt, "b", "b_at", "b_id", lengths_b), ["key", "end"])
+    cuts = ends(dealt, "a").join(ends(dealt, "b"), ["key", "end"])
     place = F.shiftleft(F.col("a_at").cast("long"), 32).bitwiseOR(F.col("b_at").cast("long"))
     listed = cuts.groupBy("key").agg(F.sort_array(F.collect_list(place)).alias("cuts"))
-    return dealt.join(listed, "key", "left")
+    return dealt.select("key", "doc_id", "a", "b").join(listed, "key", "left")
 
 
 @lru_cache(maxsize=2)
@@ -235,12 +234,13 @@ def alignment_report(docs: DataFrame, vocabulary: str | None = None, model: str
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of all documents."""
     spark, vocabulary, model = docs.sparkSession, vocabulary or bpe.default_vocabulary(), model or default_piece_model()
     one, two = load(vocabulary, model)
-    held = Bucketed(encoded(docs, vocabulary, model), "key", "token_alignment")
+    keyed = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long"), "text")
+    held = Bucketed(keyed, lambda dealt: encoded(dealt, vocabulary, model), "key", ["a_end", "b_end"], "token_alignment")
     was = {k: spark.conf.get(k) for k in _SETTINGS}
     for k, v in _SETTINGS.items():
         spark.conf.set(k, v)
     try:
-        aligned = align(held.df, _lengths(spark, one.bytes, "a_id"), _lengths(spark, two.bytes, "b_id"))
+        aligned = align(held.df)
         digest = F.when(F.col("groups") != "", F.sha2("groups", 256)).otherwise(F.lit(""))
         told = Stored(grouped(aligned, max(len(one.bytes), len(two.bytes))).select("key", "doc_id", "n_a", "n_b", digest.alias("groups_sha256"), "links"), "aligned").df
     finally:

@@ -182,3 +182,16 @@ def test_groups_as_text_equal_groups_cut_one_by_one():
             last = i, j
         assert token_alignment._group_text(a, b, a_at, b_at, 70_000) == ";".join(want)
     assert token_alignment._group_text(a, b, a_at[:0], b_at[:0], 70_000) == ""
+
+
+def test_alignment_takes_ends_from_the_encoded_documents(spark, capsys):
+    """Running ends by a window over all tokens sorted each side twice."""
+    docs = documents(spark, ["one two", "", "three"]).select(F.monotonically_increasing_id().alias("key"), "doc_id", "text")
+    made = lambda dealt: token_alignment.encoded(dealt, bpe.default_vocabulary(), token_alignment.default_piece_model())
+    held = token_alignment.Bucketed(docs, made, "key", ["a_end", "b_end"], "ends_test")
+    rows = {r.doc_id: r for r in held.df.collect()}
+    assert (rows[0].a_end[-1], rows[0].b_end[-1]) == (8, 8) and rows[1].a_end == rows[1].b_end == [] and rows[2].a_end[-1] == 6
+    assert all(len(r.a) == len(r.a_end) and r.a_end == sorted(r.a_end) and len(r.b) == len(r.b_end) for r in rows.values())
+    token_alignment.align(held.df).explain()
+    assert "Window" not in capsys.readouterr().out
+    held.drop()
