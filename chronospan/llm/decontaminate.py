@@ -191,7 +191,8 @@ def leaky(docs: DataFrame, items: DataFrame) -> DataFrame:
     # An item of fewer tokens than a window identifies itself by all its values alone.
     short = F.size("it") < WINDOW
     pieces = both.select(*COPY, "item_id", "item_windows", F.least(F.size("it"), F.lit(WINDOW)).alias("k"), short.alias("short"), spot.alias("spot"))
-    aligned = Stored(pieces, "leak_pieces").df  # read for either form; texts are canonicalised once
+    # Read for either form; texts are canonicalised, and tokens compared, once.
+    aligned = Stored(pieces.select("*", *[_starts(form).alias(form) for form in (FIRM, LOOSE)]), "leak_pieces").df
     forms = [_judged(aligned, form, rank) for rank, form in ((1, FIRM), (0, LOOSE))]
     checked = forms[0].unionByName(forms[1])
     enough = checked.where((F.col("n_windows") >= ENOUGH) | (F.col("n_windows") >= SHARE * F.col("item_windows")))
@@ -207,13 +208,20 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def _judged(aligned: DataFrame, form: str, rank: int) -> DataFrame:
-    """Windows, slots and pairs of values of aligned tokens (i, d) in one form."""
+def _starts(form: str) -> Column:
+    """Places of aligned tokens (i, d) from which ``k`` are alike in one form.
+
+    What is alike is bound, and the places are stored: a filter on them would work it all out again for each window.
+    """
     same = lambda s: F.coalesce(bare(s["i"]) == bare(s["d"]), F.lit(False))
     alike = lambda s: same(s) | (~F.col("short") & F.coalesce(templated(s["i"], form) == templated(s["d"], form), F.lit(False)))
-    told = aligned.withColumn("ok", F.transform("spot", alike))
-    starts = F.filter(F.sequence(F.lit(0), F.size("ok") - F.col("k")), lambda i: F.forall(F.slice("ok", i + 1, F.col("k")), lambda x: x))
-    ranged = told.withColumn("starts", starts).where(F.size("starts") > 0)
+    starts = lambda ok: F.filter(F.sequence(F.lit(0), F.size(ok) - F.col("k")), lambda i: F.forall(F.slice(ok, i + 1, F.col("k")), lambda x: x))
+    return F.transform(F.array(F.transform("spot", alike)), starts)[0]
+
+
+def _judged(aligned: DataFrame, form: str, rank: int) -> DataFrame:
+    """Windows, slots and pairs of values of aligned tokens (i, d) in one form."""
+    ranged = aligned.withColumn("starts", F.col(form)).where(F.size("starts") > 0)
     first, last = F.array_min("starts"), F.array_max("starts") + F.col("k")
     spots = F.slice("spot", first + 1, last - first)
     slots = F.filter(spots, lambda s: s["i"].rlike(_SLOT[form]) & F.coalesce(templated(s["i"], form) == templated(s["d"], form), F.lit(False)))

@@ -179,3 +179,13 @@ def test_span_dedup_is_brute_force(spark):
     assert all(r.n_removed == len(found[r.doc_id]) for r in got)
     clean = {r.doc_id: r.text for r in sentence_spans.clean_documents(docs(spark, rows[:-1])).collect()}
     assert clean[50] == "" and clean[0] == rows[0][1] and clean[60] is None and shared[40:300] not in clean[32]
+
+
+def test_aligned_tokens_are_compared_once_for_all_windows(spark, capsys):
+    """A filter on the windows worked out the comparison of all tokens again for each window."""
+    text = " ".join(f"word{i}" for i in range(40)) + " Anna has 12 apples and 7 pears"
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    found = decontaminate.leaks(docs(spark, [(5, "before it " + text.replace("12", "31") + " after it")]), items)
+    assert [(r.doc_id, r.item_id, r.kind) for r in found.collect()] == [(5, 1, "reparameterised")]
+    found.explain()
+    assert "forall(slice" not in capsys.readouterr().out
