@@ -136,9 +136,14 @@ def _search(blocks: DataFrame, buckets: DataFrame, n_buckets: int, k: int, share
     it the rows of other labels whose score is between these percentages of ``p[w]``. ``first`` is the first bucket to look in.
     """
     step = max(1, -(-n_buckets // SHELVES))
-    dealt = blocks.where(F.col("first") < n_buckets).withColumn("bucket", F.explode(F.sequence("first", F.lit(n_buckets - 1).cast("long"))))
-    met = dealt.join(buckets, "bucket").withColumn("shelf", F.floor(F.col("bucket") / step))
-    ordered = met.repartition("block", "shelf").sortWithinPartitions("block", "shelf", F.desc("bucket"))
+    last, shelf = F.lit(n_buckets - 1).cast("long"), lambda bucket: F.floor(bucket / step)
+    needed = blocks.where(F.col("first") < n_buckets)
+    # Pairs hold numbers alone, and a block comes once a shelf, before its buckets. Spark takes exploded rows for as few as there were
+    # before and would send them all to the driver and every executor, hence the hint.
+    pairs = needed.select("block", F.explode(F.sequence("first", last)).alias("bucket"))
+    met = pairs.join(buckets.hint("merge"), "bucket").select("block", shelf(F.col("bucket")).alias("shelf"), "bucket", "b")
+    heads = needed.select("block", F.explode(F.sequence(shelf(F.col("first")), shelf(last))).alias("shelf"), F.lit(n_buckets).cast("long").alias("bucket"), "windows", "p", "positive", "a")
+    ordered = heads.unionByName(met, allowMissingColumns=True).repartition("block", "shelf").sortWithinPartitions("block", "shelf", F.desc("bucket"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current = None
@@ -149,7 +154,7 @@ def _search(blocks: DataFrame, buckets: DataFrame, n_buckets: int, k: int, share
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], [c.split()[0] for c in FOUND.split(", ")])
 
         for row in (x for batch in batches for i in range(batch.num_rows) for x in batch.slice(i, 1).to_pylist()):
-            if current != (row["block"], row["shelf"]):
+            if row["b"] is None:
                 if current is not None:
                     yield found()
                 current, a = (row["block"], row["shelf"]), _Unpacked(row["a"])
@@ -157,6 +162,7 @@ def _search(blocks: DataFrame, buckets: DataFrame, n_buckets: int, k: int, share
                 best = Best(len(windows), k)
                 lows = np.array([-(-share[0] * x // 100) for x in p.tolist()], np.int64) if share else np.full(len(p), LEAST + 1)
                 highs = np.array([share[1] * x // 100 for x in p.tolist()], np.int64) if share else np.full(len(p), MOST)
+                continue
             # Cauchy-Schwarz, rounded up, against each window's lower limit and running kth score.
             wanted = np.maximum(lows, best.score[:, -1])
             open_ = (a.norms[windows] * row["b"]["top"] * (1 + 1e-9) + 1 >= wanted) & (lows <= highs)
@@ -189,8 +195,8 @@ def _stored(df: DataFrame, name: str) -> Stored:
         conf.set(key, was)
 
 
-def _buckets(known: DataFrame, size: int) -> tuple[DataFrame, int, list[float]]:
-    """Buckets (bucket, b) numbered by norm, how many there are, and the largest norms of up to TOPS ranges of them."""
+def _buckets(known: DataFrame, size: int) -> tuple[DataFrame, int, list[float], int]:
+    """Buckets (bucket, b) numbered by norm, how many there are, and the largest norms of up to TOPS ranges of so many of them."""
     by_norm = known.repartitionByRange("norm", "id", "label").sortWithinPartitions("norm", "id", "label")
     cut = Stored(_packed(by_norm, size, "b"), "norm_buckets").df
     part, local = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
@@ -202,7 +208,7 @@ def _buckets(known: DataFrame, size: int) -> tuple[DataFrame, int, list[float]]:
     numbered = cut.select((shift + local).cast("long").alias("bucket"), "b")
     width = max(1, -(-total // TOPS))
     tops = numbered.groupBy(F.floor(F.col("bucket") / width).alias("g")).agg(F.max("b.top").alias("top")).orderBy("g").collect()
-    return numbered, total, [r.top for r in tops for _ in range(width)]
+    return numbered, total, [r.top for r in tops], width
 
 
 def mine(usable: DataFrame, is_anchor: Column, positives: int = 5, negatives: int = 5, low: int = 80, high: int = 100, bucket_rows: int = BUCKET, block_rows: int = BLOCK) -> DataFrame:
@@ -213,7 +219,7 @@ def mine(usable: DataFrame, is_anchor: Column, positives: int = 5, negatives: in
     score n has ``low * p <= 100 * n <= high * p``.
     """
     known = Stored(usable, "points").df
-    buckets, n_buckets, tops = _buckets(known, bucket_rows)
+    buckets, n_buckets, tops, width = _buckets(known, bucket_rows)
     spread = known.where(is_anchor).repartition("id").sortWithinPartitions("id", "label", "norm")
     anchors = Stored(_packed(spread, block_rows, "a"), "anchor_blocks").df.withColumnRenamed("place", "block")
     places = F.transform(F.sequence(F.lit(1).cast("long"), F.col("a.n")), lambda i: i - 1)
@@ -224,7 +230,7 @@ def mine(usable: DataFrame, is_anchor: Column, positives: int = 5, negatives: in
     # A bucket whose largest norm is under this can hold no score of the block's lowest window.
     reach = (F.array_min(F.transform("w.p", lambda p: p.cast("double") * (low / 100))) * (1 - 1e-9) - 2) / F.greatest(F.col("a.top"), F.lit(1.0))
     heights = F.lit(tops).cast("array<double>")
-    first = F.size(F.filter(heights, lambda t: t < reach)).cast("long") if tops else F.lit(0).cast("long")
+    first = F.size(F.filter(heights, lambda t: t < reach)).cast("long") * width if tops else F.lit(0).cast("long")
     windows = listed.join(anchors, "block").select("block", "a", F.col("w.anchor").alias("windows"), F.col("w.p").alias("p"), F.col("w.positive").alias("positive"), first.alias("first"))
     best = _search(windows, buckets, n_buckets, negatives, (low, high), "negatives")
     return best.select("anchor_id", F.col("positive").alias("positive_id"), F.col("rank").cast("int").alias("rank"), F.col("other").alias("negative_id"), F.col("p").alias("positive_score"), F.col("score").alias("negative_score"))

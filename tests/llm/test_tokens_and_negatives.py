@@ -155,6 +155,20 @@ def test_buckets_that_no_window_can_reach_are_not_joined(spark):
     assert sorted((r.anchor_id, r.positive_id, r["rank"], r.negative_id, r.positive_score, r.negative_score) for r in found.collect()) == negatives(rows, lambda i: i == 190)
 
 
+def test_exploded_blocks_are_not_broadcast(spark, monkeypatch):
+    """Each block came with its vectors once a bucket, and all of them went through the driver."""
+    seen, stored = [], hard_negatives._stored
+    monkeypatch.setattr(hard_negatives, "_stored", lambda df, name: (seen.append(df), stored(df, name))[1])
+    monkeypatch.setattr(hard_negatives, "TOPS", 4)
+    rng = random.Random(6)
+    rows = [(i, i % 3, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(200)]
+    usable = hard_negatives.points(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), "vec_id", "label", "embedding")
+    assert len(hard_negatives._buckets(usable, 5)[2]) <= 4
+    assert hard_negatives.mine(usable, F.col("id") % 10 == 0, bucket_rows=5, block_rows=4).count() > 0
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(seen) == 2 and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_whole_numbers_beyond_floating_point(spark):
     big = 2.0**19
     rows = [(0, 0, [big, big - 1]), (1, 0, [big - 2, big]), (2, 1, [big - 3, big - 1]), (3, 1, [big - 3, big - 2])]
